@@ -18,12 +18,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import mapped
+from .common import chunks, flat, mapped
+from .pieces import PieceTable
 
 BYTES = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Entries kept in the caches of a worker before they are cleared.
+#: Pre-tokens that a worker remembers before it forgets them all.
 CACHE_ENTRIES = 800_000
 SMALL = 24
+#: Bytes of text that are encoded at once, unless one text alone is longer.
+PART_BYTES = 8 << 20
 
 
 class RankQueue:
@@ -98,8 +101,11 @@ class ByteBPE:
         self.keys = np.append(np.array(keys, dtype=np.int64)[order], np.iinfo(np.int64).max)
         self.values = np.append(np.array(values, dtype=np.int64)[order], -1)
         self.pairs = dict(zip(keys, values))
+        self.token_sizes = np.array([len(t) for t in self.tokens], dtype=np.int64)
+        self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
+        self.token_bytes = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
         self.tokens_of: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.table = PieceTable(self.encode_pieces)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
@@ -172,38 +178,23 @@ class ByteBPE:
         new = [p for p in pretokens if p not in known]
         known.update(zip(new, self.encode_many([p.encode() for p in new])))
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; null is empty.
-
-        A single space between two other characters always starts a match of the pattern, so the
-        pieces between such spaces are matched alone, and met pieces are remembered: a first piece
-        by itself in a tuple, a later one, which has a space before it, as a string.
-        """
-        pieces = self.pieces
-        if len(pieces) > CACHE_ENTRIES:
-            pieces.clear()
-        cut: list[list | None] = []
-        slow: dict[int, list[str]] = {}
-        unknown: set = set()
-        for k, text in enumerate(texts):
-            parts: list = text.split(" ") if text else []
-            if parts:
-                parts[0] = (parts[0],)
-            new = {p for p in parts if p not in pieces}
-            if any(not p or p[0].isspace() or p[-1].isspace() for p in (x[0] if type(x) is tuple else x for x in new)):
-                slow[k] = self.pattern.findall(text)
-                parts = None
-            else:
-                unknown |= new
-            cut.append(parts)
-        find = self.pattern.findall
-        matches = {p: find(p[0]) if type(p) is tuple else find(" " + p) for p in unknown}
-        self._learn({m for found in (*matches.values(), *slow.values()) for m in found})
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each text, its matches of the pattern encoded one by one, as little-endian unsigned 32-bit integers."""
+        matches = [self.pattern.findall(p) for p in pieces]
+        self._learn({m for found in matches for m in found})
         known = self.tokens_of
-        for p, found in matches.items():
-            pieces[p] = b"".join([known[m] for m in found])
-        get = pieces.__getitem__
-        return [b"".join([known[m] for m in slow[k]]) if parts is None else b"".join(map(get, parts)) for k, parts in enumerate(cut)]
+        return [b"".join([known[m] for m in found]) for found in matches]
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """The same for whole texts by way of the table of pieces; null is empty."""
+        ids, bounds = self.table.encode(*flat(pa.array(texts, pa.string())))
+        return [ids[i:j].tobytes() for i, j in zip(bounds, bounds[1:])]
+
+    def decode_flat(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of many ids."""
+        counts = self.token_sizes[ids]
+        total = np.cumsum(counts)
+        return self.token_bytes[np.arange(int(total[-1]) if len(ids) else 0) + np.repeat(self.token_starts[ids] - (total - counts), counts)]
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids given as little-endian unsigned 32-bit integers."""
@@ -230,15 +221,19 @@ def byte_bpe(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(ranks, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                ids = coder.encode_batch(part.column(1).to_pylist())
+            buf, offsets = flat(batch.column(1))
+            for a, b in chunks(offsets, PART_BYTES):
+                ids, bounds = coder.table.encode(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                raw = ids.astype("<u4", copy=False).tobytes()
+                decoded = coder.decode_flat(ids).tobytes()
+                ends = np.concatenate(([0], np.cumsum(coder.token_sizes[ids])))[bounds].tolist()
+                cut = (4 * bounds).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                        pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in ids], pa.string()),
+                        batch.column(0).slice(a, b - a),
+                        pa.array(np.diff(bounds), pa.int64()),
+                        pa.array([hashlib.sha256(raw[i:j]).hexdigest() for i, j in zip(cut, cut[1:])], pa.string()),
+                        pa.array([hashlib.sha256(decoded[i:j]).hexdigest() for i, j in zip(ends, ends[1:])], pa.string()),
                     ],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )

@@ -22,8 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import LOWER, RollingHash, broadcast_if_small, byte_table, chunks, cut, flat, mapped, mix, words
 
@@ -343,13 +344,8 @@ def _across(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
     return met.select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b")).distinct()
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """n_shingles and component_id (smallest doc_id reachable by links) of each document.
-
-    Null, empty and blank texts have no shingles and link with nothing, equal ones included. A null
-    doc_id names nothing: its component_id is the smallest id that its text reaches, or null.
-    Repeated rows are separate rows of one component. Similarity is a fraction, compared exactly.
-    """
+def linked_classes(spark: SparkSession, docs: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
+    """doc_id, n, sig, root and component of each document: its class, the class that its component is told by, and the least doc_id in it."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = cut(spark, _scan(docs, size))
     rows = scanned.where("kind = 0").select("doc_id", "n", "sig")
@@ -382,7 +378,50 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE
             roots = components(spark, links)
     least = classes.withColumnRenamed("doc_id", "least")
     reached = roots.join(least, roots["v"] == least["sig"]).groupBy("root").agg(F.min("least").alias("reached"))
-    reached = roots.join(reached, "root").select(F.col("v").alias("sig"), "reached")
-    told = least.join(reached, "sig", "left").select("sig", F.coalesce(F.least("least", "reached"), "least", "reached").alias("component"))
+    reached = roots.join(reached, "root").select(F.col("v").alias("sig"), "reached", "root")
+    told = least.join(reached, "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), F.coalesce(F.least("least", "reached"), "least", "reached").alias("component"))
     out = rows.join(told, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "n", "sig", F.coalesce("root", "sig").alias("root"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"))
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """n_shingles and component_id (smallest doc_id reachable by links) of each document.
+
+    Null, empty and blank texts have no shingles and link with nothing, equal ones included. A null
+    doc_id names nothing: its component_id is the smallest id that its text reaches, or null.
+    Repeated rows are separate rows of one component. Similarity is a fraction, compared exactly.
+    """
+    return linked_classes(spark, docs, size, similar).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """The documents, with all their columns, that name their component, and those without shingles.
+
+    Of rows of one component that share the naming doc_id the one whose text hashes least stays.
+    """
+    found = linked_classes(spark, docs, size, similar).select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"), F.col("root").alias("__root"), (F.col("n") > 0).alias("__full"), "component")
+    keep = cut(spark, found.where("not __full or __id <=> component").drop("component").distinct())
+    ids = keep.select("__id").distinct()
+    kept = docs.join(broadcast_if_small(ids, ids.count()), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    at, names = docs.columns.index("text"), [*docs.columns, "__sig"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = flat(batch.column(at))
+            sig = [np.zeros(0, np.int64)]
+            for a, b in chunks(offsets):
+                sig.append(signatures(*shingles(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(sig))], names=names)
+
+    signed = mapped(kept, run, StructType([*docs.schema.fields, StructField("__sig", LongType())]))
+    keep = keep.withColumnRenamed("__sig", "__s")
+    rows = signed.join(broadcast_if_small(keep, keep.count()), signed["doc_id"].eqNullSafe(keep["__id"]) & (signed["__sig"] == keep["__s"]))
+    doubled = keep.where("__full").groupBy("__id", "__root").agg(F.count("*").alias("__n"))
+    times = docs.groupBy("doc_id").agg(F.count("*").alias("__m")).where("__m > 1").select(F.col("doc_id").alias("__d"))
+    again = cut(spark, doubled.join(times, doubled["__id"].eqNullSafe(times["__d"]), "left_semi").select(F.col("__id").alias("__a"), F.col("__root").alias("__b")).distinct())
+    if again.isEmpty():
+        return rows.select(*docs.columns)
+    marked = rows.join(broadcast_if_small(again, again.count()), rows["__id"].eqNullSafe(F.col("__a")) & (rows["__root"] == F.col("__b")), "left")
+    by = Window.partitionBy("__id", "__root").orderBy(F.xxhash64("text"))
+    once = marked.where("__b is not null").withColumn("__r", F.row_number().over(by)).where("__r = 1")
+    return marked.where("__b is null").select(*docs.columns).unionByName(once.select(*docs.columns))
