@@ -276,8 +276,9 @@ class Tables:
         if e.op == "for":
             return self._for(e)
         if e.op == "let":
-            for name, x in zip(e.val, e.args):
-                e = _substitute(e, name, x)
+            for i, name in enumerate(e.val):
+                x = e.args[i]
+                e = replace(e, args=tuple(_replace(a, name, x) if k > i else a for k, a in enumerate(e.args)))
             return self.compile(e.args[-1])
         if e.op == "map":
             return self._for(Ex("for", ("_it",), (e.args[0], _with_focus(e.args[1]))))
@@ -302,8 +303,9 @@ class Tables:
             for p in parts[1:]:
                 out = out.unionByName(p)
             return out
-        rows = self.path(e)
-        return self._emit(rows)
+        if e.op == "path" and _relational(e) and not _absolute(e):
+            return self._ordered(e)
+        return self._emit(self.path(e))
 
     def _emit(self, rows: Rows) -> DataFrame:
         if rows.item is not None:
@@ -315,6 +317,9 @@ class Tables:
         while inner.op == "call" and inner.val in ("subsequence", "head", "tail"):
             window.append(inner)
             inner = inner.args[0]
+        cells: tuple[Ex, ...] = ()
+        if inner.op == "path" and inner.args[0].op == "call":
+            cells, inner = inner.args[1:], inner.args[0]
         down = False
         while inner.op == "call" and inner.val == "reverse":
             down, inner = not down, inner.args[0]
@@ -341,7 +346,7 @@ class Tables:
                 df = df.offset(max(start - 1, 0)) if start > 1 else df
                 if len(w.args) > 2:
                     df = df.limit(max(round(float(w.args[2].val[1])) + min(start - 1, 0), 0))
-        return self._emit(replace(rows, df=df))
+        return self._emit(self._cells(replace(rows, df=df), cells))
 
     def _for(self, e: Ex) -> DataFrame:
         rows: Rows | None = None
@@ -368,8 +373,9 @@ class Tables:
                 extra[name] = v.with_col(F.col(f"_item{tag}"), False)
         body = e.args[-1]
         if body.op == "let":
-            for n, x in zip(body.val, body.args):
-                body = replace(body, args=tuple(_replace(a, n, x) for a in body.args))
+            for i, n in enumerate(body.val):
+                x = body.args[i]
+                body = replace(body, args=tuple(_replace(a, n, x) if k > i else a for k, a in enumerate(body.args)))
             body = body.args[-1]
         while body.op == "if" and body.args[2] == Ex("seq", None, ()):
             rows = self.filtered(rows, [body.args[0]], extra)
@@ -421,7 +427,7 @@ def _absolute(e: Ex) -> bool:
 def _relational(e: Ex) -> bool:
     if e.op in ("union", "intersect", "except"):
         return all(map(_relational, e.args))
-    if e.op == "call" and e.val in ("sort", "subsequence", "reverse", "head", "tail"):
+    if e.op == "call" and e.val in ("sort", "subsequence", "reverse", "head", "tail") or e.op == "path" and e.val == "" and e.args[0].op == "call":
         return _relational(e.args[0])
     return _absolute(e)
 
@@ -450,10 +456,6 @@ def _replace(e: Ex, name: str, value: Ex) -> Ex:
     return value if e.op == "var" and e.val == name else replace(e, args=tuple(_replace(a, name, value) for a in e.args))
 
 
-def _substitute(e: Ex, name: str, value: Ex) -> Ex:
-    return replace(e, args=tuple(_replace(a, name, value) for a in e.args))
-
-
 def _with_focus(e: Ex) -> Ex:
     """Child steps and the context item of a mapped expression, as those of the variable _it."""
     if e.op == "ctx":
@@ -461,7 +463,10 @@ def _with_focus(e: Ex) -> Ex:
     if e.op == "step" and e.val[0] == "child":
         return Ex("path", "", (Ex("var", "_it"), e))
     if e.op == "path" and e.val == "":
-        return Ex("path", "", (Ex("var", "_it"), *e.args))
+        first = e.args[0]
+        return Ex("path", "", (Ex("var", "_it"), *e.args)) if first.op == "step" else replace(e, args=(_with_focus(first), *e.args[1:]))
+    if e.op in ("filter", "map"):
+        return replace(e, args=(_with_focus(e.args[0]), *e.args[1:]))
     return replace(e, args=tuple(_with_focus(a) for a in e.args))
 
 
