@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RollingHash, broadcast_if_small, chunks, cut, flat, mapped, mix
+from .common import RollingHash, chunks, cut, flat, mapped, mix
 
 LENGTH = 400
 GRAM = 100
@@ -86,7 +86,7 @@ def _samples(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of each wanted run, from the texts."""
     listed = wanted.groupBy("key").agg(F.collect_list(F.struct("name", "pos", "low", "high", "met")).alias("at"))
-    joined = docs.join(broadcast_if_small(listed, wanted.count()), "key").select("key", "text", "at")
+    joined = docs.join(listed, "key").select("key", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,5 +220,5 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gra
                 [batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(many, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             )
 
-    joined = docs.join(broadcast_if_small(listed, listed.count()), "key", "left").select("doc_id", "text", "spans")
+    joined = docs.join(listed, "key", "left").select("doc_id", "text", "spans")
     return mapped(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
