@@ -1055,7 +1055,8 @@ def _(c, v, k):
         if v.many:
             shape = v.with_col(F.lit(None).cast(spark_type(v)), False)
             found = search(shape)
-            return [replace(s, col=F.flatten(F.transform(v.col, lambda x, i=i: items(search(v.with_col(x, False))[i]))), many=True) for i, s in enumerate(found)]
+            nth = lambda i: lambda x: items(search(v.with_col(x, False))[i])
+            return [replace(s, col=F.flatten(F.transform(v.col, nth(i))), many=True) for i, s in enumerate(found)]
         if v.type == "map":
             return [map_get(v, k), *search(replace(v.part, col=F.map_values(v.col) if not v.part.many else F.flatten(F.map_values(v.col)), many=True))]
         if v.type == "array":
@@ -1219,6 +1220,21 @@ def _(c, v, options=None):
     return string(F.array_join(F.transform(v.col, lambda x: to_string(Val(x, v.type))), " "))
 
 
+@fn("json-to-xml", 1, since=31)
+def _(c, v):
+    """The document as its text, to be shredded."""
+    from ..sources.shred import json_to_xml
+
+    return string(udfs.call(json_to_xml, "string", to_string(one(v))))
+
+
+@fn("xml-to-json", 1, since=31)
+def _(c, v):
+    from ..sources.shred import xml_to_json
+
+    return string(udfs.call(xml_to_json, "string", to_string(one(v))))
+
+
 @fn("data", 1)
 def _(c, v):
     return atom(v)

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import UnsupportedError, error
+from ..errors import UnsupportedError
 from ..functions.values import NUMERIC, Val, items, to_string, truth
 from ..operators import axes
 from ..operators.axes import NODE
@@ -27,6 +27,8 @@ NODE_COLUMNS = {
     "base-uri": None, "document-uri": None, "nilled": None, "in-scope-prefixes": None, "data": None, "string": None,
 }
 NODE_FUNCTIONS = tuple(NODE_COLUMNS)
+#: Node sets that need no nodes as arguments.
+SOURCES = ("id", "element-with-id", "idref", "root", "innermost", "outermost", "doc", "collection")
 NODE_SETS = ("id", "element-with-id", "idref", "innermost", "outermost", "root", "reverse", "head", "tail", "subsequence", "unordered", "trace", "zero-or-one", "one-or-more", "exactly-one")
 
 
@@ -53,6 +55,7 @@ class Trees:
     static: StaticContext = field(default_factory=StaticContext)
     variables: dict[str, Val] = field(default_factory=dict)
     _count: int = 0
+    _start: DataFrame | None = None
 
     def _fresh(self, stem: str) -> str:
         self._count += 1
@@ -63,7 +66,7 @@ class Trees:
     def select(self, text: str) -> DataFrame:
         """Nodes as (doc_id, pre, kind, name, path, value) or items as (doc_id, value), to be sorted by doc_id and pre."""
         e = parse(text, self.static)
-        roots = self.roots()
+        roots = self._start = self.roots()
         if e.op == "path" and e.args and not self.is_nodes(e) and self.is_nodes(before := Ex("path", e.val, e.args[:-1])):
             e = Ex("for", ("",), (before, e.args[-1]))
         if e.op == "map" and self.is_nodes(e.args[0]):
@@ -105,7 +108,7 @@ class Trees:
             return not e.args or self.is_nodes(e.args[-1]) or e.args[-1].op == "filter"
         if e.op == "filter":
             return self.is_nodes(e.args[0])
-        if e.op == "call" and e.val in ("id", "element-with-id", "idref", "root", "innermost", "outermost"):
+        if e.op == "call" and e.val in SOURCES:
             return True
         return e.op == "call" and e.val in NODE_SETS and bool(e.args) and self.is_nodes(e.args[0])
 
@@ -162,6 +165,15 @@ class Trees:
 
     def _function(self, e: Ex, context: DataFrame) -> DataFrame:
         name = e.val
+        if name in ("doc", "collection"):
+            # a document of the relation by its uri; the collection is all of them, or those under a uri
+            wanted = self.nodes.where("kind = 'document'")
+            if e.args:
+                uri = F.lit(e.args[0].val[1])
+                wanted = wanted.where(F.col("base_uri") == uri if name == "doc" else F.col("base_uri").startswith(uri))
+            if context is not self._start:
+                raise UnsupportedError("FODC0002", f"{name}() begins an expression")
+            return wanted.select(F.col("doc_id").alias("k"), *NODE)
         if name in ("id", "element-with-id", "idref"):
             rows, v = self.value(e.args[0], context)
             tokens = rows.select("k", F.col("doc_id").alias("_d"), F.explode(F.split(F.array_join(F.transform(items(v), lambda x: to_string(Val(x, v.type))), " "), r"\s+")).alias("_id")).distinct()
@@ -234,6 +246,17 @@ class Trees:
                 want = F.lower(to_string(c(x.args[0])))
                 have = F.lower(F.col("lang"))
                 return Val(F.coalesce((have == want) | have.startswith(F.concat(want, F.lit("-"))), F.lit(False)), "boolean")
+            if x.op == "call" and x.val in ("namespace-uri-for-prefix", "resolve-QName") and x.args[1].op == "ctx":
+                name = to_string(c(x.args[0]))
+                if x.val == "namespace-uri-for-prefix":
+                    return Val(F.try_element_at("ns_map", F.coalesce(name, F.lit(""))), "anyURI")
+                prefix = F.regexp_extract(name, "^(.*):", 1)
+                ns = F.try_element_at("ns_map", prefix)
+                bad = F.raise_error(F.lit("[err:FONS0004] prefix is not bound")).cast("string")
+                ns = F.when((prefix != "") & ns.isNull(), bad).otherwise(F.coalesce(ns, F.lit("")))
+                return Val(F.when(name.isNotNull(), F.struct(ns.alias("ns"), prefix.alias("prefix"), F.regexp_replace(name, "^.*:", "").alias("local"))), "QName")
+            if x.op == "call" and x.val == "doc-available":
+                return Val(F.lit(not self.nodes.where((F.col("kind") == "document") & (F.col("base_uri") == x.args[0].val[1])).isEmpty()), "boolean")
             if x.op == "call" and x.val == "count" and self.is_nodes(x.args[0]):
                 return column(x.args[0], None, "count")
             if x.op == "call" and x.val in ("exists", "empty", "not", "boolean") and len(x.args) == 1 and self.is_nodes(x.args[0]):
@@ -288,7 +311,3 @@ def _unbind(e: Ex, name: str) -> Ex:
 def select(nodes: DataFrame, text: str, static: StaticContext | None = None, **variables: Val) -> DataFrame:
     """Runs an expression on each document of a node relation."""
     return Trees(nodes, static or StaticContext(), variables).select(text)
-
-
-def checked(problem: str) -> None:
-    raise error("XPTY0004", problem)

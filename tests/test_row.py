@@ -148,6 +148,15 @@ CASES = [
     ('5 treat as xs:string', '!XPDY0050'),
     ("string-join(for $w in tokenize(s, ' ') return upper-case($w), '_')", 'HELLO_WORLD'),
     ('n lt 10 and d gt 2', True),
+    ('xml-to-json(json-to-xml(j))', '{"k":7,"a":[1,2]}'),
+    ('map:find([map{"b": 1}, map{"b": 2}], "b")?2', 2),
+    ('count(analyze-string("a1b22", "[0-9]+"))', 4),
+    ('string(xs:gYearMonth(xs:date("2020-05-06")))', '2020-05'),
+    ('array:sort([3, 1, 2])', [1, 2, 3]),
+    ('map:for-each(map{"a": 1}, function($k, $v) { $v + 1 })', [2]),
+    ('apply(concat#2, ["a", "b"])', 'ab'),
+    ('array:join(([1], [2, 3]))', [1, 2, 3]),
+    ('map:merge((map{"a": 1}, map{"a": 2}), map{"duplicates": "use-last"})?a', 2),
 ]
 
 

@@ -53,6 +53,16 @@ def test_for_and_names(nodes):
     assert sorted(r["value"] for r in select(nodes, "/r/*/name()").collect()) == ["p:v", "v", "v"]
 
 
+def test_documents_by_uri(spark):
+    docs = spark.createDataFrame([(1, "<a><b/></a>", "http://x/1"), (2, '<a xmlns:q="u"><b/><b/></a>', "http://x/2")], "doc_id long, xml string, uri string")
+    nodes = xml_nodes(docs, uri="uri").cache()
+    assert select(nodes, "doc('http://x/2')//b").count() == 2
+    assert select(nodes, "collection('http://x/')//b").count() == 3
+    assert [r["value"] for r in select(nodes, "for $e in /a return base-uri($e)").orderBy("doc_id").collect()] == ["http://x/1", "http://x/2"]
+    assert [r["value"] for r in select(nodes, "for $e in /a return namespace-uri-for-prefix('q', .)").orderBy("doc_id").collect()] == [None, "u"]
+    assert {r["value"] for r in select(nodes, "doc-available('http://x/3')").collect()} == {False}
+
+
 def test_entities_are_refused():
     for text in ('<!DOCTYPE a [<!ENTITY x "y">]><a>&x;</a>', '<!DOCTYPE a [<!ENTITY x SYSTEM "file:///etc/passwd">]><a>&x;</a>', "<a>", ""):
         with pytest.raises(XPathError) as problem:
