@@ -33,6 +33,8 @@ RATE = 1.0
 #: Labelled rows that the classifier is fitted on, for each class.
 TRAIN_ROWS = 2500
 CUT = 0.7
+#: Sample bytes whose subwords the driver counts at once.
+FIT_BYTES = 256 << 10
 #: Taken from the log odds, as the classes weigh the same in training and clean texts are more in use.
 CAUTION = 0.5
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -99,7 +101,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
         return Model(np.zeros(1 << BUCKET_BITS, np.float32), 50.0 if share else -50.0)
     buf, offsets = flat(pa.array(texts, pa.string()))
     rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for a, b in chunks(offsets):
+    for a, b in chunks(offsets, FIT_BYTES):
         doc, bucket, weight = bag(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         key, back = np.unique((doc << BUCKET_BITS) | bucket, return_inverse=True)
         value = np.bincount(back, weights=weight)
