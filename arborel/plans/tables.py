@@ -18,7 +18,7 @@ from ..errors import UnsupportedError, error
 from ..functions.library import atom
 from ..functions.values import NUMERIC, Val, common, convert, items, many, of_type, truth
 from .ast import Ex
-from .operators import GENERAL
+from .operators import GENERAL, compare
 from .parser import StaticContext, parse
 from .row import RowCompiler, output
 
@@ -148,10 +148,17 @@ class Tables:
             return self._quantified(rows, test, keep)
         if _positional(p):
             return self._position(rows, p)
-        value = self.row_compiler(rows, extra)(p)
+        c = self.row_compiler(rows, extra)
+        if p.op in ("gcmp", "vcmp") and not any(map(_absolute, p.args)):
+            a, b = (atom(c(x)) for x in p.args)
+            if not a.many and not b.many and not self.static.compatible and self.static.number >= 20:
+                # a filter drops null as it drops false, and a bare comparison reaches the scan
+                op = p.val if p.op == "vcmp" else GENERAL[p.val]
+                return replace(rows, df=rows.df.where(compare(op, a, b, self.static, p.op == "gcmp")))
+        value = c(p)
         if value.type in NUMERIC:
             return self._position(rows, p)
-        return replace(rows, df=rows.df.where(truth(value)))
+        return replace(rows, df=rows.df.where(value.col if value.type == "boolean" and not value.many else truth(value)))
 
     def _semi(self, rows: Rows, own: Ex, other: Ex, keep: bool) -> Rows:
         inner = self.path(other)

@@ -34,3 +34,9 @@ def test_same_as_sql(spark, db, name):
     assert sorted(names) == columns
     want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in cursor.fetchall()), key=repr)
     assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr) == want
+
+
+@pytest.mark.parametrize("name,pushed,read", [("xp_path_predicate", "GreaterThan(l_quantity,45.0)", "l_quantity:double,l_extendedprice:double"), ("xp_path_equal", "EqualTo(o_orderstatus,F)", "o_orderstatus:string,o_totalprice:double")])
+def test_predicates_reach_the_scan(spark, name, pushed, read):
+    plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert pushed in plan and f"struct<{read}>" in plan
