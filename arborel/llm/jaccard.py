@@ -9,7 +9,7 @@ says which documents a region must also hold:
   goes to the first floor(t |y|) + 1 of its regions and still meets every x within t. That window is
   exact for any global order; shingles that tasks find often go to the end of it.
 * Regions of at most LEAF classes are joined directly. In a larger one each document is measured
-  against a few document pivots, its links to them join components, and the region is joined again:
+  against a document pivot, its link to that joins components, and the region is joined again:
   pairs of one component are linked already, and x, y with |d(x, p) - d(y, p)| > t for a pivot p
   cannot be linked by the triangle inequality.
 
@@ -26,14 +26,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LOWER, RollingHash, broadcast_if_small, byte_table, chunks, cut, flat, mapped, mix, words
+from .common import LOWER, RollingHash, broadcast_if_small, byte_table, chunks, cut, flat, mapped, mix, release, words
 
 WORD = byte_table((0x00, 0x08), (0x0E, 0x1F), (0x21, 0xFF))
 SHINGLE = 5
 #: Similarity as a fraction, so that the comparison is exact.
 SIMILAR = (75, 100)
-LEAF = 64
-PIVOTS = 3
+LEAF = 3
+PIVOTS = 1
 CELL_BITS = 21
 #: Classes that a task remembers having told, before it forgets them all.
 SEEN = 500_000
@@ -164,45 +164,56 @@ def _enough(both: np.ndarray, n: np.ndarray, m: np.ndarray, similar: tuple[int,
 
 
 def _pairs_of_regions(regions: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Candidate pairs: all of a small region that sizes and places allow, and those with a pivot of a large one.
+    """Candidate pairs of regions, and the members of the larger ones: (kind, a, b, key).
 
-    The rows come sorted by region; a task holds LEAF members of one at most. big: 1 for pairs of
-    larger regions, whose other members only meet in a later round; a row with a = -1 names each of these.
+    kind 0: a pair of a region of at most LEAF classes; 1 and 2: a pair of a larger one whose a or b
+    is a pivot; pairs are those that sizes and places allow, and a task tells one about once. kind
+    3: a class of a larger region, b its size and place. Rows come sorted by region, and a task
+    holds LEAF members of one at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 4
         key_now, pivots = None, None
+        told: set[int] = set()
 
-        def emit(a, b, na, nb, pa_, pb, key, big):
+        def pairs(a, b, na, nb, pa_, pb, kind):
+            """kind: 0, or 1 where b is a pivot."""
             best = np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb)
             ok = (a != b) & _enough(best, na, nb, similar)
             a, b = a[ok], b[ok]
-            return [np.minimum(a, b), np.maximum(a, b), key[ok], np.full(len(a), big)]
+            swap = a > b
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            kinds = np.where(swap, 1, 2) if kind else np.zeros(len(a), np.int64)
+            name = mix(a.view(U64) ^ mix(b.view(U64) ^ mix(kinds.view(U64))))
+            new = np.zeros(len(a), dtype=bool)
+            for k, x in enumerate(name.tolist()):
+                if x not in told:
+                    told.add(x)
+                    new[k] = True
+            if len(told) > SEEN:
+                told.clear()
+            return [kinds[new], a[new], b[new], np.zeros(int(new.sum()), np.int64)]
 
         def small(key, sig, n, place):
             """All pairs of groups of equal key, by distance within the group."""
             out = []
             for d in range(1, LEAF):
-                same = key[d:] == key[:-d]
-                if not same.any():
+                i = np.flatnonzero(key[d:] == key[:-d])
+                if len(i) == 0:
                     break
-                i = np.flatnonzero(same)
-                out.append(emit(sig[i], sig[i + d], n[i], n[i + d], place[i], place[i + d], key[i], 0))
+                out.append(pairs(sig[i], sig[i + d], n[i], n[i + d], place[i], place[i + d], 0))
             return out
 
         def star(key, sig, n, place, piv):
-            out = [[np.full(1, -1), np.full(1, -1), np.full(1, key), np.ones(1, np.int64)]]
-            for p in range(len(piv[0])):
-                full = [np.full(len(sig), x[p]) for x in piv]
-                out.append(emit(sig, full[0], n, full[1], place, full[2], np.full(len(sig), key), 1))
+            out = [[np.full(len(sig), 3), sig, n << 32 | place, np.full(len(sig), key)]]
+            for p in zip(*(x.tolist() for x in piv)):
+                out.append(pairs(sig, np.full(len(sig), p[0]), n, p[1], place, p[2], 1))
             return out
 
         def batch_of(parts):
             cols = [np.concatenate([p[k] for p in parts]) for k in range(4)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.int64)), pa.array(cols[3].astype(np.int8))], names=["a", "b", "key", "big"]
-            )
+            return pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int8)), *(pa.array(c.astype(np.int64)) for c in cols[1:])], names=["kind", "a", "b", "key"])
 
         for batch in batches:
             cols = [np.concatenate((h, batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64))) for k, h in enumerate(held)]
@@ -214,34 +225,33 @@ def _pairs_of_regions(regions: DataFrame, similar: tuple[int, int]) -> DataFrame
                 continue
             out = []
             if pivots is not None and key[0] == key_now:
-                stop = int(np.searchsorted(key != key_now, True))
-                out += star(key_now, *(c[:stop] for c in cols[1:]), pivots)
+                other = np.flatnonzero(key != key_now)
+                stop = int(other[0]) if len(other) else len(key)
+                first = 1 if cols[1][0] == last_sig else 0  # a class that ended the batch before
+                last_sig = int(cols[1][stop - 1])
+                out += star(key_now, *(c[first:stop] for c in cols[1:]), pivots)
                 cols = [c[stop:] for c in cols]
                 key = cols[0]
-                if len(key) == 0:
-                    held = cols
-                    if out:
-                        yield batch_of(out)
-                    continue
-            pivots = None
-            begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            sizes = np.diff(np.append(begins, len(key)))
-            last = int(begins[-1])
-            rest = [c[last:] for c in cols]
-            group = np.repeat(sizes, sizes)
-            done = np.arange(len(key)) < last
-            s = done & (group > 1) & (group <= LEAF)
-            if s.any():
-                out += small(*(c[s] for c in cols))
-            for g in np.flatnonzero((sizes > LEAF) & (begins < last)).tolist():
-                i, j = int(begins[g]), int(begins[g] + sizes[g])
-                piv = [c[i : i + PIVOTS] for c in cols[1:]]
-                out += star(int(key[i]), *(c[i:j] for c in cols[1:]), piv)
-            if len(rest[0]) > LEAF:
-                key_now, pivots = int(rest[0][0]), [c[:PIVOTS] for c in rest[1:]]
-                out += star(key_now, *(c for c in rest[1:]), pivots)
-                rest = [np.zeros(0, np.int64)] * 4
-            held = rest
+            if len(key):
+                pivots = None
+                begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                sizes = np.diff(np.append(begins, len(key)))
+                last = int(begins[-1])
+                rest = [c[last:] for c in cols]
+                group = np.repeat(sizes, sizes)
+                s = (np.arange(len(key)) < last) & (group > 1) & (group <= LEAF)
+                if s.any():
+                    out += small(*(c[s] for c in cols))
+                for g in np.flatnonzero((sizes > LEAF) & (begins < last)).tolist():
+                    i, j = int(begins[g]), int(begins[g] + sizes[g])
+                    out += star(int(key[i]), *(c[i:j] for c in cols[1:]), [c[i : i + PIVOTS] for c in cols[1:]])
+                if len(rest[0]) > LEAF:
+                    key_now, pivots, last_sig = int(rest[0][0]), [c[:PIVOTS] for c in rest[1:]], int(rest[1][-1])
+                    out += star(key_now, *rest[1:], pivots)
+                    rest = [np.zeros(0, np.int64)] * 4
+                held = rest
+            else:
+                held = [np.zeros(0, np.int64)] * 4
             if out:
                 yield batch_of(out)
         if len(held[0]) > 1:
@@ -250,7 +260,18 @@ def _pairs_of_regions(regions: DataFrame, similar: tuple[int, int]) -> DataFrame
                 yield batch_of(out)
 
     ordered = regions.repartition("key").sortWithinPartitions("key", "sig")
-    return mapped(ordered, run, "a long, b long, key long, big byte")
+    return mapped(ordered, run, "kind byte, a long, b long, key long")
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Sorted hashes by their upper 40 bits, 5 bytes each."""
+    return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 5, 8), dtype=np.uint8)
+    wide[:, 3:] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
+    return wide.view(">u8").ravel().astype(U64)
 
 
 def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -263,7 +284,7 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             n, m, both = [], [], []
             for p, q in zip(x, y):
-                u, v = np.frombuffer(p, dtype=U64), np.frombuffer(q, dtype=U64)
+                u, v = unpack(p), unpack(q)
                 n.append(len(u))
                 m.append(len(v))
                 at = np.searchsorted(v, u)
@@ -283,13 +304,12 @@ def _sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
             buf, offsets = flat(batch.column(1))
             for a, b in chunks(offsets):
                 values, bounds = shingles(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
-                data = [values[i:j].tobytes() for i, j in zip(bounds, bounds[1:])]
+                data = [pack(values[i:j]) for i, j in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(signatures(values, bounds)), pa.array(data, pa.binary())], names=["sig", "set"])
 
-    # a doc_id may be repeated with another text, and the class is then told by its signature
+    # a doc_id may be repeated: sets of classes that no pair names, or told twice, do no harm to the links
     ids = reps.select(F.col("doc_id").alias("rep"))
-    found = mapped(docs.join(ids, docs["doc_id"].eqNullSafe(ids["rep"]), "left_semi").select("doc_id", "text"), run, "sig long, set binary")
-    return found.join(reps.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
+    return mapped(docs.join(ids, docs["doc_id"].eqNullSafe(ids["rep"]), "left_semi").select("doc_id", "text"), run, "sig long, set binary")
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -349,30 +369,35 @@ def linked_classes(spark: SparkSession, docs: DataFrame, size: int, similar: tup
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = cut(spark, _scan(docs, size))
     rows = scanned.where("kind = 0").select("doc_id", "n", "sig")
-    regions = _regions(docs, _levels(spark, scanned.where("kind = 1")), size, similar)
-    met = cut(spark, _pairs_of_regions(regions, similar).distinct())
-    pairs = met.where("a >= 0").select("a", "b").distinct()
+    met = cut(spark, _pairs_of_regions(_regions(docs, _levels(spark, scanned.where("kind = 1")), size, similar), similar).distinct())
+    release(spark)
+    pairs = met.where("kind < 3").select("a", "b").distinct()
     classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
 
     def measure(pairs: DataFrame) -> DataFrame:
         named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
         reps = cut(spark, classes.join(named, "sig"))
-        return cut(spark, _measure(pairs, cut(spark, _sets(docs, broadcast_if_small(reps, reps.count()), size))))
+        # the sets are made where they are sent: files of them would be as large as the shuffle
+        out = cut(spark, _measure(pairs, _sets(docs, broadcast_if_small(reps, reps.count()), size)).distinct())
+        del named, reps
+        release(spark)
+        return out
 
     linked = F.col("both") * similar[1] >= (F.col("n") + F.col("m") - F.col("both")) * similar[0]
     measured = measure(pairs)
     links = measured.where(linked).select("a", "b")
-    large = met.where("a < 0").select("key").distinct()
     roots = components(spark, links)
-    if not large.isEmpty():
+    # the larger regions again, where they still hold more than one component
+    members = met.where("kind = 3").select("key", F.col("a").alias("sig"), F.shiftright("b", 32).alias("n"), F.col("b").bitwiseAND(0xFFFFFFFF).alias("place"))
+    members = members.join(roots.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
+    split = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    members = cut(spark, members.join(split, "key"))
+    if not members.isEmpty():
         distance = F.lit(1.0) - F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
-        starred = met.where("a >= 0 and big = 1").select("a", "b").distinct().join(measured, ["a", "b"])
-        far = starred.select(F.col("a").alias("sig"), F.col("b").alias("p"), distance.alias("d")).union(starred.select(F.col("b").alias("sig"), F.col("a").alias("p"), distance.alias("d")))
-        known = far.groupBy("sig").agg(F.map_from_entries(F.slice(F.array_sort(F.collect_set(F.struct("p", "d"))), 1, 64)).alias("dist"))
-        members = regions.join(broadcast_if_small(large, large.count()), "key", "left_semi").distinct()
-        members = members.join(roots.withColumnRenamed("v", "sig"), "sig", "left").join(known, "sig", "left")
-        members = cut(spark, members.withColumn("comp", F.coalesce("root", "sig")))
-        more = cut(spark, _across(members, similar).join(pairs, ["a", "b"], "left_anti"))
+        starred = met.where("kind in (1, 2)").select("kind", "a", "b").join(measured.select("a", "b", distance.alias("d")), ["a", "b"])
+        far = starred.select(F.when(F.col("kind") == 1, F.col("b")).otherwise(F.col("a")).alias("sig"), F.struct(F.when(F.col("kind") == 1, F.col("a")).otherwise(F.col("b")).alias("p"), "d").alias("e"))
+        known = far.join(members.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.map_from_entries(F.collect_set("e")).alias("dist"))
+        more = cut(spark, _across(members.join(known, "sig", "left"), similar).join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             links = cut(spark, links.union(measure(more).where(linked).select("a", "b")))
             roots = components(spark, links)
