@@ -357,7 +357,8 @@ def _across(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
     x = members.select(*[F.col(c).alias(f"x_{c}") for c in ("sig", "n", "place", "comp", "dist")], "key")
     y = members.where("comp <> main").select(*[F.col(c).alias(f"y_{c}") for c in ("sig", "n", "place", "comp", "dist")], F.col("key").alias("y_key"))
     shared = F.map_keys("x_dist")
-    near = F.forall(shared, lambda p: F.coalesce(F.abs(F.col("x_dist")[p] - F.col("y_dist")[p]) <= t, F.lit(True)))
+    # no map where the sizes or places rule out each pivot: then no distance tells anything
+    near = F.coalesce(F.forall(shared, lambda p: F.coalesce(F.abs(F.col("x_dist")[p] - F.col("y_dist")[p]) <= t, F.lit(True))), F.lit(True))
     best = F.least("x_place", "y_place") + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
     enough = best * similar[1] >= similar[0] * (F.col("x_n") + F.col("y_n") - best)
     met = x.join(y, (F.col("key") == F.col("y_key")) & (F.col("x_comp") != F.col("y_comp")) & enough & near)

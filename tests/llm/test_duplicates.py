@@ -73,6 +73,23 @@ def test_jaccard(spark, docs, rows, leaf, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_jaccard_longer_pivots(spark):
+    """Near copies whose regions have longer texts as pivots, so that no distance of theirs is known."""
+    own = random.Random(23)
+    groups = []
+    for g in range(12):
+        passage = [f"w{own.randrange(60)}" for _ in range(44)]
+        group = [" ".join(passage[:-1] + [f"end{g}x{k}"]) for k in range(2)]
+        group += [" ".join(passage + [f"w{own.randrange(60)}" for _ in range(60)]) for _ in range(8)]
+        groups.append(group)
+    # members of a group lie apart, so that no task finds their shingles often
+    rows = list(enumerate(group[k] for k in range(10) for group in groups))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard.jaccard_components(spark, docs).collect()), key=repr)
+    assert got == brute_components(rows)
+    assert sum(c != d for d, _, c in got) == 12
+
+
 def test_one_of_each(spark, docs, rows):
     kept = jaccard.one_of_each(spark, docs)
     assert kept.columns == docs.columns
