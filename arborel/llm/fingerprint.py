@@ -2,7 +2,8 @@
 
 Each window of WINDOW bytes has an entropy; windows of an entropy that running text seldom has rank
 first. In each stretch of STRETCH windows the first of the best rank gets a vote, and windows with
-VOTES or more are the features. They go in order into Bloom filters of a fixed size, a new one after
+VOTES or more are the features; a text that has none by this rule is told by its windows of most
+votes, or without any vote by those of most entropy. Features go in order into Bloom filters of a fixed size, a new one after
 FEATURES. Two fingerprints are compared filter by filter: shared bits, less those that chance gives.
 """
 
@@ -35,6 +36,8 @@ _GRID = np.arange(int(np.log2(WINDOW) * _GRAIN) + 2) / _GRAIN
 _RANK = np.where(_GRID < LEAST, 1 << 20, np.rint(1000 * np.exp(-(((_GRID - USUAL) / SPREAD) ** 2) / 2))).astype(np.int64)
 #: Bytes before an edit within which features can change, and bytes before those that their votes see.
 REACH, SIGHT = WINDOW + 2 * STRETCH, STRETCH
+#: The place of a feature that a text has only because there is no other: it says nothing of a part of the text.
+NOWHERE = np.iinfo(np.int64).max
 
 
 def entropies(buf: np.ndarray) -> np.ndarray:
@@ -65,10 +68,14 @@ def entropies(buf: np.ndarray) -> np.ndarray:
     return np.log2(WINDOW) - np.cumsum(into)[WINDOW - 1 :] / WINDOW
 
 
-def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, place in it and hash of each feature, in order. A text shorter than a window is a feature as a whole, an empty one has none."""
+def features(buf: np.ndarray, offsets: np.ndarray, fill: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place in it and hash of each feature, in order. A text shorter than a window is a feature as a whole, an empty one has none.
+
+    fill: texts of a window or more that have no feature get their best windows, at the place NOWHERE.
+    """
     sizes = np.diff(offsets)
     docs, hashes, places = [], [], []
+    filled = np.zeros(len(sizes), dtype=bool)
     short = np.flatnonzero((sizes > 0) & (sizes < WINDOW))
     roll = RollingHash(buf)
     if len(short):
@@ -89,13 +96,22 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         at = np.arange(len(doc)) - np.repeat(np.cumsum(starts) - starts, starts) + np.repeat(offsets[:-1], starts)
         best = key[at] if len(at) else np.zeros(0, np.int64)
         best = best[best >> 40 < 1 << 20] & ((1 << 40) - 1)
-        votes = np.bincount(best, minlength=1)
+        votes = np.bincount(best, minlength=len(rank))
         won = np.flatnonzero(votes >= VOTES)
         # texts with fewer windows than a stretch: their best window
         few = np.flatnonzero((sizes >= WINDOW) & (starts == 0))
         extra = [offsets[k] + int(np.argmin(rank[offsets[k] : offsets[k + 1] - WINDOW + 1])) for k in few.tolist()]
         extra = [x for x in extra if rank[x] < 1 << 20]
         won = np.sort(np.concatenate((won, np.array(extra, dtype=np.int64))))
+        if fill:
+            filled = sizes >= WINDOW
+            filled[np.searchsorted(offsets, won, side="right") - 1] = False
+            more = []
+            for k in np.flatnonzero(filled).tolist():
+                own = slice(offsets[k], offsets[k + 1] - WINDOW + 1)
+                worth = votes[own] if votes[own].any() else np.rint(bits[own] * _GRAIN)
+                more.append(offsets[k] + np.flatnonzero(worth == worth.max()))
+            won = np.sort(np.concatenate((won, *more)))
         docs.append(np.searchsorted(offsets, won, side="right") - 1)
         places.append(won)
         hashes.append(mix(roll.slices(won, won + WINDOW)))
@@ -103,7 +119,8 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
     doc, place, value = np.concatenate(docs), np.concatenate(places), np.concatenate(hashes)
     order = np.argsort(place, kind="stable")
-    return doc[order], place[order] - offsets[doc[order]], value[order]
+    doc = doc[order]
+    return doc, np.where(filled[doc], NOWHERE, place[order] - offsets[doc]), value[order]
 
 
 def chained(own: np.ndarray) -> np.ndarray:
@@ -144,12 +161,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(best.mean() if len(a) < len(b) else (best.mean() + back.mean()) / 2)
 
 
-def _features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+def _features(texts: list[bytes], fill: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
     """Places and hashes of the features of each text."""
     buf, offsets = flat(pa.array(texts, pa.binary()))
     out = []
     for a, b in chunks(offsets, 1 << 20):
-        doc, place, value = features(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        doc, place, value = features(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], fill)
         bounds = np.searchsorted(doc, np.arange(b - a + 1)).tolist()
         out += [(place[i:j], value[i:j]) for i, j in zip(bounds, bounds[1:])]
     return out
@@ -158,12 +175,16 @@ def _features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
 def _edited(texts: list[bytes], edited: list[bytes], same: list[int], own: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     """The features of edited texts, of which so many first bytes are the same: only those near the edit and after it are made."""
     begin = [max(0, s - REACH - SIGHT) if min(len(t), len(e)) > 2 * (REACH + SIGHT) else 0 for t, e, s in zip(texts, edited, same)]
-    made = _features([e[b:] for e, b in zip(edited, begin)])
+    made = _features([e[b:] for e, b in zip(edited, begin)], fill=False)
     out = []
     for b, (place, value), (first, kept) in zip(begin, made, own):
         if b:
             value = np.concatenate((kept[first < b + SIGHT], value[place >= SIGHT]))
         out.append(value)
+    # only a whole text tells that it has no feature
+    without = [k for k, value in enumerate(out) if len(value) == 0]
+    for k, (_, value) in zip(without, _features([edited[k] for k in without])):
+        out[k] = value
     return out
 
 

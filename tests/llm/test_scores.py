@@ -92,6 +92,25 @@ def test_fingerprints(spark, table):
     assert fingerprint.fingerprints(spark, docs.where("doc_id = 3")).first()["near_next"] == 1.0
 
 
+def test_fingerprints_of_short_and_even_texts(spark):
+    own = random.Random(6)
+    prose = lambda size: " ".join("".join(own.choice("etaoinshrdlu") for _ in range(own.randint(2, 8))) for _ in range(size))[:size]
+    rows = list(enumerate(prose(size) for size in range(100, 201)))
+    even = ["a" * 150, "b" * 150, "a" * 99 + "c" + "a" * 99, "a" * 99 + "d" + "a" * 99, "abcdefgh" * 200, "hijklmno" * 200, "x" * 3000, prose(3000), "y" * 3000, "é" * 2000]
+    rows += [(1000 + k, t) for k, t in enumerate(even)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(spark, docs).collect()}
+    assert len(got) == len(rows)
+    for (d, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        r = got[d]
+        assert r["fingerprint"] and r["edited_fingerprint"]
+        assert r["near_next"] < 0.5, (d, len(t))  # one feature of 5 bits meets some of a full filter by chance
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        assert r["edited_fingerprint"] == fingerprint.text_of(fingerprint.chained(fingerprint._features([edited.encode()])[0][1]))
+    assert len({r["fingerprint"] for r in got.values()}) == len(rows)
+    assert any(got[d]["near_edited"] < 1.0 for d in range(27, 42))
+
+
 def plain_spans(t):
     digits = lambda x: re.sub("[^0-9]", "", x)
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
