@@ -119,6 +119,13 @@ EXPRESSIONS: dict[str, tuple[str, str]] = {
         "/lineitem/row[l_orderkey lt 100] ! map{'k': l_orderkey, 'l': l_linenumber, 'd': days-from-duration(l_shipdate - xs:dateTime('1990-01-01T00:00:00'))}",
         "SELECT l_orderkey AS k, l_linenumber::BIGINT AS l, date_diff('day', TIMESTAMP '1990-01-01', date_trunc('day', l_shipdate)) AS d FROM lineitem WHERE l_orderkey < 100",
     ),
+    # the same three features over every row of their tables
+    "xp_date_string_whole": ("/orders/row ! map{'k': o_orderkey, 's': string(xs:date(o_orderdate))}", "SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS s FROM orders"),
+    "xp_durations_whole": (
+        "/lineitem/row ! map{'k': l_orderkey, 'l': l_linenumber, 'd': days-from-duration(l_shipdate - xs:dateTime('1990-01-01T00:00:00'))}",
+        "SELECT l_orderkey AS k, l_linenumber::BIGINT AS l, date_diff('day', TIMESTAMP '1990-01-01', date_trunc('day', l_shipdate)) AS d FROM lineitem",
+    ),
+    "xp_format_date_whole": ("/orders/row ! map{'k': o_orderkey, 'f': format-dateTime(o_orderdate, '[Y0001]/[M01]/[D01]')}", "SELECT o_orderkey AS k, strftime(o_orderdate, '%Y/%m/%d') AS f FROM orders"),
     "xp_json": ("/events/row ! map{'k': event_id, 'v': xs:integer(parse-json(props)?k)}", "SELECT event_id AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) AS v FROM events"),
     "xp_casts": (
         "/events/row ! map{'k': event_id, 's': xs:string(user_id), 'i': xs:integer(value), 'c': event_type castable as xs:integer, 'b': xs:boolean(user_id)}",

@@ -40,3 +40,8 @@ def test_same_as_sql(spark, db, name):
 def test_predicates_reach_the_scan(spark, name, pushed, read):
     plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert pushed in plan and f"struct<{read}>" in plan
+
+
+@pytest.mark.parametrize("name,table", [("xp_date_string", "orders"), ("xp_durations", "lineitem"), ("xp_format_date", "orders")])
+def test_dates_over_whole_tables(spark, name, table):
+    assert queries.queries()[f"{name}_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
