@@ -97,6 +97,13 @@ EXPRESSIONS: dict[str, tuple[str, str]] = {
         " substr(CASE WHEN strpos(text, ' ') > 0 THEN substr(text, strpos(text, ' ') + 1) ELSE '' END, 1, 20) AS a,"
         " replace(replace(translate(substr(text, 1, 30), 'aei', 'AEI'), 'o', ''), 'u', '') AS t FROM documents",
     ),
+    # the same functions over whole texts
+    "xp_strings_whole": (
+        "/documents/row ! map{'k': doc_id, 'u': lower-case(text), 'a': substring-after(text, ' '), 't': translate(text, 'aeiou', 'AEI')}",
+        "SELECT doc_id AS k, lower(text) AS u, CASE WHEN strpos(text, ' ') > 0 THEN substr(text, strpos(text, ' ') + 1) ELSE '' END AS a,"
+        " replace(replace(translate(text, 'aei', 'AEI'), 'o', ''), 'u', '') AS t FROM documents",
+    ),
+    "xp_substring": ("/documents/row ! map{'k': doc_id, 's': substring(text, 1, 12), 'm': substring(text, 31, 20), 'r': substring(text, 40)}", "SELECT doc_id AS k, substr(text, 1, 12) AS s, substr(text, 31, 20) AS m, substr(text, 40) AS r FROM documents"),
     "xp_string_tests": (
         "/documents/row[contains(text, 'the') and (starts-with(lang, 'e') or ends-with(source, '3'))]/doc_id",
         "SELECT doc_id AS value FROM documents WHERE contains(text, 'the') AND (starts_with(lang, 'e') OR source LIKE '%3')",
