@@ -37,6 +37,8 @@ PIVOTS = 1
 CELL_BITS = 21
 #: Classes that a task remembers having told, before it forgets them all.
 SEEN = 500_000
+#: Sets of more elements are compared by whole hashes, others by 40 bits of them.
+WIDE = 4096
 U64 = np.uint64
 
 
@@ -264,16 +266,28 @@ def _pairs_of_regions(regions: DataFrame, similar: tuple[int, int]) -> DataFrame
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Sorted hashes by their upper 40 bits, 5 bytes each."""
-    return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    """The bytes of each hash that are kept, 5 or in large sets 8, then the upper bytes of the sorted hashes."""
+    size = 8 if len(values) > WIDE else 5
+    return bytes([size]) + values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
-def unpack(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 5, 8), dtype=np.uint8)
-    wide[:, 3:] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
+def unpack(data: bytes, size: int) -> np.ndarray:
+    """The upper bytes of the hashes, as many as asked for and kept at most."""
+    kept = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(-1, data[0])
+    wide = np.zeros((len(kept), 8), dtype=np.uint8)
+    wide[:, 8 - size :] = kept[:, :size]
     return wide.view(">u8").ravel().astype(U64)
 
 
+def shared(p: bytes, q: bytes) -> tuple[int, int, int]:
+    """The sizes of two packed sets, and their shared elements."""
+    size = min(p[0], q[0])
+    u, v = unpack(p, size), unpack(q, size)
+    at = np.searchsorted(v, u)
+    at[at == len(v)] = 0
+    return len(u), len(v), int((v[at] == u).sum()) if len(v) else 0
+
+
 def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Adds the sizes and the shared elements of both sets of each pair."""
     left = sets.select(F.col("sig").alias("a"), F.col("set").alias("x"))
@@ -282,15 +296,8 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            n, m, both = [], [], []
-            for p, q in zip(x, y):
-                u, v = unpack(p), unpack(q)
-                n.append(len(u))
-                m.append(len(v))
-                at = np.searchsorted(v, u)
-                at[at == len(v)] = 0
-                both.append(int((v[at] == u).sum()) if len(v) else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(both, pa.int64())], names=["a", "b", "n", "m", "both"])
+            told = np.array([shared(p, q) for p, q in zip(x, y)], dtype=np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in told.T.copy())], names=["a", "b", "n", "m", "both"])
 
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return mapped(joined, run, "a long, b long, n long, m long, both long")

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from arborel.llm import decontam, jaccard, suffix_dedup
 
@@ -90,6 +91,18 @@ def test_jaccard_longer_pivots(spark):
     assert sum(c != d for d, _, c in got) == 12
 
 
+def test_large_sets_by_whole_hashes():
+    """Elements that agree in 40 bits are not shared by sets large enough for that to happen."""
+    own = np.random.default_rng(5)
+    large = np.unique(own.integers(0, 1 << 63, 20_000, dtype=np.uint64) << np.uint64(1))
+    other = large.copy()
+    other[:100] ^= np.uint64(1)
+    assert jaccard.shared(jaccard.pack(large), jaccard.pack(other)) == (len(large), len(large), len(large) - 100)
+    small = large[::10]
+    assert jaccard.shared(jaccard.pack(small), jaccard.pack(small[:500])) == (len(small), 500, 500)
+    assert jaccard.shared(jaccard.pack(large), jaccard.pack(small)) == (len(large), len(small), len(small))
+
+
 def test_one_of_each(spark, docs, rows):
     kept = jaccard.one_of_each(spark, docs)
     assert kept.columns == docs.columns
