@@ -162,7 +162,7 @@ def crc32_text(value: int) -> int:
 
 def bounded_sample(df: DataFrame, by: list[str], key: str, bound: int) -> DataFrame:
     """About `bound` rows of each class, by a hash of the key; the class sizes come from one count over all rows."""
-    counts = df.groupBy(*by).count()
+    counts = cut(df.sparkSession, df.groupBy(*by).count())
     picked = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000))
-    joined = df.join(F.broadcast(counts.limit(10_000)), by)
+    joined = df.join(broadcast_if_small(counts, counts.count()), by)
     return joined.where(picked < F.lit(1_000_000.0) * F.least(F.lit(1.0), F.lit(float(bound)) / F.col("count"))).drop("count")

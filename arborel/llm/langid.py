@@ -19,9 +19,8 @@ from .common import bounded_sample, chunks, flat, held_out, mapped
 #: n-grams of 1 to 3 characters, and the ranks that are compared.
 LONGEST = 3
 PROFILE = 400
-#: Rows of each language that the profiles are learnt from, and languages at most in a model.
+#: Rows of each language that the profiles are learnt from.
 TRAIN_ROWS = 2000
-LANGUAGES = 10_000
 PART_BYTES = 1 << 20
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 _classes: list[np.ndarray] = []
@@ -158,8 +157,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = PROFILE) -> Profile
     top = counted.withColumn("r", F.row_number().over(by)).where(F.col("r") <= most)
     counts: dict[str, dict[int, int]] = {}
     for row in top.toLocalIterator():
-        if row["lang"] in counts or len(counts) < LANGUAGES:
-            counts.setdefault(row["lang"], {})[row["gram"]] = row["n"]
+        counts.setdefault(row["lang"], {})[row["gram"]] = row["n"]
     return Profiles(counts, most)
 
 

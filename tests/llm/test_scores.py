@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 SF = "/root/testdata/sf0.1"
 
 
+def test_more_languages_than_ten_thousand(spark):
+    rows = spark.range(16_000).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
+    want = {f"l{k}" for k in range(16_000) if zlib.crc32(str(k).encode()) % 3 != 1}
+    assert len(want) > 10_000 and set(langid.fit(rows).languages) == want
+
+
 @pytest.fixture(scope="module")
 def table(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
