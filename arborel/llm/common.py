@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import zlib
 from collections.abc import Iterator
@@ -17,10 +18,10 @@ from ..runtime import ship
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-#: One random 64-bit value for each byte value, drawn from a fixed seed.
-BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: Bytes whose mixed values are the terms of a polynomial hash.
+GRAM = 8
 #: Bytes handled at once by the vector code, unless one text alone is longer.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -30,35 +31,58 @@ def held_out(doc_id: Column) -> Column:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64, kept between calls."""
+    """base**0 .. base**n modulo 2**64; those for usual chunks are kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n + 1:
-        size = max(n + 1, CHUNK_BYTES + (1 << 17))
-        have = np.full(size, base, dtype=U64)
+        have = np.full(max(n + 1, CHUNK_BYTES + (1 << 16)), base, dtype=U64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        _powers[base] = have
+        if n <= CHUNK_BYTES + (1 << 16):
+            _powers[base] = have
     return have
 
 
 class RollingHash:
-    """Polynomial hashes modulo 2**64 of any slices of one buffer."""
+    """Polynomial hashes modulo 2**64 of any slices of one buffer.
+
+    The terms are not bytes but mixed values of the GRAM bytes from each place. A polynomial over
+    plain bytes gives equal hashes to words that mirror each other at powers of two, such as the
+    Thue-Morse word and its complement; here the terms of such words do not cancel. A slice of fewer
+    bytes is told by these and their number, without collisions.
+    """
 
     def __init__(self, buf: np.ndarray) -> None:
-        self.prefix = np.zeros(len(buf) + 1, dtype=U64)
-        terms = BYTE_VALUES[buf]
-        terms *= powers(_BASE, len(buf))[: len(buf)]
+        n = len(buf)
+        wide = np.concatenate((buf, np.zeros(2 * GRAM, np.uint8)))
+        self.grams = np.empty(n + 1, dtype=U64)
+        for k in range(min(GRAM, n + 1)):
+            count = (n - k) // GRAM + 1
+            self.grams[k::GRAM] = wide[k : k + count * GRAM].view("<u8")
+        terms = self.grams[:n] * U64(0xFF51AFD7ED558CCD)
+        terms ^= terms >> U64(32)
+        terms *= U64(0xC4CEB9FE1A85EC53)
+        terms ^= terms >> U64(29)
+        terms *= powers(_BASE, n)[:n]
+        self.prefix = np.zeros(n + 1, dtype=U64)
         np.cumsum(terms, out=self.prefix[1:])
-        self.inverse = powers(_INVERSE, len(buf))
+        self.inverse = powers(_INVERSE, n)
 
     def slices(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return (self.prefix[ends] - self.prefix[starts]) * self.inverse[starts]
+        sizes = ends - starts
+        out = (self.prefix[np.maximum(ends - GRAM + 1, 0)] - self.prefix[starts]) * self.inverse[starts]
+        few = np.flatnonzero(sizes < GRAM)
+        if len(few):
+            size = sizes[few].astype(U64)
+            out[few] = (self.grams[starts[few]] & ((U64(1) << (U64(8) * size)) - U64(1))) | (size << U64(56))
+        return out
 
     def windows(self, size: int) -> np.ndarray:
         """Hashes of all slices of this size, by their start."""
-        n = len(self.prefix) - size
-        out = self.prefix[size:] - self.prefix[:n] if n > 0 else np.zeros(0, U64)
-        out *= self.inverse[: len(out)]
+        n = max(len(self.prefix) - size, 0)
+        if size < GRAM:
+            return self.slices(np.arange(n), np.arange(n) + size)
+        out = self.prefix[size - GRAM + 1 : size - GRAM + 1 + n] - self.prefix[:n]
+        out *= self.inverse[:n]
         return out
 
 
@@ -128,13 +152,16 @@ def mapped(df: DataFrame, run, schema: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder, from spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The cluster's shared scratch folder, from spark.checkpoint.dir. Where that is unset, a session on one machine makes one of its own."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     told = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
-    told = told or tempfile.mkdtemp(prefix="arborel-")
+    if not told:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        told = tempfile.mkdtemp(prefix="arborel-")
     sc.setCheckpointDir(told)
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -30,16 +30,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, flat, mapped, shared_dir
-from .pieces import PieceTable
+from .pieces import parts
 
 MAGIC = b"ARBSST1\n"
 FOOTER = struct.Struct("<QQQQI8s")
 BLOCK_BYTES = 64 << 10
 RESTART = 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-PART_BYTES = 8 << 20
+#: Bytes of text that are encoded at once, unless one text alone is longer.
+PART_BYTES = 1 << 20
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
-_coders: dict[str, PieceTable] = {}
+_coders: dict = {}
 
 
 def varint(n: int) -> bytes:
@@ -200,23 +201,22 @@ class Reader:
         return out
 
 
-def coder(path: str) -> PieceTable:
-    """The tokenizer of a worker behind a table of pieces."""
+def coder(path: str):
+    """The tokenizer of a worker; one thread, as each core has a worker."""
     if path not in _coders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(path)
-        encode = getattr(own, "encode_batch_fast", own.encode_batch)
+        _coders[path] = Tokenizer.from_file(path)
+    return _coders[path]
 
-        def many(pieces: list[str]) -> list[bytes]:
-            out: list[bytes] = []
-            for at in range(0, len(pieces), 20_000):
-                out += [np.array(x.ids, dtype="<u4").tobytes() for x in encode(pieces[at : at + 20_000], add_special_tokens=False)]
-            return out
 
-        _coders[path] = PieceTable(many)
-    return _coders[path]
+def encode(own, texts: list[str | None]) -> Iterator[np.ndarray]:
+    """The ids of each whole text; null is empty. Very long texts go part by part, others together."""
+    split = [list(parts(t or "")) for t in texts]
+    made = iter(own.encode_batch_fast([p for found in split for p in found], add_special_tokens=False))
+    for found in split:
+        yield np.concatenate([np.array(next(made).ids, dtype=np.uint32) for _ in found])
 
 
 def store(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -236,7 +236,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: s
     ordered = docs.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, own, part, name, last, row = coder(tokenizer), None, 0, "", None, 0
+        model, own, part, name, last, row = coder(tokenizer), None, 0, "", None, 0
         for batch in batches:
             if batch.num_rows and own is None:
                 part = batch.column(2)[0].as_py()
@@ -245,13 +245,12 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: s
                 fs.create_dir(path, recursive=True)
                 out = fs.open_output_stream(f"{path}/{name}.tmp")
                 own = Writer(out)
-            buf, offsets = flat(batch.column(1))
+            _, offsets = flat(batch.column(1))
             for a, b in chunks(offsets, PART_BYTES):
-                ids, bounds = table.encode(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                for k, doc_id in enumerate(batch.column(0).slice(a, b - a).to_pylist()):
+                made = encode(model, batch.column(1).slice(a, b - a).to_pylist())
+                for doc_id, one in zip(batch.column(0).slice(a, b - a).to_pylist(), made):
                     row = row + 1 if own.docs and doc_id == last else 0
                     last = doc_id
-                    one = ids[bounds[k] : bounds[k + 1]]
                     own.add(key_of(doc_id, row), one if end_id is None else np.append(one, np.uint32(end_id)))
         if own is not None:
             own.close()

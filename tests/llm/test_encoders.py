@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import io
+import random
+import time
 import zlib
 
 import numpy as np
@@ -10,6 +12,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 from arborel.llm import bpe, sstable
+from arborel.llm.pieces import parts
 from tokenizers import Tokenizer
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -19,6 +22,11 @@ TEXTS = [
 ]
 
 
+def plain_ranks():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(k, t, "clash") for k, t in enumerate(TEXTS)] + [(None, "no id", "clash"), (3, "again", "clash")]
@@ -26,8 +34,7 @@ def docs(spark):
 
 
 def test_byte_bpe(docs):
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
-    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    plain = plain_ranks()
     want = []
     for row in docs.collect():
         raw = np.array(plain.encode_ordinary(row["text"] or ""), dtype="<u4").tobytes()
@@ -38,9 +45,56 @@ def test_byte_bpe(docs):
 
 def test_rank_queue_order():
     queue = bpe.RankQueue(50_000)
-    queue.push(np.array([40_000, 7, 7, -1, 5000]), np.arange(5))
-    assert [(r, p.tolist()) for r, p in (queue.pop(), queue.pop(), queue.pop())] == [(7, [1, 2]), (5000, [4]), (40_000, [0])]
-    assert queue.pop() is None
+    for position, rank in enumerate([40_000, 7, 5000]):
+        queue.push(rank, position)
+    queue.push(7, 0)
+    assert [queue.pop() for _ in range(4)] == [(7, 0), (7, 1), (5000, 2), (40_000, 0)]
+    assert not queue.top and not any(queue.low) and not any(queue.mid) and not queue.buckets
+
+
+def test_words_that_mirror_each_other():
+    """The Thue-Morse word and its complement, which polynomial hashes of bytes cannot tell apart."""
+    word = "".join("ab"[k.bit_count() & 1] for k in range(1024))
+    plain, coder = plain_ranks(), bpe.ByteBPE(RANKS, P.PATTERN)
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), f"x {word}"]
+    for text, ids in zip(texts, sstable.encode(own, texts)):
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == plain.encode_ordinary(text)
+        assert coder.decode(coder.encode(text)) == text.encode()
+        assert ids.tolist() == own.encode(text, add_special_tokens=False).ids
+
+
+def test_long_pretokens_take_few_steps():
+    """A quadratic queue would take minutes on these."""
+    coder, plain = bpe.ByteBPE(RANKS, P.PATTERN), plain_ranks()
+    rng = random.Random(5)
+    for text in ("a" * 400_000, "".join(rng.choice("abcde") for _ in range(100_000))):
+        began = time.perf_counter()
+        got = coder.encode(text)
+        assert time.perf_counter() - began < 20
+        assert np.frombuffer(got, "<u4").tolist() == plain.encode_ordinary(text)
+
+
+def test_parts_of_long_texts():
+    """Texts cut at safe places give the ids of the whole text; those without such a place stay whole."""
+    rng = random.Random(6)
+    own, coder, plain = Tokenizer.from_file(P.path("byte_bpe_50k.json")), bpe.ByteBPE(RANKS, P.PATTERN), plain_ranks()
+    for alphabet in ("ab  é1.,\n", "日本語の　x ", "don't we'll 12  ", "<|endoftext|> a"):
+        text = "".join(rng.choice(alphabet) for _ in range(3000))
+        cut = list(parts(text, 100))
+        assert "".join(cut) == text
+        assert [i for p in cut for i in own.encode(p, add_special_tokens=False).ids] == own.encode(text, add_special_tokens=False).ids
+        assert [i for p in cut for i in np.frombuffer(coder.encode(p), "<u4").tolist()] == plain.encode_ordinary(text)
+    assert len(list(parts("one two " * 100, 50))) > 5 and list(parts("x" * 300, 50)) == ["x" * 300] and list(parts("")) == [""]
+
+
+def test_pretokens_are_forgotten_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 5000)
+    coder, plain = bpe.ByteBPE(RANKS, P.PATTERN), plain_ranks()
+    for k in range(0, 400, 10):
+        text = " ".join(f"w{k + i}xyz" for i in range(10))
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == plain.encode_ordinary(text)
+        assert coder.held < 5000 + 10 * 300
 
 
 def test_empty_table(docs):
