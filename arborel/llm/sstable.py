@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, flat, mapped, shared_dir
-from .pieces import parts
+from .pieces import PieceTable
 
 MAGIC = b"ARBSST1\n"
 FOOTER = struct.Struct("<QQQQI8s")
@@ -38,9 +38,11 @@ BLOCK_BYTES = 64 << 10
 RESTART = 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Bytes of text that are encoded at once, unless one text alone is longer.
-PART_BYTES = 1 << 20
+PART_BYTES = 2 << 20
+#: Pieces that the tokenizer gets at once.
+TOGETHER = 5000
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
-_coders: dict = {}
+_coders: dict[str, Coder] = {}
 
 
 def varint(n: int) -> bytes:
@@ -201,22 +203,63 @@ class Reader:
         return out
 
 
-def coder(path: str):
-    """The tokenizer of a worker; one thread, as each core has a worker."""
-    if path not in _coders:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+class Coder:
+    """The ids that the tokenizers library gives to texts, by way of the table of pieces.
+
+    Pieces that begin with a space and end without are encoded as one text, as the pattern begins a
+    match at each such space; the bytes of the tokens tell which are whose.
+    """
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each core has a worker of its own
         from tokenizers import Tokenizer
 
-        _coders[path] = Tokenizer.from_file(path)
-    return _coders[path]
+        self.own = Tokenizer.from_file(path)
+        # byte-level tokens have a character for each byte; added ones stand for themselves
+        sizes = {k: len(token) for token, k in self.own.get_vocab(with_added_tokens=False).items()}
+        sizes |= {k: len(token.content.encode()) for k, token in self.own.get_added_tokens_decoder().items()}
+        self.sizes = np.zeros(max(sizes) + 1, dtype=np.int64)
+        self.sizes[list(sizes)] = list(sizes.values())
+        self.table = PieceTable(self.encode)
+
+    def together(self, pieces: list[str]) -> list[bytes] | None:
+        """The ids of pieces encoded as one text, or None where tokens do not end where pieces do."""
+        ids = np.array(self.own.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.concatenate(([0], np.cumsum(self.sizes[ids])))
+        want = np.concatenate(([0], np.cumsum([len(p.encode()) for p in pieces])))
+        at = np.searchsorted(ends, want)
+        if ends[-1] != want[-1] or (ends[at] != want).any():
+            return None
+        return [ids[i:j].tobytes() for i, j in zip(at, at[1:])]
+
+    def apart(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.own.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(pieces)
+        plain = [k for k, p in enumerate(pieces) if p[0] == " " and not p[1:2].isspace() and not p[-1].isspace()]
+        rest = set(range(len(pieces))).difference(plain)
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            found = self.together([pieces[k] for k in some])
+            if found is None:
+                rest.update(some)
+            else:
+                for k, x in zip(some, found):
+                    out[k] = x
+        listed = sorted(rest)
+        for at in range(0, len(listed), TOGETHER):
+            some = listed[at : at + TOGETHER]
+            for k, x in zip(some, self.apart([pieces[k] for k in some])):
+                out[k] = x
+        return out
 
 
-def encode(own, texts: list[str | None]) -> Iterator[np.ndarray]:
-    """The ids of each whole text; null is empty. Very long texts go part by part, others together."""
-    split = [list(parts(t or "")) for t in texts]
-    made = iter(own.encode_batch_fast([p for found in split for p in found], add_special_tokens=False))
-    for found in split:
-        yield np.concatenate([np.array(next(made).ids, dtype=np.uint32) for _ in found])
+def coder(path: str) -> PieceTable:
+    """The tokenizer of a worker behind a table of pieces."""
+    if path not in _coders:
+        _coders[path] = Coder(path)
+    return _coders[path].table
 
 
 def store(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -236,7 +279,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: s
     ordered = docs.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, own, part, name, last, row = coder(tokenizer), None, 0, "", None, 0
+        table, own, part, name, last, row = coder(tokenizer), None, 0, "", None, 0
         for batch in batches:
             if batch.num_rows and own is None:
                 part = batch.column(2)[0].as_py()
@@ -245,12 +288,13 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: s
                 fs.create_dir(path, recursive=True)
                 out = fs.open_output_stream(f"{path}/{name}.tmp")
                 own = Writer(out)
-            _, offsets = flat(batch.column(1))
+            buf, offsets = flat(batch.column(1))
             for a, b in chunks(offsets, PART_BYTES):
-                made = encode(model, batch.column(1).slice(a, b - a).to_pylist())
-                for doc_id, one in zip(batch.column(0).slice(a, b - a).to_pylist(), made):
+                ids, bounds = table.encode(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                for k, doc_id in enumerate(batch.column(0).slice(a, b - a).to_pylist()):
                     row = row + 1 if own.docs and doc_id == last else 0
                     last = doc_id
+                    one = ids[bounds[k] : bounds[k + 1]]
                     own.add(key_of(doc_id, row), one if end_id is None else np.append(one, np.uint32(end_id)))
         if own is not None:
             own.close()

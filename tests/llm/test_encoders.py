@@ -9,10 +9,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
-from arborel.llm import bpe, sstable
-from arborel.llm.pieces import parts
+from arborel.llm import bpe, pieces, sstable
+from arborel.llm.common import flat
 from tokenizers import Tokenizer
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -44,57 +45,81 @@ def test_byte_bpe(docs):
 
 
 def test_rank_queue_order():
-    queue = bpe.RankQueue(50_000)
+    queue = bpe.SharedQueue(50_000)
+    queue.push(np.array([40_000, 7, 7, -1, 5000]), np.arange(5))
+    assert [(r, p.tolist()) for r, p in (queue.pop(), queue.pop(), queue.pop())] == [(7, [1, 2]), (5000, [4]), (40_000, [0])]
+    assert queue.pop() is None
+    queue = bpe.LongQueue(50_000)
     for position, rank in enumerate([40_000, 7, 5000]):
         queue.push(rank, position)
     queue.push(7, 0)
-    assert [queue.pop() for _ in range(4)] == [(7, 0), (7, 1), (5000, 2), (40_000, 0)]
-    assert not queue.top and not any(queue.low) and not any(queue.mid) and not queue.buckets
+    assert [queue.pop() for _ in range(5)] == [(7, 0), (7, 1), (5000, 2), (40_000, 0), None]
+    assert not queue.bits.top and not any(queue.bits.low) and not any(queue.bits.mid) and not queue.buckets
+
+
+def ids_of(table, texts):
+    ids, bounds = table.encode(*flat(pa.array(texts, pa.string())))
+    return [ids[i:j].tolist() for i, j in zip(bounds, bounds[1:])]
+
+
+def both_tables():
+    """Each table with the plain encoder that it must equal."""
+    own, plain = Tokenizer.from_file(P.path("byte_bpe_50k.json")), plain_ranks()
+    yield sstable.Coder(P.path("byte_bpe_50k.json")).table, lambda t: own.encode(t, add_special_tokens=False).ids
+    yield bpe.ByteBPE(RANKS, P.PATTERN).table, plain.encode_ordinary
 
 
 def test_words_that_mirror_each_other():
     """The Thue-Morse word and its complement, which polynomial hashes of bytes cannot tell apart."""
     word = "".join("ab"[k.bit_count() & 1] for k in range(1024))
-    plain, coder = plain_ranks(), bpe.ByteBPE(RANKS, P.PATTERN)
-    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     texts = [word, word.translate(str.maketrans("ab", "ba")), f"x {word}"]
-    for text, ids in zip(texts, sstable.encode(own, texts)):
-        assert np.frombuffer(coder.encode(text), "<u4").tolist() == plain.encode_ordinary(text)
-        assert coder.decode(coder.encode(text)) == text.encode()
-        assert ids.tolist() == own.encode(text, add_special_tokens=False).ids
+    for table, plain in both_tables():
+        assert ids_of(table, texts) == [plain(t) for t in texts]
+
+
+@pytest.mark.parametrize("hashes", [1, 2, 50])
+def test_pieces_of_equal_hashes(monkeypatch, hashes):
+    """Pieces are told by their bytes: the ids are right whatever the hash gives."""
+    monkeypatch.setattr(pieces, "mix", lambda x: x % np.uint64(hashes))
+    for table, plain in both_tables():
+        for _ in range(2):
+            assert ids_of(table, TEXTS) == [plain(t or "") for t in TEXTS]
+
+
+def test_any_texts():
+    """Spaces of all kinds, contractions, special tokens and letters of many scripts, through both tables."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(alphabet) for _ in range(300)) for alphabet in ("ab  é1.,\n", "日本語の　x ", "don't we'll 12  ", "a\x1c\x85 \u2003b", "🎉 é̀ x") for _ in range(8)]
+    texts += ["a <|endoftext|> b", "x<|endoftext|>y", "<|endoftext|>"]
+    for table, plain in both_tables():
+        assert ids_of(table, texts) == [plain(t) for t in texts]
 
 
 def test_long_pretokens_take_few_steps():
     """A quadratic queue would take minutes on these."""
     coder, plain = bpe.ByteBPE(RANKS, P.PATTERN), plain_ranks()
     rng = random.Random(5)
-    for text in ("a" * 400_000, "".join(rng.choice("abcde") for _ in range(100_000))):
+    for text in ("a" * 1_000_000, "".join(rng.choice("abcde") for _ in range(200_000))):
         began = time.perf_counter()
-        got = coder.encode(text)
-        assert time.perf_counter() - began < 20
-        assert np.frombuffer(got, "<u4").tolist() == plain.encode_ordinary(text)
+        got = ids_of(coder.table, [text])
+        assert time.perf_counter() - began < 30
+        assert got == [plain.encode_ordinary(text)]
 
 
-def test_parts_of_long_texts():
-    """Texts cut at safe places give the ids of the whole text; those without such a place stay whole."""
-    rng = random.Random(6)
-    own, coder, plain = Tokenizer.from_file(P.path("byte_bpe_50k.json")), bpe.ByteBPE(RANKS, P.PATTERN), plain_ranks()
-    for alphabet in ("ab  é1.,\n", "日本語の　x ", "don't we'll 12  ", "<|endoftext|> a"):
-        text = "".join(rng.choice(alphabet) for _ in range(3000))
-        cut = list(parts(text, 100))
-        assert "".join(cut) == text
-        assert [i for p in cut for i in own.encode(p, add_special_tokens=False).ids] == own.encode(text, add_special_tokens=False).ids
-        assert [i for p in cut for i in np.frombuffer(coder.encode(p), "<u4").tolist()] == plain.encode_ordinary(text)
-    assert len(list(parts("one two " * 100, 50))) > 5 and list(parts("x" * 300, 50)) == ["x" * 300] and list(parts("")) == [""]
+def test_long_and_short_queues_agree():
+    coder, rng = bpe.ByteBPE(RANKS, P.PATTERN), random.Random(8)
+    pretokens = ["".join(rng.choice("abn日é") for _ in range(rng.randint(1, 90))).encode() for _ in range(300)]
+    assert coder.merge_together(pretokens) == [coder.merge_alone(p) for p in pretokens]
 
 
-def test_pretokens_are_forgotten_by_bytes(monkeypatch):
+def test_memory_is_bound_by_bytes(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_BYTES", 5000)
+    monkeypatch.setattr(pieces, "TABLE_BYTES", 5000)
     coder, plain = bpe.ByteBPE(RANKS, P.PATTERN), plain_ranks()
     for k in range(0, 400, 10):
         text = " ".join(f"w{k + i}xyz" for i in range(10))
-        assert np.frombuffer(coder.encode(text), "<u4").tolist() == plain.encode_ordinary(text)
-        assert coder.held < 5000 + 10 * 300
+        assert ids_of(coder.table, [text]) == [plain.encode_ordinary(text)]
+        assert coder.held < 10_000 and coder.table.held() < 10_000
 
 
 def test_empty_table(docs):
