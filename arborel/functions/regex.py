@@ -15,7 +15,7 @@ def _escape(c: str, inside: bool) -> str:
     body = ESCAPES[low]
     if c == low:
         return body if inside else f"[{body}]"
-    return f"&&[^{body}]" if inside else f"[^{body}]"
+    return f"[^{body}]"  # in a class, a member of its union
 
 
 def translate(pattern: str, flags: str = "") -> str:

@@ -17,7 +17,7 @@ from ..functions.values import (
 )
 from .ast import Ex, SeqType
 from .operators import GENERAL, arithmetic, compare
-from .parser import StaticContext
+from .parser import NAMESPACES, StaticContext
 
 #: Functions of the context item when they have no argument.
 OF_CONTEXT = ("string", "number", "string-length", "normalize-space", "data", "tokenize", "name", "local-name", "namespace-uri", "node-name", "root", "path", "has-children", "generate-id", "lang", "nilled", "base-uri", "document-uri")
@@ -264,9 +264,23 @@ class RowCompiler:
             raise error("XPST0051", f"unknown type {t.name}")
         return name
 
+    def qname(self, v: Val, strict: bool = True) -> Val:
+        """A string as a QName, its prefix by the namespaces of the static context; none is the default one for elements."""
+        out = cast_to(v, "QName", strict)
+        known = [(p, u) for p, u in (NAMESPACES | dict(self.static.namespaces)).items()]
+        uris = F.create_map(*[F.lit(x) for pair in [("", self.static.default_namespace), *known] for x in pair])
+        uri = F.try_element_at(uris, out.col["prefix"])
+        bound = F.coalesce(uri, raise_("FONS0004", "no namespace for a prefix", "string")) if strict else uri
+        full = F.struct(bound.alias("ns"), out.col["prefix"].alias("prefix"), out.col["local"].alias("local"))
+        return out.with_col(F.when(out.col.isNotNull() if strict else out.col.isNotNull() & uri.isNotNull(), full))
+
+    def typed(self, v: Val, kind: str, strict: bool = True) -> Val:
+        """One item cast to an atomic type."""
+        return self.qname(v, strict) if base_of(kind) == "QName" and v.type in STRINGS else cast_to(v, kind, strict)
+
     def _cast(self, e: Ex) -> Val:
         v, kind = one(self(e.args[0])), self._type_name(e.val)
-        out = cast_to(v, kind)
+        out = self.typed(v, kind)
         if e.val.occurs != "?":
             if v.type == "empty":
                 raise error("XPTY0004", "an empty sequence cannot be cast")
@@ -278,7 +292,7 @@ class RowCompiler:
         if v.type == "empty":
             return Val(F.lit(e.val.occurs == "?"), "boolean")
         try:
-            out = cast_to(v, kind, strict=False)
+            out = self.typed(v, kind, strict=False)
         except Exception:  # noqa: BLE001  no cast between these types
             return Val(F.lit(False), "boolean")
         return Val(F.when(v.col.isNull(), F.lit(e.val.occurs == "?")).otherwise(out.col.isNotNull()), "boolean")
@@ -363,7 +377,7 @@ class RowCompiler:
         if kind not in ATOMIC:
             raise error("XPST0017", f"unknown constructor xs:{kind}")
         v = one(v)
-        return Val(cast_to(v, kind).col, base_of(kind))
+        return Val(self.typed(v, kind).col, base_of(kind))
 
     def _partial(self, f: Val, fixed: list) -> Val:
         def call(*vs: Val) -> Val:

@@ -173,6 +173,8 @@ class Tables:
 
     def _correlated(self, rows: Rows, path: Ex, keep: bool) -> Rows:
         inner, pairs = self._split(rows, path)
+        if not pairs:
+            raise UnsupportedError("XPTY0004", "no equality joins a path to what is outside")
         on = _all([x == y for x, y in pairs])
         return replace(rows, df=rows.df.join(inner.df, on, "left_semi" if keep else "left_anti"))
 
@@ -182,12 +184,36 @@ class Tables:
             raise UnsupportedError("XPTY0004", "one variable at a time")
         every = e.op == "every"
         inner, pairs = self._split(rows, e.args[0])
+        if not pairs:
+            return self._quantified_by_bound(rows, e, inner, keep)
         inner = replace(inner, bound={**inner.bound, e.val[0]: inner.bound[inner.name]})
         both = Rows(rows.df, {**rows.bound, e.val[0]: inner.bound[inner.name]}, rows.item, rows.name, rows.table)
         test = truth(self.row_compiler(both)(e.args[-1]))
         on = _all([x == y for x, y in pairs] + [~test if every else test])
         return replace(rows, df=rows.df.join(inner.df, on, "left_semi" if keep != every else "left_anti"))
 
+    def _quantified_by_bound(self, rows: Rows, e: Ex, inner: Rows, keep: bool) -> Rows:
+        """Without an equality to join on, a comparison in order is one with the least or the greatest of the path.
+
+        some x in S satisfies x < y is min(S) < y, and every x in S satisfies x < y is max(S) < y or S empty.
+        """
+        test, name, every = e.args[-1], e.val[0], e.op == "every"
+        op = GENERAL.get(test.val, test.val) if test.op in ("gcmp", "vcmp") else None
+        mine = [any(x.op == "var" and x.val == name for x in a.walk()) for a in test.args]
+        if op not in ("lt", "le", "gt", "ge") or sum(mine) != 1:
+            raise UnsupportedError("XPTY0004", f"no equality joins ${name} to what is outside")
+        own, other = test.args if mine[0] else test.args[::-1]
+        op = op if mine[0] else {"lt": "gt", "le": "ge", "gt": "lt", "ge": "le"}[op]
+        both = replace(inner, bound={**inner.bound, name: inner.bound[inner.name]}, item=None)
+        value = inner.item if own.op == "var" and inner.item is not None else atom(self.row_compiler(both)(own))
+        least = (op in ("lt", "le")) != every
+        nan = F.isnan(value.col) if value.type in ("double", "float") else F.lit(False)
+        bound = Val(inner.df.agg((F.min if least else F.max)(F.when(~nan, value.col)).alias("v")).scalar(), value.type)
+        found = F.coalesce(compare(op, bound, atom(self.row_compiler(rows)(other)), self.static, test.op == "gcmp"), F.lit(False))
+        if every:  # no item at all, or none that is null or NaN and thus compares false
+            found = F.coalesce(inner.df.agg(F.bool_and(value.col.isNotNull() & ~nan).alias("v")).scalar() & found, F.lit(True))
+        return replace(rows, df=rows.df.where(found if keep else ~found))
+
     def _split(self, rows: Rows, path: Ex) -> tuple[Rows, list[tuple[Column, Column]]]:
         """A path over a table whose equalities with outer values become join keys."""
         (table, row), rest = path.args[:2], path.args[2:]
@@ -259,22 +285,72 @@ class Tables:
         return rows
 
     def _set(self, e: Ex) -> Rows:
-        a, b = self.path(e.args[0]), self.path(e.args[1])
-        if a.table != b.table:
-            raise UnsupportedError("XPTY0004", "set operators over nodes of one table")
-        names = list(self.frames[a.table].columns)
-        left = a.df.select(*[a.bound[a.name][n].col.alias(n) if n not in self.frames[a.table].columns else a.df[_named(a, n)].alias(n) for n in names])
-        right = b.df.select(*[b.df[_named(b, n)].alias(n) for n in names])
-        keys = self.keys.get(a.table) or names
-        if e.op == "union":
-            df = left.unionByName(right).dropDuplicates(keys)
+        """Set operators over nodes of one table: a node is in the result by where it stands, so each operand is a condition on the row.
+
+        Rows are told apart by their identity, never by their values: equal rows are separate nodes.
+        """
+        leaves = _operands(e)
+        if any(not _absolute(p) for p in leaves):
+            raise UnsupportedError("XPTY0004", "set operators over paths")
+        paths = [p if p.op == "path" else p.args[0] for p in leaves]
+        tables, cells = {p.args[0].val[1].local for p in paths}, {p.args[2:] for p in paths}
+        if len(tables) > 1 or len(cells) > 1:
+            raise UnsupportedError("XPTY0004", "set operators over nodes of one table and column")
+        rows = self.scan(tables.pop())
+        by_row = all(p.op == "path" and not any(map(_positional, p.args[1].args)) and not any(x.op == "step" and x.args for x in p.args[2:]) for p in leaves)
+        if by_row:
+            rows, member = self._member(rows, e)
+        else:
+            tag = self._fresh()
+            rows = replace(rows, df=rows.df.withColumn(f"_row{tag}", F.monotonically_increasing_id()))
+            rows, member = self._by_identity(rows, rows, e, f"_row{tag}")
+        return self._cells(replace(rows, df=rows.df.where(member)), cells.pop())
+
+    def _member(self, rows: Rows, e: Ex) -> tuple[Rows, Column]:
+        """Whether a row is in the result of set operators over predicates."""
+        if e.op == "path":
+            member = F.lit(True)
+            for p in (c for x in e.args[1].args for c in _conjuncts(x)):
+                rows, holds = self._holds(rows, p)
+                member = member & holds
+            return rows, member
+        rows, a = self._member(rows, e.args[0])
+        rows, b = self._member(rows, e.args[1])
+        return rows, {"union": a | b, "intersect": a & b, "except": a & ~b}[e.op]
+
+    def _holds(self, rows: Rows, p: Ex) -> tuple[Rows, Column]:
+        """A predicate as a column; one that asks another table is marked by a join with its distinct keys."""
+        keep, test = True, p
+        while test.op == "call" and test.val == "not" and len(test.args) == 1:
+            keep, test = not keep, test.args[0]
+        if test.op == "gcmp" and test.val == "=" and sum(map(_absolute, test.args)) == 1:
+            own, other = sorted(test.args, key=_absolute)
+            inner, a = self.path(other), atom(self.row_compiler(rows)(own))
+            kind, tag = common([a, inner.item]), self._fresh()
+            right = inner.df.select(convert(inner.item, kind).col.alias(f"_k{tag}")).where(F.col(f"_k{tag}").isNotNull()).distinct().withColumn(f"_m{tag}", F.lit(True))
+            rows = replace(rows, df=rows.df.join(right, convert(a, kind).col == F.col(f"_k{tag}"), "left"))
+            found = F.coalesce(F.col(f"_m{tag}"), F.lit(False))
         else:
-            df = left.dropDuplicates(keys).join(right.select(*keys).distinct(), keys, "left_semi" if e.op == "intersect" else "left_anti").select(*names)
-        values = {f.name: of_type(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields}
-        item = None
-        if a.item is not None:
-            item = self.row_compiler(Rows(df, {"": values}, name="", table=a.table))(e.args[0].args[-1])
-        return Rows(df, {"": values}, item, "", a.table)
+            v = self.row_compiler(rows)(test)
+            if v.type in NUMERIC:
+                raise UnsupportedError("XPTY0004", "a computed position in a set operator")
+            found = F.coalesce(truth(v), F.lit(False))
+        return rows, found if keep else ~found
+
+    def _by_identity(self, rows: Rows, base: Rows, e: Ex, mark: str) -> tuple[Rows, Column]:
+        """The same for operands with positions: the rows of the scan that each gives, by a number that the scan gives to each row."""
+        if e.op in ("union", "intersect", "except"):
+            rows, a = self._by_identity(rows, base, e.args[0], mark)
+            rows, b = self._by_identity(rows, base, e.args[1], mark)
+            return rows, {"union": a | b, "intersect": a & b, "except": a & ~b}[e.op]
+        path = e if e.op == "path" else e.args[0]
+        own = self._cells(self.filtered(base, path.args[1].args), path.args[2:])
+        if e.op == "filter":
+            own = self.filtered(own, e.args[1:])
+        tag = self._fresh()
+        right = own.df.select(F.col(mark).alias(f"_k{tag}")).distinct().withColumn(f"_m{tag}", F.lit(True))
+        df = rows.df.join(right, F.col(mark) == F.col(f"_k{tag}"), "left")
+        return replace(rows, df=df), F.coalesce(F.col(f"_m{tag}"), F.lit(False))
 
     # whole expressions
 
@@ -416,10 +492,6 @@ class Tables:
         return rows, body, extra
 
 
-def _named(rows: Rows, name: str) -> str:
-    return next(c for c in rows.df.columns if c == name or c.rsplit("_", 1)[0] == name and c.rsplit("_", 1)[1].isdigit())
-
-
 def _all(conditions: list[Column]) -> Column:
     out = conditions[0] if conditions else F.lit(True)
     for c in conditions[1:]:
@@ -439,6 +511,11 @@ def _relational(e: Ex) -> bool:
     return _absolute(e)
 
 
+def _operands(e: Ex) -> list[Ex]:
+    """The paths under set operators."""
+    return [x for a in e.args for x in _operands(a)] if e.op in ("union", "intersect", "except") else [e]
+
+
 def _conjuncts(p: Ex) -> list[Ex]:
     return [x for a in p.args for x in _conjuncts(a)] if p.op == "and" else [p]
 

@@ -18,6 +18,8 @@ KEYS = {
 }
 TABLES = tuple(KEYS)
 
+#: A whole row of lineitem: a dateTime comes out as its string value.
+_LINE = "* REPLACE (strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS l_shipdate)"
 #: name -> (expression, SQL with the same columns)
 EXPRESSIONS: dict[str, tuple[str, str]] = {
     "xp_path_predicate": ("/lineitem/row[l_quantity gt 45]/l_extendedprice", "SELECT l_extendedprice AS value FROM lineitem WHERE l_quantity > 45"),
@@ -70,6 +72,16 @@ EXPRESSIONS: dict[str, tuple[str, str]] = {
     "xp_union": ("/nation/row[n_regionkey = 1]/n_name | /nation/row[n_nationkey lt 5]/n_name", "SELECT n_name AS value FROM nation WHERE n_regionkey = 1 OR n_nationkey < 5"),
     "xp_intersect": ("/nation/row[n_regionkey = 1]/n_name intersect /nation/row[n_nationkey lt 12]/n_name", "SELECT n_name AS value FROM nation WHERE n_regionkey = 1 AND n_nationkey < 12"),
     "xp_except": ("/nation/row[n_regionkey = 1]/n_name except /nation/row[n_nationkey lt 12]/n_name", "SELECT n_name AS value FROM nation WHERE n_regionkey = 1 AND NOT n_nationkey < 12"),
+    # rows of lineitem are no set by any of their columns: each is a node of its own
+    "xp_union_rows": ("/lineitem/row[l_quantity gt 25] | /lineitem/row[l_returnflag = 'R']", f"SELECT {_LINE} FROM lineitem WHERE l_quantity > 25 OR l_returnflag = 'R'"),
+    "xp_union_same": ("/lineitem/row[l_quantity gt 0]/l_orderkey | /lineitem/row[l_quantity gt 0]/l_orderkey", "SELECT l_orderkey AS value FROM lineitem"),
+    "xp_intersect_rows": (
+        "/lineitem/row[l_orderkey = /orders/row[o_orderstatus='F']/o_orderkey]/l_extendedprice intersect /lineitem/row[l_quantity lt 30]/l_extendedprice",
+        "SELECT l_extendedprice AS value FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND l_quantity < 30",
+    ),
+    "xp_except_rows": ("/lineitem/row except /lineitem/row[l_quantity gt 25]", f"SELECT {_LINE} FROM lineitem WHERE NOT l_quantity > 25"),
+    "xp_some_bound": ("/orders/row[some $l in /lineitem/row satisfies $l/l_extendedprice gt o_totalprice]/o_orderkey", "SELECT o_orderkey AS value FROM orders WHERE o_totalprice < (SELECT max(l_extendedprice) FROM lineitem)"),
+    "xp_every_bound": ("/orders/row[every $l in /lineitem/row satisfies $l/l_extendedprice lt o_totalprice]/o_orderkey", "SELECT o_orderkey AS value FROM orders WHERE o_totalprice > (SELECT max(l_extendedprice) FROM lineitem)"),
     "xp_concatenation": ("(/region/row/r_name, /nation/row[n_nationkey lt 3]/n_name)", "SELECT r_name AS value FROM region UNION ALL SELECT n_name FROM nation WHERE n_nationkey < 3"),
     "xp_position": ("/orders/row[position() le 10]/o_orderkey", "SELECT o_orderkey AS value FROM orders ORDER BY o_orderkey LIMIT 10"),
     "xp_last": ("/orders/row[last()]/o_orderkey", "SELECT max(o_orderkey) AS value FROM orders"),
@@ -92,15 +104,8 @@ EXPRESSIONS: dict[str, tuple[str, str]] = {
         "SELECT p_partkey AS k, floor(sqrt(p_retailprice) * 1000 + 0.5) AS s, floor(log10(p_retailprice) * 1000 + 0.5) AS l, pow(p_size::DOUBLE, 2) AS p FROM part",
     ),
     "xp_strings": (
-        "/documents/row ! map{'k': doc_id, 'n': string-length(text), 'u': lower-case(substring(text, 1, 12)), 'b': substring-before(text, ' '), 'a': substring(substring-after(text, ' '), 1, 20), 't': translate(substring(text, 1, 30), 'aeiou', 'AEI')}",
-        "SELECT doc_id AS k, length(text) AS n, lower(substr(text, 1, 12)) AS u, CASE WHEN strpos(text, ' ') > 0 THEN substr(text, 1, strpos(text, ' ') - 1) ELSE '' END AS b,"
-        " substr(CASE WHEN strpos(text, ' ') > 0 THEN substr(text, strpos(text, ' ') + 1) ELSE '' END, 1, 20) AS a,"
-        " replace(replace(translate(substr(text, 1, 30), 'aei', 'AEI'), 'o', ''), 'u', '') AS t FROM documents",
-    ),
-    # the same functions over whole texts
-    "xp_strings_whole": (
-        "/documents/row ! map{'k': doc_id, 'u': lower-case(text), 'a': substring-after(text, ' '), 't': translate(text, 'aeiou', 'AEI')}",
-        "SELECT doc_id AS k, lower(text) AS u, CASE WHEN strpos(text, ' ') > 0 THEN substr(text, strpos(text, ' ') + 1) ELSE '' END AS a,"
+        "/documents/row ! map{'k': doc_id, 'n': string-length(text), 'u': lower-case(text), 'b': substring-before(text, ' '), 'a': substring-after(text, ' '), 't': translate(text, 'aeiou', 'AEI')}",
+        "SELECT doc_id AS k, length(text) AS n, lower(text) AS u, CASE WHEN strpos(text, ' ') > 0 THEN substr(text, 1, strpos(text, ' ') - 1) ELSE '' END AS b, CASE WHEN strpos(text, ' ') > 0 THEN substr(text, strpos(text, ' ') + 1) ELSE '' END AS a,"
         " replace(replace(translate(text, 'aei', 'AEI'), 'o', ''), 'u', '') AS t FROM documents",
     ),
     "xp_substring": ("/documents/row ! map{'k': doc_id, 's': substring(text, 1, 12), 'm': substring(text, 31, 20), 'r': substring(text, 40)}", "SELECT doc_id AS k, substr(text, 1, 12) AS s, substr(text, 31, 20) AS m, substr(text, 40) AS r FROM documents"),
@@ -121,18 +126,12 @@ EXPRESSIONS: dict[str, tuple[str, str]] = {
         "/orders/row[o_orderdate + xs:dayTimeDuration('P7D') gt xs:dateTime('1999-12-25T00:00:00')]/o_orderkey",
         "SELECT o_orderkey AS value FROM orders WHERE o_orderdate + INTERVAL 7 DAY > TIMESTAMP '1999-12-25 00:00:00'",
     ),
-    "xp_date_string": ("/orders/row[o_orderkey lt 50] ! map{'k': o_orderkey, 's': string(xs:date(o_orderdate))}", "SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS s FROM orders WHERE o_orderkey < 50"),
+    "xp_date_string": ("/orders/row ! map{'k': o_orderkey, 's': string(xs:date(o_orderdate))}", "SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS s FROM orders"),
     "xp_durations": (
-        "/lineitem/row[l_orderkey lt 100] ! map{'k': l_orderkey, 'l': l_linenumber, 'd': days-from-duration(l_shipdate - xs:dateTime('1990-01-01T00:00:00'))}",
-        "SELECT l_orderkey AS k, l_linenumber::BIGINT AS l, date_diff('day', TIMESTAMP '1990-01-01', date_trunc('day', l_shipdate)) AS d FROM lineitem WHERE l_orderkey < 100",
-    ),
-    # the same three features over every row of their tables
-    "xp_date_string_whole": ("/orders/row ! map{'k': o_orderkey, 's': string(xs:date(o_orderdate))}", "SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS s FROM orders"),
-    "xp_durations_whole": (
         "/lineitem/row ! map{'k': l_orderkey, 'l': l_linenumber, 'd': days-from-duration(l_shipdate - xs:dateTime('1990-01-01T00:00:00'))}",
         "SELECT l_orderkey AS k, l_linenumber::BIGINT AS l, date_diff('day', TIMESTAMP '1990-01-01', date_trunc('day', l_shipdate)) AS d FROM lineitem",
     ),
-    "xp_format_date_whole": ("/orders/row ! map{'k': o_orderkey, 'f': format-dateTime(o_orderdate, '[Y0001]/[M01]/[D01]')}", "SELECT o_orderkey AS k, strftime(o_orderdate, '%Y/%m/%d') AS f FROM orders"),
+    "xp_format_date": ("/orders/row ! map{'k': o_orderkey, 'f': format-dateTime(o_orderdate, '[Y0001]/[M01]/[D01]')}", "SELECT o_orderkey AS k, strftime(o_orderdate, '%Y/%m/%d') AS f FROM orders"),
     "xp_json": ("/events/row ! map{'k': event_id, 'v': xs:integer(parse-json(props)?k)}", "SELECT event_id AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) AS v FROM events"),
     "xp_casts": (
         "/events/row ! map{'k': event_id, 's': xs:string(user_id), 'i': xs:integer(value), 'c': event_type castable as xs:integer, 'b': xs:boolean(user_id)}",
@@ -171,7 +170,6 @@ EXPRESSIONS: dict[str, tuple[str, str]] = {
     "xp_codepoints": ("/region/row ! map{'n': r_name, 'c': head(string-to-codepoints(r_name)), 's': sum(string-to-codepoints(r_name))}", "SELECT r_name AS n, ascii(r_name) AS c, list_sum(list_transform(string_split(r_name, ''), lambda x: ascii(x))) AS s FROM region"),
     "xp_encode": ("/pages/row ! map{'k': page_id, 'e': encode-for-uri(url)}", "SELECT page_id AS k, url_encode(url) AS e FROM pages"),
     "xp_format_integer": ("/part/row ! map{'k': p_partkey, 'f': format-integer(p_partkey, '000000')}", "SELECT p_partkey AS k, lpad(p_partkey::VARCHAR, 6, '0') AS f FROM part"),
-    "xp_format_date": ("/orders/row[o_orderkey lt 200] ! map{'k': o_orderkey, 'f': format-dateTime(o_orderdate, '[Y0001]/[M01]/[D01]')}", "SELECT o_orderkey AS k, strftime(o_orderdate, '%Y/%m/%d') AS f FROM orders WHERE o_orderkey < 200"),
     "xp_map_functions": (
         "/nation/row ! map{'k': n_nationkey, 's': map:size(map:put(map{'a': n_regionkey}, 'b', 2)), 'g': map:get(map{'a': n_regionkey, 'b': 7}, 'b'), 'c': map:contains(map{'a': 1}, 'x')}",
         "SELECT n_nationkey::BIGINT AS k, 2 AS s, 7 AS g, false AS c FROM nation",
