@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..errors import UnsupportedError, error
 from . import pictures, regex, udfs
 from .values import (
-    NUMERIC, SPARK, STRINGS, Val, cast_to, common, convert, dated, empty, full_type, items, many, moment, number,
+    NUMERIC, SPARK, STRINGS, Val, cast_to, common, convert, dated, empty, full_type, items, many, moment, number, once,
     parse_string, raise_, single, spark_type, to_string, truth,
 )
 
@@ -760,14 +760,18 @@ def _adjust(kind):
         v = one(v)
         v = cast_to(v, kind) if v.type != kind else v
         new = F.lit(c.static.timezone) if tz is None else (F.lit(None).cast("int") if tz.type == "empty" else (one(tz).col / 60).cast("int"))
-        have, shift = v.col["tz"], new - v.col["tz"]
-        if kind == "dateTime":
-            moved = v.col["v"] + F.make_dt_interval(mins=F.coalesce(shift, F.lit(0)))
-        elif kind == "date":
-            moved = (v.col["v"].cast("timestamp_ntz") + F.make_dt_interval(mins=F.coalesce(shift, F.lit(0)))).cast("date")
-        else:
-            moved = F.pmod(v.col["v"] + F.coalesce(shift, F.lit(0)).cast("bigint") * 60_000_000, F.lit(86_400_000_000))
-        return Val(F.when(v.col.isNotNull(), dated(F.when(have.isNull() | new.isNull(), v.col["v"]).otherwise(moved), new)), kind)
+
+        def adjusted(col):
+            have, shift = col["tz"], new - col["tz"]
+            if kind == "dateTime":
+                moved = col["v"] + F.make_dt_interval(mins=F.coalesce(shift, F.lit(0)))
+            elif kind == "date":
+                moved = (col["v"].cast("timestamp_ntz") + F.make_dt_interval(mins=F.coalesce(shift, F.lit(0)))).cast("date")
+            else:
+                moved = F.pmod(col["v"] + F.coalesce(shift, F.lit(0)).cast("bigint") * 60_000_000, F.lit(86_400_000_000))
+            return F.when(col.isNotNull(), dated(F.when(have.isNull() | new.isNull(), col["v"]).otherwise(moved), new))
+
+        return Val(once(v.col, adjusted), kind)
 
 
 for _kind in ("dateTime", "date", "time"):

@@ -133,6 +133,16 @@ def moment(v: Val, implicit: int = 0) -> Column:
 
 # formatting and casts
 
+#: Characters of an expression from which a function that uses it many times gets it computed once.
+LARGE = 160
+
+
+def once(col: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that it names many times: nested, such functions would make expressions of exponential size."""
+    if len(str(col)) < LARGE:
+        return f(col)
+    return F.get(F.transform(F.array(col), f), F.lit(0))
+
 
 def double_string(d: Column, single_precision: bool = False) -> Column:
     """A double as XPath writes it: plain from 1e-6 up to 1e6, else with an exponent."""
@@ -184,10 +194,15 @@ def duration_string(months: Column, secs: Column) -> Column:
 
 def to_string(v: Val) -> Column:
     """The string value of one item; null for ()."""
-    c = v.col
-    match v.type:
-        case "string" | "untypedAtomic" | "anyURI" | "empty":
-            return c
+    if v.type in ("string", "untypedAtomic", "anyURI", "empty"):
+        return v.col
+    if v.type in ("map", "array", "function"):
+        raise error("FOTY0014", f"{v.type} has no string value")
+    return once(v.col, lambda c: _to_string(c, v.type))
+
+
+def _to_string(c: Column, kind: str) -> Column:
+    match kind:
         case "boolean" | "integer":
             return c.cast("string")
         case "decimal":
@@ -215,7 +230,7 @@ def to_string(v: Val) -> Column:
             return F.when(c.isNotNull(), F.when(c["prefix"] != "", F.concat(c["prefix"], F.lit(":"), c["local"])).otherwise(c["local"]))
         case "json":
             return c.cast("string")
-    raise error("FOTY0014" if v.type in ("map", "function") else "FORG0006", f"{v.type} has no string value")
+    raise error("FORG0006", f"{kind} has no string value")
 
 
 def micros_of_day(ts: Column) -> Column:
@@ -278,10 +293,14 @@ def _zone_minutes(s: Column) -> Column:
 
 def parse_string(s: Column, kind: str, strict: bool = True) -> Column:
     """The value of a string in a type; where it is none an error, or null if not strict."""
-    trimmed = F.trim(F.regexp_replace(s, r"[\t\r\n ]+", " "))
-    base = base_of(kind)
     if kind in ("string", "untypedAtomic", "anyAtomicType"):
         return s
+    return once(s, lambda x: _parse(x, kind, strict))
+
+
+def _parse(s: Column, kind: str, strict: bool) -> Column:
+    trimmed = F.trim(F.regexp_replace(s, r"[\t\r\n ]+", " "))
+    base = base_of(kind)
     if kind == "anyURI":
         return trimmed
     if kind == "normalizedString":
@@ -295,7 +314,7 @@ def parse_string(s: Column, kind: str, strict: bool = True) -> Column:
     elif kind == "boolean":
         out = trimmed.isin("true", "1")
     elif base == "integer":
-        out = F.expr("1").cast("bigint") * F.try_to_number(F.lit("0"), F.lit("9")).cast("bigint") if False else trimmed.try_cast("bigint")
+        out = trimmed.try_cast("bigint")
         low, high = BOUNDS.get(kind, (None, None))
         if low is not None and low >= -(1 << 63):
             good = good & (out >= low)
@@ -347,16 +366,19 @@ def cast_to(v: Val, kind: str, strict: bool = True) -> Val:
         v, t = Val(v.col.cast("string"), "untypedAtomic"), "untypedAtomic"
     if kind == t or kind == base == t:
         return v
-    c = v.col
     if kind in PARTIAL_DATES and t in ("date", "dateTime"):
         form = {"gYear": "yyyy", "gYearMonth": "yyyy-MM", "gMonth": "'--'MM", "gMonthDay": "'--'MM-dd", "gDay": "'---'dd"}[kind]
-        return Val(F.concat(F.date_format(c["v"], form), zone(c["tz"])), "string")
+        return Val(once(v.col, lambda c: F.concat(F.date_format(c["v"], form), zone(c["tz"]))), "string")
     if base in ("string", "untypedAtomic", "anyURI"):
         text = to_string(v)
         return Val(parse_string(text, kind, strict) if kind not in ("string", "untypedAtomic") else text, base)
     if t in STRINGS:
         return Val(parse_string(v.col, kind, strict), base)
-    c = v.col
+    return Val(once(v.col, lambda c: _cast(c, t, kind, strict)), base)
+
+
+def _cast(c: Column, t: str, kind: str, strict: bool) -> Column:
+    base = base_of(kind)
     if base in NUMERIC and t in (*NUMERIC, "boolean"):
         spark = SPARK[base]
         number = c.cast("int") if t == "boolean" else c
@@ -376,25 +398,25 @@ def cast_to(v: Val, kind: str, strict: bool = True) -> Val:
             if high is not None and high < 1 << 63:
                 inside = inside & (out <= high)
             out = F.when(out.isNull() | inside, out).otherwise(raise_("FORG0001", f"out of xs:{kind}", spark) if strict else F.lit(None).cast(spark))
-        return Val(out, base)
+        return out
     if base == "boolean" and t in NUMERIC:
         zero = (c == 0) | (F.isnan(c) if t in ("double", "float") else F.lit(False))
-        return Val(F.when(c.isNotNull(), ~zero), "boolean")
+        return F.when(c.isNotNull(), ~zero)
     if t == "dateTime" and base == "date":
-        return Val(F.when(c.isNotNull(), dated(c["v"].cast("date"), c["tz"])), "date")
+        return F.when(c.isNotNull(), dated(c["v"].cast("date"), c["tz"]))
     if t == "date" and base == "dateTime":
-        return Val(F.when(c.isNotNull(), dated(c["v"].cast("timestamp_ntz"), c["tz"])), "dateTime")
+        return F.when(c.isNotNull(), dated(c["v"].cast("timestamp_ntz"), c["tz"]))
     if t == "dateTime" and base == "time":
-        return Val(F.when(c.isNotNull(), dated(micros_of_day(c["v"]), c["tz"])), "time")
+        return F.when(c.isNotNull(), dated(micros_of_day(c["v"]), c["tz"]))
     if base == "duration" and t in ("yearMonthDuration", "dayTimeDuration"):
         months, secs = (c, F.lit(0)) if t == "yearMonthDuration" else (F.lit(0), c)
-        return Val(F.when(c.isNotNull(), F.struct(months.cast("int").alias("months"), secs.cast("decimal(20,6)").alias("secs"))), "duration")
+        return F.when(c.isNotNull(), F.struct(months.cast("int").alias("months"), secs.cast("decimal(20,6)").alias("secs")))
     if t == "duration" and base in ("yearMonthDuration", "dayTimeDuration"):
-        return Val(c["months" if base == "yearMonthDuration" else "secs"], base)
+        return c["months" if base == "yearMonthDuration" else "secs"]
     if {t, base} == {"yearMonthDuration", "dayTimeDuration"}:
-        return Val(F.when(c.isNotNull(), F.lit(0)).cast(SPARK[base]), base)
+        return F.when(c.isNotNull(), F.lit(0)).cast(SPARK[base])
     if {t, base} == {"hexBinary", "base64Binary"}:
-        return Val(c, base)
+        return c
     raise error("XPTY0004", f"xs:{t} cannot be cast to xs:{kind}")
 
 

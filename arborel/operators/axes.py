@@ -28,6 +28,8 @@ def test_of(test: Test, axis: str) -> Column:
         out = F.lit(True)
     elif test.kind == "document-node":
         out = kind == "document"
+    elif test.kind == "namespace-node":
+        out = kind == "namespace"
     elif test.kind == "schema-element":
         out = kind == "element"
     elif test.kind == "schema-attribute":

@@ -204,6 +204,23 @@ class Trees:
             return source.withColumn("_r", rank).where(test(F.col("_r"))).select("k", *NODE)
         return source
 
+    def _forms(self, source: DataFrame) -> DataFrame:
+        """Adds `form`: what deep-equal compares of each node, its kind, name and value and those of all below it, without comments and instructions.
+
+        The parts of a subtree are in document order, attributes by name after their element.
+        """
+        parts = self.nodes.where("kind not in ('comment', 'processing-instruction')").select(
+            F.col("doc_id").alias("n_doc"), F.col("pre").alias("n_pre"), F.col("level").alias("n_level"), "kind", "ns_uri", "local", "value",
+            F.when(F.col("kind") == "attribute", F.col("parent_pre")).otherwise(F.col("pre")).alias("at"),
+        )
+        own = source.select(F.col("k").alias("s_k"), F.col("doc_id").alias("s_doc"), F.col("pre").alias("s_pre"), F.col("last_desc").alias("s_last"), F.col("level").alias("s_level"))
+        inside = (F.col("n_doc") == F.col("s_doc")) & (F.col("n_pre") >= F.col("s_pre")) & (F.col("n_pre") <= F.col("s_last"))
+        name = [F.coalesce(c, F.lit("")).alias(c) for c in ("ns_uri", "local")]
+        part = F.struct("at", (F.col("kind") == "attribute").alias("attribute"), *name, "kind", F.coalesce("value", F.lit("")).alias("value"), (F.col("n_level") - F.col("s_level")).alias("depth"))
+        made = own.join(parts, inside).groupBy("s_k", "s_doc", "s_pre").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+        form = F.transform("parts", lambda p: F.struct(p["depth"], p["kind"], p["ns_uri"], p["local"], p["value"]))
+        return made.select(F.col("s_k").alias("k"), F.col("s_doc").alias("doc_id"), F.col("s_pre").alias("pre"), form.alias("form"))
+
     # values
 
     def value(self, e: Ex, context: DataFrame, positions: bool = False) -> tuple[DataFrame, Val]:
@@ -222,7 +239,10 @@ class Trees:
             rows = holder["rows"]
             name = self._fresh("v")
             inner = self.nodeset(path, rows.select(F.struct("k", "doc_id", "pre").alias("k"), *NODE).dropDuplicates(["k"]))
-            col, kind = node_value(f)
+            if aggregate == "deep":
+                inner, col, kind = self._forms(inner), F.col("form"), "string"
+            else:
+                col, kind = node_value(f)
             if aggregate == "count":
                 made, kind = F.count("*").alias(name), "integer"
             else:
@@ -231,6 +251,8 @@ class Trees:
             holder["rows"] = rows.join(grouped, F.struct("k", "doc_id", "pre") == F.col(f"{name}k"), "left").drop(f"{name}k")
             if aggregate == "count":
                 known[key] = Val(F.coalesce(F.col(name), F.lit(0)), kind)
+            elif aggregate == "deep":
+                known[key] = Val(F.coalesce(F.col(name), F.array()), kind, True)
             else:
                 v = Val(F.col(name), kind, True)
                 known[key] = v.with_col(items(v))
@@ -239,7 +261,7 @@ class Trees:
         def resolve(x: Ex, c: RowCompiler) -> Val | None:
             if c.focus is not None:
                 return None
-            if x.op == "call" and x.val in NODE_FUNCTIONS and (not x.args or self.is_nodes(x.args[0])):
+            if x.op == "call" and x.val in NODE_FUNCTIONS and x.val != "has-children" and (not x.args or self.is_nodes(x.args[0])):
                 v = column(x.args[0] if x.args else Ex("ctx"), x.val)
                 return Val(F.try_element_at(v.col, F.lit(1)), v.type) if v.many and x.val not in ("data", "in-scope-prefixes") else v
             if x.op == "call" and x.val == "lang" and len(x.args) == 1:
@@ -262,6 +284,12 @@ class Trees:
             if x.op == "call" and x.val in ("exists", "empty", "not", "boolean") and len(x.args) == 1 and self.is_nodes(x.args[0]):
                 n = column(x.args[0], None, "count").col
                 return Val(n > 0 if x.val in ("exists", "boolean") else n == 0, "boolean")
+            if x.op == "call" and x.val == "has-children" and (not x.args or self.is_nodes(x.args[0])):
+                child = Ex("step", ("child", Test("node")))
+                return c(Ex("call", "exists", (Ex("path", "", (*x.args, child)) if x.args and x.args[0].op != "ctx" else child,)))
+            if x.op == "call" and x.val == "deep-equal" and len(x.args) > 1 and all(map(self.is_nodes, x.args[:2])):
+                a, b = (column(y if y.op != "ctx" else Ex("step", ("self", Test("node")), (Ex("call", "true"),)), None, "deep").col for y in x.args[:2])
+                return Val(a == b, "boolean")
             if x.op in ("and", "or", "if"):
                 args = tuple(Ex("call", "boolean", (a,)) if self.is_nodes(a) and (x.op != "if" or k == 0) else a for k, a in enumerate(x.args))
                 if args != x.args:

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import families
 from .operators import axes
 from .plans import trees
 from .plans.parser import StaticContext
 from .plans.tables import query
+from .sources import files, shred
 
 KEYS = {
     "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"],
@@ -239,13 +241,37 @@ def tree_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.select(order_tree(spark, sf_dir), "count(//item)")
 
 
+def customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node relation of an XML document for each customer, written and then shredded."""
+    parts = families.XML.replace("}", "{").split("{")
+    xml = F.concat(*[F.col(x).cast("string") if k % 2 else F.lit(x) for k, x in enumerate(parts)])
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return shred.xml_nodes(rows.select(F.col("c_custkey").alias("doc_id"), xml.alias("xml"), F.concat(F.lit("http://x/"), "c_custkey").alias("uri")), uri="uri")
+
+
+def tree_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = trees.select(customer_documents(spark, sf_dir), text, StaticContext(namespaces=families.NAMESPACES))
+        return out.select(*[c for c in ("doc_id", "of", "pre") if c in out.columns]) if "pre" in out.columns else out
+
+    return run
+
+
+def serialized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of customers, written again from their nodes."""
+    return files.serialize(customer_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {name: table_query(text) for name, (text, _) in EXPRESSIONS.items()}
+    out = {name: table_query(text) for name, (text, _) in (EXPRESSIONS | families.TABLE_FAMILIES).items()}
+    out |= {name: tree_query(text) for name, (text, _) in families.TREE_FAMILIES.items()}
     out |= {name: axis_query(text) for name, (text, _) in AXES.items()}
-    return out | {"xp_tree_count": tree_count}
+    return out | {"xp_tree_count": tree_count, "xp_tree_serialize": serialized}
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {name: sql for name, (_, sql) in (EXPRESSIONS | AXES).items()}
+    out = {name: sql for name, (_, sql) in (EXPRESSIONS | families.TABLE_FAMILIES | AXES | families.TREE_FAMILIES).items()}
     count = "SELECT c_custkey AS doc_id, coalesce(n, 0) AS value FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) AS i ON l_orderkey = o_orderkey GROUP BY o_custkey) AS g ON o_custkey = c_custkey"
-    return out | {"xp_tree_count": count}
+    parts = families.XML.replace("}", "{").split("{")
+    xml = " || ".join(x if k % 2 else f"'{x}'" for k, x in enumerate(parts))
+    return out | {"xp_tree_count": count, "xp_tree_serialize": f"SELECT c_custkey AS doc_id, {xml} AS text FROM customer"}
