@@ -1,8 +1,8 @@
 """Encoding of whole texts through a table of pieces met before.
 
 The byte-level patterns in use start a match at each single space between two characters that are
-no white space, and no special token holds a space. The text between such places can thus be
-encoded alone. Pieces are found by vector code and looked up by a hash; then all their bytes are
+no white space, and at punctuation after an ASCII letter or digit; no special token holds a space
+or the punctuation that is looked for. The text between such places can thus be encoded alone. Pieces are found by vector code and looked up by a hash; then all their bytes are
 compared with those of the piece found, so the hash decides nothing. The coder behind the table
 sees each distinct piece once until the table is full.
 """
@@ -13,13 +13,16 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .common import RollingHash, mix
+from .common import RollingHash, byte_table, mix
 
 #: Bytes that the table of a worker takes before it starts again; and of the numbers about one piece.
 TABLE_BYTES = 48 << 20
 ENTRY_BYTES = 40
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_ALNUM = byte_table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
+_MARK = np.zeros(256, dtype=bool)
+_MARK[list(b".,;:!?()[]{}\"/=&")] = True
 
 
 def _wide_space(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -30,7 +33,7 @@ def _wide_space(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of all pieces: the texts that are not empty, and the spaces that always start a match."""
+    """Starts of all pieces: the texts that are not empty, and the places that always start a match."""
     n = len(buf)
     if n == 0:
         return np.zeros(0, np.int64)
@@ -49,8 +52,10 @@ def cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         keep = np.ones(len(at), dtype=bool)
         keep[odd[bad]] = False
         at = at[keep]
-    starts = np.unique(offsets[:-1][np.diff(offsets) > 0])
-    return np.sort(np.concatenate((starts, at)))
+    begins = first[:n]
+    begins[1:] |= _ALNUM[buf[:-1]] & _MARK[buf[1:]]
+    begins[at] = True
+    return np.flatnonzero(begins)
 
 
 class PieceTable:
@@ -75,9 +80,8 @@ class PieceTable:
         own = np.stack((len(self.pool) + np.cumsum(counts) - counts, counts, len(self.raw) + np.cumsum(sizes) - sizes, sizes))
         self.pool = np.concatenate((self.pool, np.frombuffer(b"".join(ids), dtype="<u4")))
         self.raw = np.concatenate((self.raw, np.frombuffer(b"".join(pieces), dtype=np.uint8)))
-        names = np.concatenate((self.names, names))
-        order = np.argsort(names, kind="stable")
-        self.names, self.where = names[order], np.concatenate((self.where, own), axis=1)[:, order]
+        at = np.searchsorted(self.names, names)
+        self.names, self.where = np.insert(self.names, at, names), np.insert(self.where, at, own, axis=1)
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and n + 1 bounds of the texts in them."""
