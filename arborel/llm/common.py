@@ -145,6 +145,28 @@ def byte_table(*ranges: tuple[int, int]) -> np.ndarray:
     return out
 
 
+def unlike(columns: list[str], name: str) -> str:
+    """A name for one more column that none of these has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def points(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 bytes, and the place of each one's first byte."""
+    at = np.flatnonzero((buf & 0xC0) != 0x80)
+    lead = buf[at].astype(np.uint32)
+    if len(at) == len(buf):
+        return lead, at
+    wide = np.concatenate((buf, np.zeros(3, np.uint8))).astype(np.uint32)
+    size = np.diff(np.append(at, len(buf)))
+    out = np.where(size == 1, lead, lead & (0xFF >> (size + 1)).astype(np.uint32))
+    for k in range(1, 4):
+        out = np.where(size > k, (out << 6) | (wide[at + k] & 0x3F), out)
+    return out, at
+
+
 def mapped(df: DataFrame, run, schema: str) -> DataFrame:
     """mapInArrow, once the workers can import this package."""
     ship(df.sparkSession)

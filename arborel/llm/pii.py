@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, chunks, cut, flat, mapped
+from .common import broadcast_if_small, chunks, cut, flat, mapped, unlike
 from .decontam import word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -29,7 +29,8 @@ LEAST_LETTERS = 3
 BITMAP_BITS = 20
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A match can only begin where a run of digits begins and takes whole runs, so no run is tried more than once.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
@@ -173,8 +174,12 @@ def _revealing(spark: SparkSession, docs: DataFrame, scanned: DataFrame, alpha:
     return found.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("terms"))
 
 
+def _key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return docs.withColumn("key", _key())
 
 
 def find_pii(spark: SparkSession, docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, near: int = NEAR) -> DataFrame:
@@ -207,10 +212,10 @@ def sanitise(spark: SparkSession, docs: DataFrame, alpha: float = ALPHA, support
 
     Overlapping matches are replaced together, named after the first. Null and empty texts stay as they are.
     """
-    keyed = _keyed(docs).withColumnRenamed("key", "__key")
-    plain = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__key").alias("key"), F.col("text").cast("string").alias("text"))
-    terms = cut(spark, _revealing(spark, plain, cut(spark, _scan(plain, near)), alpha, support)).select(F.col("key").alias("__key"), F.col("terms").alias("__terms"))
-    wide = keyed.join(broadcast_if_small(terms, terms.count()), "__key", "left").select(*docs.columns, "__terms")
+    key, found = unlike(docs.columns, "key"), unlike(docs.columns, "terms")
+    plain = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    terms = cut(spark, _revealing(spark, plain, cut(spark, _scan(plain, near)), alpha, support)).select(F.col("key").alias(key), F.col("terms").alias(found))
+    wide = docs.withColumn(key, _key()).join(broadcast_if_small(terms, terms.count()), key, "left").select(*docs.columns, found)
     at, names = docs.columns.index("text"), docs.columns
     sized = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
