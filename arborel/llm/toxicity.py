@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, RollingHash, bounded_sample, byte_table, chunks, flat, held_out, mapped, mix
+from .common import bounded_sample, byte_table, chunks, flat, held_out, mapped, mix, points
 
 WORD = byte_table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
-#: Subword lengths in bytes; 0 stands for the whole word.
-SIZES = (3, 5)
+#: Subword lengths in characters, the boundaries of the word among them; 0 stands for the whole word.
+SIZES = (0, 3, 5)
+#: Odd numbers that spread the characters of a subword, from a fixed seed.
+_MIXERS = np.random.default_rng(20240607).integers(1, 1 << 62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Subwords in fewer sample documents keep a zero vector.
 LEAST_DOCS = 3
 BUCKET_BITS = 17
@@ -32,6 +34,8 @@ BATCH = 64
 RATE = 1.0
 #: Labelled rows that the classifier is fitted on, for each class.
 TRAIN_ROWS = 2500
+#: Bytes of a text that it may be fitted on: the driver holds the sample, so longer texts are not in it.
+TRAIN_BYTES = 64 << 10
 CUT = 0.7
 #: Sample bytes whose subwords the driver counts at once.
 FIT_BYTES = 256 << 10
@@ -44,32 +48,39 @@ U64 = np.uint64
 def bag(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, bucket, weight) of each subword; the weights of a document add up to n / (n + PAD) for n words."""
     n = len(offsets) - 1
-    # a boundary byte before each text and after the last
-    wide = np.full(len(buf) + n + 1, 32, dtype=np.uint8)
-    at = np.arange(len(buf)) + np.repeat(np.arange(1, n + 1), np.diff(offsets))
-    inside = WORD[buf]
-    wide[at[inside]] = LOWER[buf[inside]]
-    inner = wide != 32
+    chars, at = points(buf)
+    first = np.searchsorted(at, offsets)
+    # a boundary before each text and after the last; characters of no word are boundaries too
+    wide = np.zeros(len(chars) + n + 1, dtype=np.uint64)
+    inside = WORD[buf[at]]
+    place = np.arange(len(chars)) + np.repeat(np.arange(1, n + 1), np.diff(first))
+    wide[place[inside]] = np.where((chars >= 65) & (chars <= 90), chars + np.uint32(32), chars)[inside]
+    inner = wide != 0
     edge = np.flatnonzero(inner[1:] & ~inner[:-1]) + 1
-    stop = np.flatnonzero(inner[:-1] & ~inner[1:]) + 1
     if len(edge) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     word_of = np.cumsum(np.concatenate(([0], (inner[1:] & ~inner[:-1]).astype(np.int32)))) - 1
     outer = np.concatenate((np.zeros(1, np.int32), np.cumsum(~inner, dtype=np.int32)))
-    roll = RollingHash(wide)
     words, buckets = [], []
-    if 0 in SIZES:
-        words, buckets = [np.arange(len(edge))], [mix(roll.slices(edge, stop)) >> U64(64 - BUCKET_BITS)]
     for size in SIZES:
+        if size == 0:  # the word itself: its characters with their places in it
+            own = np.flatnonzero(inner)
+            spread = mix(wide[own] * _MIXERS[0] + (own - edge[word_of[own]]).astype(U64) * _MIXERS[1])
+            words.append(np.arange(len(edge)))
+            buckets.append(mix(np.add.reduceat(spread, np.searchsorted(own, edge))) >> U64(64 - BUCKET_BITS))
+            continue
         k = len(wide) - size + 1
-        if k <= 0 or size == 0:
+        if k <= 0:
             continue
         good = np.flatnonzero(outer[size - 1 : size - 1 + k] == outer[1 : 1 + k])
+        value = np.full(len(good), U64(size))
+        for j in range(size):
+            value += wide[good + j] * _MIXERS[j]
         words.append(word_of[good + 1])
-        buckets.append(mix(roll.slices(good, good + size)) >> U64(64 - BUCKET_BITS))
+        buckets.append(mix(value) >> U64(64 - BUCKET_BITS))
     word = np.concatenate(words)
     counts = np.bincount(word, minlength=len(edge))
-    doc_of = np.searchsorted(offsets + np.arange(n + 1), edge, side="right") - 1
+    doc_of = np.searchsorted(first + np.arange(n + 1), edge, side="right") - 1
     total = np.bincount(doc_of, minlength=n) + PAD
     weight = (1.0 / np.maximum(counts, 1) / total[doc_of])[word]
     return doc_of[word], np.concatenate(buckets).astype(np.int64), weight
@@ -151,14 +162,14 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Trains on labelled rows that are not held out, at most about `rows` of each class, chosen by a hash of doc_id.
+    """Trains on labelled rows that are not held out, at most about `rows` of each class, chosen by a hash of doc_id, of at most TRAIN_BYTES each.
 
     Null labels and labels of held-out or unknown documents are not used; a document labelled twice counts twice.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
     known = known.where(~held_out(F.col("doc_id")))
     picked = bounded_sample(known, ["toxic"], "doc_id", rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
     got = sorted(texts.toLocalIterator(), key=lambda r: (r["doc_id"], r["text"] or "", r["toxic"]))
     return train([r["text"] for r in got], [r["toxic"] for r in got])
 
