@@ -7,13 +7,17 @@ says which documents a region must also hold:
   apart. So the first pivots are the single shingles {s}: the regions of x are those of the shingles
   that it has, taken in one global order, rarer first. If d(x, y) <= t, then |y - x| <= t |y|, so y
   goes to the first floor(t |y|) + 1 of its regions and still meets every x within t. That window is
-  exact for any global order; shingles that tasks find often go to the end of it.
+  exact for any global order; shingles that tasks find often go to the end of it. Where two sets meet
+  first they share nothing that comes earlier, so what follows there must be enough for both.
 * Regions of at most LEAF classes are joined directly. In a larger one each document is measured
-  against a document pivot, its link to that joins components, and the region is joined again:
-  pairs of one component are linked already, and x, y with |d(x, p) - d(y, p)| > t for a pivot p
-  cannot be linked by the triangle inequality.
-
-Equal sets are one class throughout. Classes are checked by exact set operations over whole texts.
+  against a document pivot, and links to it join components; a region of one component is done.
+* What is left is joined again, region by region: some pivots, the Voronoi cells of these, and in
+  each cell also the documents from outside whose distances differ by no more than the window of 2t.
+  Cells are split in turn; those of few pairs, and those that no pivot splits, are joined directly,
+  where a mark of each set (the parities of its elements' counts in cells) rules most pairs out.
+
+Equal sets are one class throughout. Pairs that no mark rules out are checked by exact set
+operations over whole texts.
 """
 
 from __future__ import annotations
@@ -33,7 +37,10 @@ SHINGLE = 5
 #: Similarity as a fraction, so that the comparison is exact.
 SIMILAR = (75, 100)
 LEAF = 3
-PIVOTS = 1
+#: Pivots that split a region again, pairs of a region that are joined directly, and rounds after which all are.
+PIVOTS, DIRECT, LEVELS = 4, 1 << 16, 4
+#: Bits of the least mark of a set; a larger set has a bit for each element.
+MARK_BITS = 512
 CELL_BITS = 21
 #: Classes that a task remembers having told, before it forgets them all.
 SEEN = 500_000
@@ -91,8 +98,28 @@ def allowance(n: Column | np.ndarray, similar: tuple[int, int]):
     return n - -(-(n * similar[0]) // similar[1])
 
 
+def mark(values: np.ndarray) -> bytes:
+    """A set's mark: for each cell of its elements whether their number is odd. The cells of a mark of half the bits are pairs of cells."""
+    bits = max(MARK_BITS, 1 << max(len(values) - 1, 0).bit_length())
+    return np.packbits((np.bincount((values & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(data: np.ndarray, size: int) -> np.ndarray:
+    """The mark of this many bytes that the same set has."""
+    while len(data) > size:
+        data = data[: len(data) // 2] ^ data[len(data) // 2 :]
+    return data
+
+
+def apart(p: bytes, q: bytes) -> int:
+    """Elements that two sets at least do not share, by their marks."""
+    u, v = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
+    size = min(len(u), len(v))
+    return int(np.bitwise_count(folded(u, size) ^ folded(v, size)).sum())
+
+
 def _scan(docs: DataFrame, size: int) -> DataFrame:
-    """kind 0: a document's size and class; kind 1: a cell of shingles that its task met often."""
+    """kind 0: a document's size, class and mark; kind 1: a cell of shingles that its task met often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, dtype=np.int32)
@@ -110,17 +137,18 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
                         batch.column(0).slice(a, k),
                         pa.array(np.diff(bounds), pa.int64()),
                         pa.array(signatures(values, bounds), pa.int64()),
+                        pa.array([mark(values[i:j]) for i, j in zip(bounds, bounds[1:])], pa.binary()),
                     ],
-                    names=["kind", "doc_id", "n", "sig"],
+                    names=["kind", "doc_id", "n", "sig", "mark"],
                 )
         mean = total / len(cells)
         often = np.flatnonzero(cells > 3 + mean + 5 * mean**0.5)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(len(often), np.int8)), pa.array(often, pa.int64()), pa.array(cells[often], pa.int64()), pa.array(np.zeros(len(often), np.int64))],
-            names=["kind", "doc_id", "n", "sig"],
+            [pa.array(np.ones(len(often), np.int8)), pa.array(often, pa.int64()), pa.array(cells[often], pa.int64()), pa.array(np.zeros(len(often), np.int64)), pa.array([b""] * len(often), pa.binary())],
+            names=["kind", "doc_id", "n", "sig", "mark"],
         )
 
-    return mapped(docs, run, "kind byte, doc_id long, n long, sig long")
+    return mapped(docs, run, "kind byte, doc_id long, n long, sig long, mark binary")
 
 
 def _regions(docs: DataFrame, levels, size: int, similar: tuple[int, int]) -> DataFrame:
@@ -166,36 +194,32 @@ def _enough(both: np.ndarray, n: np.ndarray, m: np.ndarray, similar: tuple[int,
 
 
 def _pairs_of_regions(regions: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Candidate pairs of regions, and the members of the larger ones: (kind, a, b, key).
+    """Candidate pairs of regions, and the members of the larger ones: (kind, key, a, b).
 
-    kind 0: a pair of a region of at most LEAF classes; 1 and 2: a pair of a larger one whose a or b
-    is a pivot; pairs are those that sizes and places allow, and a task tells one about once. kind
-    3: a class of a larger region, b its size and place. Rows come sorted by region, and a task
-    holds LEAF members of one at most.
+    kind 0: a pair (key, a) of a region of at most LEAF classes, or of a larger one and its pivot, its
+    class of least name; pairs are those that sizes and places allow, and a task tells one about
+    once. kind 1: a class a of a larger region, b its size and place. Rows come sorted by region, and
+    a task holds a batch and LEAF members. Regions of the same members that lie in one batch
+    are named by these, and so become one, whose places are the least of theirs: the bounds only widen.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
-        key_now, pivots = None, None
+        none = [np.zeros(0, np.int64)] * 4
+        held, key_now, pivot, last_sig = none, None, None, None
         told: set[int] = set()
 
-        def pairs(a, b, na, nb, pa_, pb, kind):
-            """kind: 0, or 1 where b is a pivot."""
-            best = np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb)
-            ok = (a != b) & _enough(best, na, nb, similar)
-            a, b = a[ok], b[ok]
-            swap = a > b
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            kinds = np.where(swap, 1, 2) if kind else np.zeros(len(a), np.int64)
-            name = mix(a.view(U64) ^ mix(b.view(U64) ^ mix(kinds.view(U64))))
+        def pairs(a, b, na, nb, pa_, pb):
+            ok = (a != b) & _enough(np.minimum(na - pa_, nb - pb), na, nb, similar)
+            a, b = np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])
             new = np.zeros(len(a), dtype=bool)
-            for k, x in enumerate(name.tolist()):
+            for k, x in enumerate(mix(a.view(U64) ^ mix(b.view(U64))).tolist()):
                 if x not in told:
                     told.add(x)
                     new[k] = True
             if len(told) > SEEN:
                 told.clear()
-            return [kinds[new], a[new], b[new], np.zeros(int(new.sum()), np.int64)]
+            none = np.zeros(int(new.sum()), np.int64)
+            return [none, a[new], b[new], none]
 
         def small(key, sig, n, place):
             """All pairs of groups of equal key, by distance within the group."""
@@ -204,38 +228,31 @@ def _pairs_of_regions(regions: DataFrame, similar: tuple[int, int]) -> DataFrame
                 i = np.flatnonzero(key[d:] == key[:-d])
                 if len(i) == 0:
                     break
-                out.append(pairs(sig[i], sig[i + d], n[i], n[i + d], place[i], place[i + d], 0))
+                out.append(pairs(sig[i], sig[i + d], n[i], n[i + d], place[i], place[i + d]))
             return out
 
-        def star(key, sig, n, place, piv):
-            out = [[np.full(len(sig), 3), sig, n << 32 | place, np.full(len(sig), key)]]
-            for p in zip(*(x.tolist() for x in piv)):
-                out.append(pairs(sig, np.full(len(sig), p[0]), n, p[1], place, p[2], 1))
-            return out
+        def large(key, sig, n, place):
+            return [[np.ones(len(sig), np.int64), np.full(len(sig), key), sig, n << 32 | place], pairs(sig, np.full(len(sig), pivot[0]), n, np.full(len(sig), pivot[1]), place, pivot[2])]
 
         def batch_of(parts):
             cols = [np.concatenate([p[k] for p in parts]) for k in range(4)]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int8)), *(pa.array(c.astype(np.int64)) for c in cols[1:])], names=["kind", "a", "b", "key"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int8)), *(pa.array(c.astype(np.int64)) for c in cols[1:])], names=["kind", "key", "a", "b"])
 
         for batch in batches:
             cols = [np.concatenate((h, batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64))) for k, h in enumerate(held)]
             once = np.ones(len(cols[0]), dtype=bool)
             once[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
             cols = [c[once] for c in cols]
-            key = cols[0]
-            if len(key) == 0:
-                continue
             out = []
-            if pivots is not None and key[0] == key_now:
-                other = np.flatnonzero(key != key_now)
-                stop = int(other[0]) if len(other) else len(key)
+            if len(cols[0]) and cols[0][0] == key_now:
+                stop = int(np.searchsorted(cols[0] != key_now, True))
                 first = 1 if cols[1][0] == last_sig else 0  # a class that ended the batch before
                 last_sig = int(cols[1][stop - 1])
-                out += star(key_now, *(c[first:stop] for c in cols[1:]), pivots)
+                out += large(key_now, *(c[first:stop] for c in cols[1:]))
                 cols = [c[stop:] for c in cols]
-                key = cols[0]
+            key, held = cols[0], none
             if len(key):
-                pivots = None
+                key_now = None
                 begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
                 sizes = np.diff(np.append(begins, len(key)))
                 last = int(begins[-1])
@@ -246,23 +263,21 @@ def _pairs_of_regions(regions: DataFrame, similar: tuple[int, int]) -> DataFrame
                     out += small(*(c[s] for c in cols))
                 for g in np.flatnonzero((sizes > LEAF) & (begins < last)).tolist():
                     i, j = int(begins[g]), int(begins[g] + sizes[g])
-                    out += star(int(key[i]), *(c[i:j] for c in cols[1:]), [c[i : i + PIVOTS] for c in cols[1:]])
+                    pivot = [c[i] for c in cols[1:]]
+                    name = mix(mix(cols[1][i:j].view(U64)).sum(keepdims=True) ^ U64(j - i)).view(np.int64)[0]
+                    out += large(name, *(c[i:j] for c in cols[1:]))
                 if len(rest[0]) > LEAF:
-                    key_now, pivots, last_sig = int(rest[0][0]), [c[:PIVOTS] for c in rest[1:]], int(rest[1][-1])
-                    out += star(key_now, *rest[1:], pivots)
-                    rest = [np.zeros(0, np.int64)] * 4
-                held = rest
-            else:
-                held = [np.zeros(0, np.int64)] * 4
+                    key_now, pivot, last_sig = int(rest[0][0]), [c[0] for c in rest[1:]], int(rest[1][-1])
+                    out += large(key_now, *rest[1:])
+                else:
+                    held = rest
             if out:
                 yield batch_of(out)
         if len(held[0]) > 1:
-            out = small(*held)
-            if out:
-                yield batch_of(out)
+            yield batch_of(small(*held))
 
     ordered = regions.repartition("key").sortWithinPartitions("key", "sig")
-    return mapped(ordered, run, "kind byte, a long, b long, key long")
+    return mapped(ordered, run, "kind byte, key long, a long, b long").groupBy("kind", "key", "a").agg(F.min("b").alias("b"))
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -323,23 +338,24 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(v, root): the least node reachable from each linked node. links: (a, b) with a < b.
 
     Star contraction: every node points to the least of its neighbours, in turns over its larger and
-    its smaller ones, until nothing changes; the steps are about the logarithm of the longest chain.
+    its smaller ones, until all that is left are stars; the steps are about the logarithm of the
+    longest chain.
     """
     edges = cut(spark, links.select("a", "b").distinct())
     while True:
-        both = edges.select(F.col("b").alias("v"), F.col("a").alias("w")).union(edges.select(F.col("a").alias("v"), F.col("b").alias("w")))
+        # a star forest: no node is both above and below another, or below two
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+        knots = ends.groupBy("v").agg(F.max("up").alias("up"), F.sum("down").alias("down")).where("up + down > 1")
+        if knots.agg(F.count("*")).first()[0] == 0:
+            return edges.select(F.col("b").alias("v"), F.col("a").alias("root")).union(edges.select("a", "a")).distinct()
+        both = edges.select(F.col("b").alias("v"), F.col("a").alias("w")).union(edges.select("a", "b"))
         least = both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("v", "m").alias("m"))
         # large star: larger neighbours of v point to the least of v's neighbourhood
         large = both.join(least, "v").where("w > v").select(F.col("m").alias("a"), F.col("w").alias("b")).distinct()
         # small star: v and its smaller neighbours point to the least of them
         down = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(down, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x <> y")
-        after = cut(spark, small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-        before = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        now = after.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        edges = after
-        if tuple(before) == tuple(now):
-            return edges.select(F.col("b").alias("v"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("v"), F.col("a").alias("root"))).distinct()
+        edges = cut(spark, small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
 
 
 def _levels(spark: SparkSession, cells: DataFrame):
@@ -351,65 +367,214 @@ def _levels(spark: SparkSession, cells: DataFrame):
     return spark.sparkContext.broadcast(table.tobytes())
 
 
-def _across(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Pairs of different components in larger regions that the window of the triangle inequality leaves.
+class Links:
+    """The links found between classes, and the components that these make.
 
-    rows: (key, sig, n, place, comp, dist), dist from pivot to distance. In each region the members
-    outside of its largest component meet the others; a region of one component has no pair.
+    reps: (sig, doc_id, size, mark), one document of each class.
     """
-    t = 1.0 - similar[0] / similar[1] + 1e-9
-    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(F.max_by("comp", "c").alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
-    members = rows.join(main, "key")
-    x = members.select(*[F.col(c).alias(f"x_{c}") for c in ("sig", "n", "place", "comp", "dist")], "key")
-    y = members.where("comp <> main").select(*[F.col(c).alias(f"y_{c}") for c in ("sig", "n", "place", "comp", "dist")], F.col("key").alias("y_key"))
-    shared = F.map_keys("x_dist")
-    # no map where the sizes or places rule out each pivot: then no distance tells anything
-    near = F.coalesce(F.forall(shared, lambda p: F.coalesce(F.abs(F.col("x_dist")[p] - F.col("y_dist")[p]) <= t, F.lit(True))), F.lit(True))
-    best = F.least("x_place", "y_place") + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
-    enough = best * similar[1] >= similar[0] * (F.col("x_n") + F.col("y_n") - best)
-    met = x.join(y, (F.col("key") == F.col("y_key")) & (F.col("x_comp") != F.col("y_comp")) & enough & near)
-    return met.select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b")).distinct()
 
+    def __init__(self, spark: SparkSession, docs: DataFrame, reps: DataFrame, size: int, similar: tuple[int, int]) -> None:
+        self.spark, self.docs, self.reps, self.size, self.similar = spark, docs, reps, size, similar
+        self.roots = spark.createDataFrame([], "v long, root long")
 
-def linked_classes(spark: SparkSession, docs: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
-    """doc_id, n, sig, root and component of each document: its class, the class that its component is told by, and the least doc_id in it."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = cut(spark, _scan(docs, size))
-    rows = scanned.where("kind = 0").select("doc_id", "n", "sig")
-    met = cut(spark, _pairs_of_regions(_regions(docs, _levels(spark, scanned.where("kind = 1")), size, similar), similar).distinct())
-    release(spark)
-    pairs = met.where("kind < 3").select("a", "b").distinct()
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that the marks do not rule out."""
+        named = [self.reps.select(F.col("sig").alias(c), F.col("size").alias(f"{c}_n"), F.col("mark").alias(f"{c}_mark")) for c in "ab"]
+        similar = self.similar
 
-    def measure(pairs: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                away = np.array([apart(p, q) for p, q in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], dtype=np.int64)
+                n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                ok = pa.array(_enough((n + m - away) // 2, n, m, similar))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(ok)
+
+        joined = pairs.select("a", "b").join(named[0], "a").join(named[1], "b").select("a", "b", "a_n", "b_n", "a_mark", "b_mark")
+        return mapped(joined, run, "a long, b long")
+
+    def measured(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, n, m, both) of each pair, by the whole sets."""
         named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        reps = cut(spark, classes.join(named, "sig"))
+        reps = cut(self.spark, self.reps.select("sig", "doc_id").join(named, "sig"))
         # the sets are made where they are sent: files of them would be as large as the shuffle
-        out = cut(spark, _measure(pairs, _sets(docs, broadcast_if_small(reps, reps.count()), size)).distinct())
+        out = cut(self.spark, _measure(pairs, _sets(self.docs, broadcast_if_small(reps, reps.count()), self.size)).distinct())
         del named, reps
-        release(spark)
+        release(self.spark)
         return out
 
-    linked = F.col("both") * similar[1] >= (F.col("n") + F.col("m") - F.col("both")) * similar[0]
-    measured = measure(pairs)
-    links = measured.where(linked).select("a", "b")
-    roots = components(spark, links)
-    # the larger regions again, where they still hold more than one component
-    members = met.where("kind = 3").select("key", F.col("a").alias("sig"), F.shiftright("b", 32).alias("n"), F.col("b").bitwiseAND(0xFFFFFFFF).alias("place"))
-    members = members.join(roots.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
-    split = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    members = cut(spark, members.join(split, "key"))
-    if not members.isEmpty():
-        distance = F.lit(1.0) - F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
-        starred = met.where("kind in (1, 2)").select("kind", "a", "b").join(measured.select("a", "b", distance.alias("d")), ["a", "b"])
-        far = starred.select(F.when(F.col("kind") == 1, F.col("b")).otherwise(F.col("a")).alias("sig"), F.struct(F.when(F.col("kind") == 1, F.col("a")).otherwise(F.col("b")).alias("p"), "d").alias("e"))
-        known = far.join(members.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.map_from_entries(F.collect_set("e")).alias("dist"))
-        more = cut(spark, _across(members.join(known, "sig", "left"), similar).join(pairs, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            links = cut(spark, links.union(measure(more).where(linked).select("a", "b")))
-            roots = components(spark, links)
-    least = classes.withColumnRenamed("doc_id", "least")
+    def rooted(self, df: DataFrame, sig: str, as_: str) -> DataFrame:
+        """Adds the component of a class."""
+        return df.join(self.roots.select(F.col("v").alias(sig), F.col("root").alias(as_)), sig, "left").withColumn(as_, F.coalesce(as_, sig))
+
+    def add(self, measured: DataFrame) -> None:
+        """Joins the components of the pairs that are similar: the components so far are nodes of a smaller graph."""
+        linked = measured.where(F.col("both") * self.similar[1] >= (F.col("n") + F.col("m") - F.col("both")) * self.similar[0]).select("a", "b")
+        between = self.rooted(self.rooted(linked, "a", "x"), "b", "y").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        above = components(self.spark, between).withColumnRenamed("root", "top")
+        old = self.roots.join(above.withColumnRenamed("v", "root"), "root", "left").select("v", F.coalesce("top", "root").alias("root"))
+        self.roots = cut(self.spark, old.union(above).distinct())
+
+    def check(self, pairs: DataFrame) -> None:
+        """Links what is similar of these pairs."""
+        left = cut(self.spark, pairs)
+        if not left.isEmpty():
+            self.add(self.measured(left))
+
+
+def _open(members: DataFrame, links: Links) -> DataFrame:
+    """The members of regions that hold more than one component and a class at home, with what their joining takes.
+
+    members: (key, sig, n, place, home). Adds comp, whether that is not the region's largest one,
+    and work, the pairs of classes of others with all.
+    """
+    members = links.rooted(members.select("key", "sig", "n", "place", "home"), "sig", "comp")
+    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("c"), F.max("home").alias("home"))
+    whole = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("c"), F.count("*").alias("comps"), F.max("home").alias("home"))
+    whole = whole.where("comps > 1 and home").select("key", "main", ((F.col("c") - F.col("most")) * F.col("c")).alias("work"))
+    return cut(members.sparkSession, members.join(whole, "key").withColumn("other", F.col("comp") != F.col("main")).drop("main"))
+
+
+def _direct(members: DataFrame, links: Links, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of regions that sizes, places and marks allow, of different components and with one class at home.
+
+    The members outside of a region's largest component come first and are held; these and the others
+    pass by them. A task tells about a pair once. nearest: of the pairs of a held class with one
+    component only the one whose marks differ least, as one link makes the others needless; a row
+    (key, null) names a region with others.
+    """
+    similar = links.similar
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[int, int]] = set()
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        left: set[int] = set()
+        key_now, held = None, []
+
+        def fold_of(marks):
+            return np.array([folded(np.frombuffer(m, np.uint8), MARK_BITS // 8) for m in marks]).reshape(len(marks), -1).view(np.uint64)
+
+        def meet(x, y):
+            """x: one held member; y: columns of some members, with their folds."""
+            ok = (y[4] != x[4]) & (y[5] | x[5])
+            ok &= _enough(np.minimum(y[2] - y[3], x[2] - x[3]), y[2], x[2], similar)
+            i = np.flatnonzero(ok)
+            away = np.bitwise_count(y[7][i] ^ x[7]).sum(1, dtype=np.int64)
+            for k in i[_enough((y[2][i] + x[2] - away) // 2, y[2][i], x[2], similar)].tolist():
+                pair = int(x[1]), int(y[1][k])
+                if pair in told:
+                    continue
+                told.add(pair)
+                away = apart(x[6], y[6][k])
+                if not _enough((int(y[2][k]) + int(x[2]) - away) // 2, int(y[2][k]), int(x[2]), similar):
+                    continue
+                at, own = (pair[0], int(y[4][k])) if nearest else pair, (away, pair[1], int(key_now))
+                if at in best:
+                    left.add(max(best[at], own)[2])
+                    own = min(best[at], own)
+                best[at] = own
+
+        def found():
+            a, b = np.array([x for x, _ in best], dtype=np.int64), np.array([y for _, y, _ in best.values()], dtype=np.int64)
+            rows = [pa.array([*np.minimum(a, b).tolist(), *left], pa.int64()), pa.array([*np.maximum(a, b).tolist(), *[None] * len(left)], pa.int64())]
+            for x in (best, told, left):
+                x.clear()
+            return pa.RecordBatch.from_arrays(rows, names=["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)] + [np.array(batch.column(6).to_pylist(), dtype=object)]
+            cols.append(fold_of(cols[6]))
+            other = batch.column(7).to_numpy(zero_copy_only=False)
+            bounds = [0, *(np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1).tolist(), batch.num_rows]
+            for i, j in zip(bounds, bounds[1:]):
+                if cols[0][i] != key_now:
+                    key_now, held = cols[0][i], []
+                part = [c[i:j] for c in cols]
+                for x in held:
+                    meet(x, part)
+                for k in np.flatnonzero(other[i:j]).tolist():
+                    x = [c[k] for c in part]
+                    # the members that this batch holds after it; those before are held or were met with it
+                    meet(x, [c[k + 1 :] for c in part])
+                    held.append(x)
+            if len(told) > SEEN:
+                yield found()
+        if best:
+            yield found()
+
+    marked = members.join(links.reps.select("sig", "mark"), "sig").select("key", "sig", "n", "place", "comp", "home", "mark", "other")
+    ordered = marked.repartition("key").sortWithinPartitions("key", F.desc("other"))
+    return mapped(ordered, run, "a long, b long").distinct()
+
+
+def _join_open(members: DataFrame, links: Links) -> None:
+    """Links the classes of open regions: by the nearest pairs first, then by the others where their regions are open still."""
+    near = cut(links.spark, _direct(members, links, True))
+    links.check(near.where("b is not null"))
+    left = _open(members.join(near.where("b is null").select(F.col("a").alias("key")), "key", "left_semi"), links)
+    if not left.isEmpty():
+        links.check(_direct(left, links, False))
+
+
+def _cells(members: DataFrame, links: Links, level: int) -> tuple[DataFrame, DataFrame]:
+    """Splits regions into Voronoi cells: the members of these, and those of regions that the pivots do not split.
+
+    A home member goes to the cell of its nearest pivot, and everyone to the cells whose window holds
+    them: with d(x, y) <= t and x nearest to p, d(y, p) <= d(y, q) + 2t for each pivot q. Pivots are
+    the classes of least hash, so that regions of nearly the same members share them; their own
+    pairs are measured here, and they leave.
+    """
+    window = 2.0 - 2.0 * links.similar[0] / links.similar[1] + 1e-9
+    hashed = F.struct(F.xxhash64("sig", F.lit(level)).alias("hash"), "sig")
+    least = members.groupBy("key").agg(F.min(hashed).alias("p0"), F.count("*").alias("total"))
+    for k in range(1, PIVOTS):
+        # one more pivot a turn: no array of members is ever gathered
+        more = members.join(least.select("key", F.col(f"p{k - 1}.hash").alias("after")), "key").where(hashed["hash"] > F.col("after"))
+        least = least.join(more.groupBy("key").agg(F.min(hashed).alias(f"p{k}")), "key", "left")
+    chosen = F.array(*[f"p{k}.sig" for k in range(PIVOTS)])
+    pivots = cut(links.spark, least.select("key", "total", F.explode(chosen).alias("pivot")).where("pivot is not null"))
+    met = members.join(pivots, "key").where("sig <> pivot")
+    measured = links.measured(met.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct())
+    links.add(measured)
+    far = measured.select("a", "b", (F.lit(1.0) - F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("d"))
+    far = far.union(far.select("b", "a", "d")).toDF("sig", "pivot", "d")
+    told = met.join(far, ["sig", "pivot"]).join(pivots.select("key", F.col("pivot").alias("sig")), ["key", "sig"], "left_anti")
+    nearest = told.groupBy("key", "sig").agg(F.min(F.struct("d", "pivot")).alias("near"))
+    told = told.join(nearest, ["key", "sig"]).where(F.col("d") <= F.col("near.d") + window)
+    told = cut(links.spark, told.withColumn("home", F.col("home") & (F.col("pivot") == F.col("near.pivot"))).drop("d", "near"))
+    work = told.groupBy("key", "pivot", "total").agg(F.count("*").alias("c"), F.sum(F.col("home").cast("long")).alias("h"))
+    work = work.groupBy("key", "total").agg(F.sum(F.col("c").cast("double") * F.col("h")).alias("work"))
+    split = work.where(F.col("work") < 0.5 * F.col("total") * F.col("total")).select("key")
+    cells = told.join(split, "key").withColumn("key", F.xxhash64("key", "pivot")).drop("pivot", "total")
+    return cells, members.join(split, "key", "left_anti").join(pivots.select("key", F.col("pivot").alias("sig")), ["key", "sig"], "left_anti")
+
+
+def _join_regions(members: DataFrame, links: Links) -> None:
+    """Joins the larger regions again. members: (key, sig, n, place)."""
+    members = _open(members.withColumn("home", F.lit(True)), links)
+    for level in range(LEVELS + 1):
+        if members.isEmpty():
+            return
+        easy, hard = members.where(F.col("work") <= DIRECT), members.where(F.col("work") > DIRECT)
+        if level == LEVELS or hard.isEmpty():
+            return _join_open(members, links)
+        cells, whole = _cells(hard, links, level)
+        _join_open(easy.unionByName(whole), links)
+        members = _open(cells, links)
+
+
+def linked_classes(spark: SparkSession, docs: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
+    """doc_id, n, sig, root and component of each document: its class, the class that its component is told by, and the least doc_id in it."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scanned = cut(spark, _scan(docs, size))
+    rows = scanned.where("kind = 0").select("doc_id", "n", "sig")
+    met = cut(spark, _pairs_of_regions(_regions(docs, _levels(spark, scanned.where("kind = 1")), size, similar), similar))
+    release(spark)
+    classes = scanned.where("kind = 0 and n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("size"), F.max("mark").alias("mark"))
+    links = Links(spark, docs, cut(spark, classes), size, similar)
+    links.check(links.possible(met.where("kind = 0").select(F.col("key").alias("a"), F.col("a").alias("b"))))
+    place = F.col("b").bitwiseAND(0xFFFFFFFF).alias("place")
+    _join_regions(met.where("kind = 1").select("key", F.col("a").alias("sig"), F.shiftright("b", 32).alias("n"), place), links)
+    roots, least = links.roots, links.reps.select("sig", F.col("doc_id").alias("least"))
     reached = roots.join(least, roots["v"] == least["sig"]).groupBy("root").agg(F.min("least").alias("reached"))
     reached = roots.join(reached, "root").select(F.col("v").alias("sig"), "reached", "root")
     told = least.join(reached, "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), F.coalesce(F.least("least", "reached"), "least", "reached").alias("component"))

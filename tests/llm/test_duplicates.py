@@ -67,9 +67,11 @@ def brute_components(rows):
     return sorted(((d, len(s[i]), least.get(find(i)) if s[i] else d) for i, (d, _) in enumerate(rows)), key=repr)
 
 
-@pytest.mark.parametrize("leaf", [2, 8])
-def test_jaccard(spark, docs, rows, leaf, monkeypatch):
+@pytest.mark.parametrize(("leaf", "direct", "pivots"), [(2, 1 << 16, 4), (8, 1 << 16, 4), (2, 0, 2)])
+def test_jaccard(spark, docs, rows, leaf, direct, pivots, monkeypatch):
     monkeypatch.setattr(jaccard, "LEAF", leaf)
+    monkeypatch.setattr(jaccard, "DIRECT", direct)
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
     got = sorted((tuple(r) for r in jaccard.jaccard_components(spark, docs).collect()), key=repr)
     assert got == brute_components(rows)
 
@@ -91,6 +93,52 @@ def test_jaccard_longer_pivots(spark):
     assert sum(c != d for d, _, c in got) == 12
 
 
+def test_marks_never_exceed_the_difference():
+    """A mark tells at most the elements that two sets do not share, whatever their sizes."""
+    own = np.random.default_rng(6)
+    sets = [np.unique(own.integers(0, 4000, k).astype(np.uint64)) for k in (0, 1, 5, 300, 600, 3000, 9000)]
+    sets.append(sets[3][:-7])
+    for p in sets:
+        for q in sets:
+            assert jaccard.apart(jaccard.mark(p), jaccard.mark(q)) <= len(np.setxor1d(p, q))
+    assert jaccard.apart(jaccard.mark(sets[3]), jaccard.mark(sets[-1])) > 0
+
+
+def test_cells_split_far_groups(spark, monkeypatch):
+    """One shingle in all texts, which are else of three far groups: the region goes into cells, and no link is lost."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(jaccard, "PIVOTS", 6)
+    own = random.Random(31)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{k}" for k in range(200)]
+        for _ in range(25):
+            other = list(base)
+            for _ in range(own.randint(2, 5)):
+                other[own.randrange(200)] = f"x{own.randrange(10**6)}"
+            rows.append((len(rows), "one two three four five " + " ".join(other)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scanned = jaccard.cut(spark, jaccard._scan(docs, 5)).where("kind = 0")
+    reps = jaccard.cut(spark, scanned.select("sig", "doc_id", F.col("n").alias("size"), "mark"))
+    links = jaccard.Links(spark, docs, reps, 5, jaccard.SIMILAR)
+    members = reps.select(F.lit(1).cast("long").alias("key"), "sig", F.col("size").alias("n"), F.lit(0).cast("long").alias("place"))
+    cells, whole = jaccard._cells(jaccard._open(members.withColumn("home", F.lit(True)), links), links, 0)
+    assert cells.select("key").distinct().count() > 1 and whole.isEmpty()
+    monkeypatch.setattr(jaccard, "DIRECT", 100)
+    monkeypatch.setattr(jaccard, "LEVELS", 2)
+    jaccard._join_regions(members, links)
+    root = {r["v"]: r["root"] for r in links.roots.collect()}
+    of = {r["doc_id"]: root.get(r["sig"], r["sig"]) for r in reps.collect()}
+    want = {}
+    for d, _, c in brute_components(rows):
+        want.setdefault(c, set()).add(d)
+    got = {}
+    for d, c in of.items():
+        got.setdefault(c, set()).add(d)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_large_sets_by_whole_hashes():
     """Elements that agree in 40 bits are not shared by sets large enough for that to happen."""
     own = np.random.default_rng(5)
@@ -110,6 +158,9 @@ def test_one_of_each(spark, docs, rows):
     got = [r for r in kept.collect() if (r["text"] or "").strip()]
     assert {r["doc_id"] for r in got} == {d for d, _ in want}
     assert sum(1 for r in kept.collect() if not (r["text"] or "").strip()) == 3
+    texts = {d: t for d, t in rows if d not in (None, 5)}
+    assert all(r["text"] == texts[r["doc_id"]] for r in got if r["doc_id"] in texts)
+    assert len([r for r in got if r["doc_id"] == 5]) == len({(d, t) for d, t in rows if d == 5} & {(5, r["text"]) for r in got})
 
 
 def test_jaccard_empty(spark, docs):
@@ -175,5 +226,32 @@ def test_suffix_dedup(spark, docs, rows, group):
     assert got == brute_removed(rows + more, 40)
 
 
+def test_suffix_dedup_with_production_sizes(spark):
+    """Passages about the length looked for, within and across texts, of bytes of all kinds, and texts of one period."""
+    own = random.Random(17)
+    prose = lambda n: "".join(own.choice("abcdefgh é日 ") for _ in range(n))
+    cut_to = lambda t, n: t.encode()[:n].decode("utf-8", "ignore")
+    base = [prose(900) for _ in range(6)]
+    rows = [(k, t) for k, t in enumerate(base)]
+    for size in (398, 399, 400, 401, 402, 650):
+        rows.append((len(rows), prose(150) + cut_to(base[size % 6][30:], size) + prose(200)))
+    rows.append((len(rows), base[0] + base[1][:500] + base[0][100:]))  # the same text again within one
+    rows += [(100, "ab" * 700), (101, "x" * 399), (102, "y" * 401), (103, "abcab" * 120 + "z" + "abcab" * 120), (104, base[2]), (104, base[2]), (None, base[3] + "!"), (105, ""), (106, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in suffix_dedup.suffix_dedup(spark, docs).collect()), key=repr)
+    want = brute_removed(rows, 400)
+    assert got == want
+    assert sum(r[2] > 0 for r in want) > 10
+
+
+def test_suffix_dedup_does_not_depend_on_the_chunk(spark):
+    """A passage in a text of some MB is met again in a short one."""
+    own = random.Random(19)
+    passage, filler = "".join(own.choice("abcdef ") for _ in range(700)), "".join(chr(97 + own.randrange(26)) for _ in range(2_500_000))
+    rows = [(1, filler[:1_700_000] + passage + filler[1_700_000:]), (2, "start " + passage + " end")]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.suffix_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (700, 1), 2: (700, 1)}
+
+
 def test_suffix_dedup_empty(spark, docs):
     assert suffix_dedup.suffix_dedup(spark, docs.limit(0)).count() == 0
