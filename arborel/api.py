@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from .errors import error, from_spark
 from .functions.library import literal
 from .functions.values import SPARK, Val, cast_to, full_type, items, of_type, single, to_string
 from .plans.ast import Ex
+from .plans.documents import resolved
 from .plans.parser import StaticContext, parse
 from .plans.row import RowCompiler, output
 from .plans.tables import Tables
@@ -73,8 +74,12 @@ class Selector:
         self.tree = parse(self.text, self.static)
 
     def over_rows(self, df: DataFrame, functions: Functions | None = None) -> DataFrame:
-        """Adds `value` to each row; works on streams too."""
-        return df.withColumn("value", expression(df, self.text, self.static, functions))
+        """Adds `value` to each row; works on streams too, but for paths into texts that the expression parses."""
+        columns = {f.name: of_type(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields}
+        compiler = RowCompiler(self.static, columns=columns, functions=functions.known if functions else {})
+        wide, e, found = resolved(df, self.tree, self.static, compiler)
+        value = output(replace(compiler, variables=found)(e), "value")
+        return wide.withColumn("value", value).drop(*found) if found else df.withColumn("value", value)
 
     def over_tables(self, frames: dict[str, DataFrame], keys: dict[str, list[str]] | None = None) -> DataFrame:
         return Tables(frames, keys or {}, self.static).compile(self.tree)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import os
+import re
 from collections.abc import Callable
 from dataclasses import replace
+from urllib.parse import urljoin
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import UnsupportedError, error
@@ -415,6 +417,11 @@ def _(c, v, places=None):
 
 @fn("format-integer", 2, 3, since=30)
 def _(c, n, picture, lang=None):
+    digits = picture.name[1:] if (picture.name or "").startswith("=") else ""
+    if digits and set(digits) <= {"0", "1"} and "1" not in digits[:-1]:  # so many digits at least
+        i = one(n).col.cast("bigint")
+        size = F.abs(i).cast("string")
+        return string(F.concat(F.when(i < 0, "-").otherwise(""), F.repeat(F.lit("0"), F.greatest(F.lit(len(digits)) - F.length(size), F.lit(0))), size))
     return string(udfs.call(udfs.format_integer, "string", one(n).col.cast("bigint"), text(picture), to_string(one(lang)) if lang else F.lit(c.static.language)))
 
 
@@ -813,10 +820,28 @@ def _(c):
     return Val(F.lit(c.static.timezone * 60).cast(SPARK["dayTimeDuration"]), "dayTimeDuration")
 
 
+# Picture components that are plain digits, as Java patterns, by what they need.
+PLAIN_PARTS = {"date": {"Y0001": "yyyy", "M01": "MM", "D01": "dd"}, "time": {"H01": "HH", "m01": "mm", "s01": "ss"}}
+
+
+def plain_picture(kind: str, picture: str) -> str | None:
+    """The Java pattern of a picture of digits and other text, or None for any other."""
+    known = (PLAIN_PARTS["date"] if kind != "time" else {}) | (PLAIN_PARTS["time"] if kind != "date" else {})
+    out = []
+    for k, part in enumerate(re.split(r"\[([^\[\]]*)\]", picture)):
+        if k % 2 and part not in known or not k % 2 and ("[" in part or "]" in part):
+            return None
+        out.append(known[part] if k % 2 else "'" + part.replace("'", "''") + "'" if part else "")
+    return "".join(out)
+
+
 def _format_moment(kind):
     @fn(f"format-{kind}", 2, 5, since=30)
     def _(c, v, picture, lang=None, calendar=None, place=None):
         v = cast_to(one(v), kind)
+        plain = plain_picture(kind, picture.name[1:]) if picture.name and picture.name.startswith("=") and calendar is None else None
+        if plain and kind != "time":
+            return string(once(v.col, lambda x: F.date_format(x["v"], plain)))
         local = v.col["v"] if kind == "dateTime" else v.col["v"].cast("timestamp_ntz") if kind == "date" else F.timestamp_micros(v.col["v"] + F.lit(946_684_800_000_000)).cast("timestamp_ntz")
         return string(udfs.call(udfs.FORMAT[kind], "string", local, v.col["tz"].cast("double"), text(picture), to_string(one(lang)) if lang else F.lit(c.static.language)))
 
@@ -1216,6 +1241,68 @@ def _(c, v, options=None):
     return Val(F.when(~F.is_variant_null(out), out), "json")
 
 
+# resources
+
+#: Bytes of a file that an expression can hold, and files of a folder; larger ones are relations of sources/files.py.
+RESOURCE_BYTES, RESOURCE_FILES = 16 << 20, 100_000
+
+
+def _resource(c, uri: Val) -> Column:
+    """The text of the file at a literal URI, as a constant of the plan."""
+    place, spark = _place(c, uri), SparkSession.getActiveSession()
+    if not _there(spark, place):
+        raise error("FOUT1170", f"no resource {place}")
+    found = spark.read.format("binaryFile").load(place).select("length").first()
+    if found is None or found[0] > RESOURCE_BYTES:
+        raise UnsupportedError("FOUT1170", f"{place} is no file of at most {RESOURCE_BYTES} bytes")
+    return F.lit(spark.read.text(place, wholetext=True).first()[0])
+
+
+def _place(c, uri: Val) -> str:
+    name = literal(uri, "a URI")
+    return urljoin(c.static.base_uri, name) if c.static.base_uri else name
+
+
+def _there(spark: SparkSession, place: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where))
+
+
+@fn("unparsed-text", 1, 2, since=30)
+def _(c, uri, encoding=None):
+    return string(_resource(c, uri))
+
+
+@fn("unparsed-text-lines", 1, 2, since=30)
+def _(c, uri, encoding=None):
+    found = F.split(_resource(c, uri), r"\r\n|\r|\n", -1)
+    whole = F.when(F.element_at(found, -1) == "", F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found)
+    return Val(whole, "string", True)
+
+
+@fn("unparsed-text-available", 1, 2, since=30)
+def _(c, uri, encoding=None):
+    return boolean(F.lit(_there(SparkSession.getActiveSession(), _place(c, uri))))
+
+
+@fn("json-doc", 1, 2, since=31)
+def _(c, uri, options=None):
+    parsed = F.try_parse_json(_resource(c, uri))
+    return Val(F.coalesce(parsed, raise_("FOJS0001", "invalid JSON", "variant")), "json")
+
+
+@fn("uri-collection", 1, since=30)
+def _(c, uri):
+    spark, place = SparkSession.getActiveSession(), _place(c, uri)
+    if not _there(spark, place):
+        raise error("FODC0002", f"no collection {place}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(place).select("path")
+    names = sorted(r["path"] for r in files.limit(RESOURCE_FILES + 1).collect())
+    if len(names) > RESOURCE_FILES:
+        raise UnsupportedError("FODC0002", f"{place} has over {RESOURCE_FILES} files")
+    return Val(F.array(*map(F.lit, names)).cast("array<string>"), "anyURI", True)
+
+
 @fn("serialize", 1, 2, since=30)
 def _(c, v, options=None):
     if v.type in ("map", "array", "json"):

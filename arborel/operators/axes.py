@@ -71,6 +71,23 @@ def condition(axis: str) -> Column:
     }[axis]
 
 
+#: The context nodes of these axes that alone matter where no predicate asks for the others: columns besides k and doc_id, and their bounds.
+BOUNDS = {
+    "following": ([], {"last_desc": F.min}), "preceding": ([], {"pre": F.max}),
+    "following-sibling": (["parent_pre", "kind"], {"sib_ord": F.min}), "preceding-sibling": (["parent_pre", "kind"], {"sib_ord": F.max}),
+}
+
+
+def bounded_step(context: DataFrame, nodes: DataFrame, axis: str, test: Test) -> DataFrame:
+    """Rows (k, node columns), each once, of a step along one of BOUNDS: the outermost context node of a document, or of siblings, reaches all."""
+    by, bounds = BOUNDS[axis]
+    if "kind" in by:
+        context = context.where("kind <> 'attribute'").withColumn("kind", F.lit("element"))
+    least = context.groupBy("k", "doc_id", *by).agg(*[f(c).alias(f"c_{c}") for c, f in bounds.items()])
+    left = least.select("k", *[F.col(c).alias(f"c_{c}") for c in ("doc_id", *by)], *[f"c_{c}" for c in bounds])
+    return left.join(nodes.where(test_of(test, axis)).select(*NODE), condition(axis)).select("k", *NODE)
+
+
 def step(context: DataFrame, nodes: DataFrame, axis: str, test: Test) -> DataFrame:
     """Rows (k, c_pre, node columns) of one axis step, not yet free of duplicates."""
     if axis == "namespace":

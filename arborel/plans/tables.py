@@ -211,7 +211,8 @@ class Tables:
         bound = Val(inner.df.agg((F.min if least else F.max)(F.when(~nan, value.col)).alias("v")).scalar(), value.type)
         found = F.coalesce(compare(op, bound, atom(self.row_compiler(rows)(other)), self.static, test.op == "gcmp"), F.lit(False))
         if every:  # no item at all, or none that is null or NaN and thus compares false
-            found = F.coalesce(inner.df.agg(F.bool_and(value.col.isNotNull() & ~nan).alias("v")).scalar() & found, F.lit(True))
+            all_there = inner.df.agg(F.bool_and(value.col.isNotNull() & ~nan).alias("v")).scalar()
+            found = F.when(all_there.isNull(), True).otherwise(all_there & found)
         return replace(rows, df=rows.df.where(found if keep else ~found))
 
     def _split(self, rows: Rows, path: Ex) -> tuple[Rows, list[tuple[Column, Column]]]:
@@ -225,6 +226,8 @@ class Tables:
                 a, b = atom(self.row_compiler(rows)(out)), atom(self.row_compiler(inner)(mine))
                 kind = common([a, b])
                 pairs.append((convert(a, kind).col, convert(b, kind).col))
+            elif _outside(p, rows):
+                raise UnsupportedError("XPTY0004", "a path is joined to what is outside by equalities")
             else:
                 own.append(p)
         inner = self.filtered(inner, own)

@@ -65,7 +65,9 @@ class Trees:
 
     def select(self, text: str) -> DataFrame:
         """Nodes as (doc_id, pre, kind, name, path, value) or items as (doc_id, value), to be sorted by doc_id and pre."""
-        e = parse(text, self.static)
+        return self.compile(parse(text, self.static))
+
+    def compile(self, e: Ex) -> DataFrame:
         roots = self._start = self.roots()
         if e.op == "path" and e.args and not self.is_nodes(e) and self.is_nodes(before := Ex("path", e.val, e.args[:-1])):
             e = Ex("for", ("",), (before, e.args[-1]))
@@ -141,6 +143,8 @@ class Trees:
         axis, test = e.val
         if axis == "child" and test.kind == "document-node":
             axis = "self"
+        if axis in axes.BOUNDS and not e.args:
+            return axes.bounded_step(context, self.nodes, axis, test)
         found = axes.step(context, self.nodes, axis, test)
         if e.args:
             return self._predicates(found, e.args, axis in axes.REVERSE).dropDuplicates(["k", "doc_id", "pre"])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import families
+from .api import VERSIONS, Functions, Selector
 from .operators import axes
 from .plans import trees
 from .plans.parser import StaticContext
@@ -241,12 +242,53 @@ def tree_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.select(order_tree(spark, sf_dir), "count(//item)")
 
 
-def customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The node relation of an XML document for each customer, written and then shredded."""
+def customer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, xml, uri): an XML document for each customer."""
     parts = families.XML.replace("}", "{").split("{")
     xml = F.concat(*[F.col(x).cast("string") if k % 2 else F.lit(x) for k, x in enumerate(parts)])
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return shred.xml_nodes(rows.select(F.col("c_custkey").alias("doc_id"), xml.alias("xml"), F.concat(F.lit("http://x/"), "c_custkey").alias("uri")), uri="uri")
+    return rows.select(F.col("c_custkey").alias("doc_id"), xml.alias("xml"), F.concat(F.lit("http://x/"), "c_custkey").alias("uri"))
+
+
+def customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of these documents."""
+    return shred.xml_nodes(customer_texts(spark, sf_dir), uri="uri")
+
+
+def parsed_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: Selector(text, StaticContext(namespaces=families.NAMESPACES)).over_rows(customer_texts(spark, sf_dir)).select("doc_id", "value")
+
+
+def external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python function of the caller inside an expression, over all parts."""
+    own = Functions()
+    own.external("my:cube", lambda x: None if x is None else x**3, ("xs:integer",), "xs:integer")
+    static = StaticContext(namespaces=(("my", "http://my"),))
+    return Selector("my:cube(p_size) + 1", static).over_rows(spark.read.parquet(f"{sf_dir}/part.parquet"), own).select("p_partkey", "value")
+
+
+def version_query(version: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: Selector(text, VERSIONS[version]).over_rows(spark.read.parquet(f"{sf_dir}/part.parquet")).select("p_partkey", "value")
+
+
+def environment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Environment variables that the static context gives, over all regions."""
+    static = StaticContext(environment=(("A", "1"), ("B", "2")), base_uri="http://base/x")
+    text = "concat(environment-variable('A'), '/', string-join(available-environment-variables(), ','), '/', r_name, '/', static-base-uri(), '/', empty(environment-variable('C')))"
+    return Selector(text, static).over_rows(spark.read.parquet(f"{sf_dir}/region.parquet")).select("r_regionkey", "value")
+
+
+#: Queries of the programming interface: name -> (builder, SQL)
+INTERFACE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "xp_parse_xml": (parsed_query("count(parse-xml(xml)//*) + sum(parse-xml(xml)//c:code)"), "SELECT c_custkey AS doc_id, 5 + c_nationkey::DOUBLE AS value FROM customer"),
+    "xp_parse_xml_path": (parsed_query("string-join(parse-xml(xml)/c:customer/@*, '|')"), "SELECT c_custkey AS doc_id, 'en-US|c' || c_custkey || '|' || c_custkey || '|' || c_nationkey AS value FROM customer"),
+    "xp_parse_xml_fragment": (parsed_query("string-join(parse-xml-fragment(concat('a', doc_id, '<b>c</b>d'))/node(), '.')"), "SELECT c_custkey AS doc_id, 'a' || c_custkey || '.c.d' AS value FROM customer"),
+    "xp_external_function": (external, "SELECT p_partkey, p_size::BIGINT * p_size * p_size + 1 AS value FROM part"),
+    "xp_version_1": (version_query("1.0", "concat(p_name, '-', p_size * 2) = concat(p_name, '-', '20') or p_brand = 12"), "SELECT p_partkey, p_size = 10 AS value FROM part"),
+    "xp_version_2": (version_query("2.0", "for $x in (1 to 3) return $x * p_size"), "SELECT p_partkey, [p_size::BIGINT, p_size::BIGINT * 2, p_size::BIGINT * 3] AS value FROM part"),
+    "xp_version_30": (version_query("3.0", "let $x := p_size return ($x ! (. + 1)) || '!'"), "SELECT p_partkey, (p_size + 1) || '!' AS value FROM part"),
+    "xp_environment": (environment, "SELECT r_regionkey, '1/A,B/' || r_name || '/http://base/x/true' AS value FROM region"),
+}
 
 
 def tree_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -266,11 +308,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: table_query(text) for name, (text, _) in (EXPRESSIONS | families.TABLE_FAMILIES).items()}
     out |= {name: tree_query(text) for name, (text, _) in families.TREE_FAMILIES.items()}
     out |= {name: axis_query(text) for name, (text, _) in AXES.items()}
+    out |= {name: build for name, (build, _) in INTERFACE.items()}
     return out | {"xp_tree_count": tree_count, "xp_tree_serialize": serialized}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: sql for name, (_, sql) in (EXPRESSIONS | families.TABLE_FAMILIES | AXES | families.TREE_FAMILIES).items()}
+    out |= {name: sql for name, (_, sql) in INTERFACE.items()}
     count = "SELECT c_custkey AS doc_id, coalesce(n, 0) AS value FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) AS i ON l_orderkey = o_orderkey GROUP BY o_custkey) AS g ON o_custkey = c_custkey"
     parts = families.XML.replace("}", "{").split("{")
     xml = " || ".join(x if k % 2 else f"'{x}'" for k, x in enumerate(parts))

@@ -28,8 +28,8 @@ COLUMNS = [c.strip().split(" ")[0] for c in SCHEMA.split(", ")]
 class Shredder:
     """Builds the rows of one document from parser events."""
 
-    def __init__(self, doc_id: int | None, uri: str | None = None) -> None:
-        self.doc_id, self.rows, self.stack = doc_id, [], []
+    def __init__(self, doc_id: int | None, uri: str | None = None, fragment: bool = False) -> None:
+        self.doc_id, self.rows, self.stack, self.fragment = doc_id, [], [], fragment
         self.scopes: list[dict[str, str]] = [{"xml": XML}]
         self.pending: dict[str, str] = {}
         self.text: list[str] = []
@@ -68,7 +68,7 @@ class Shredder:
         if self.text:
             value = "".join(self.text)
             self.text = []
-            if self.stack[-1]["kind"] == "document":
+            if self.stack[-1]["kind"] == "document" and not self.fragment:
                 return
             self._row("text", "", "", "", value, self.stack[-1])
             for row in self.stack:
@@ -136,7 +136,7 @@ class Shredder:
 
 def shred(xml: str, doc_id: int | None = None, uri: str | None = None, fragment: bool = False) -> list[dict]:
     """The node rows of one text; FODC0006 where it is not well-formed. fragment: any content, under a document node."""
-    out = Shredder(doc_id, uri)
+    out = Shredder(doc_id, uri, fragment)
     parser = expat.ParserCreate(namespace_separator="\n")
     parser.namespace_prefixes = True
     parser.ordered_attributes = True

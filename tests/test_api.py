@@ -1,6 +1,7 @@
 import pytest
 from arborel.api import VERSIONS, Functions, Selector, expression, iter_select, select
-from arborel.errors import XPathArithmeticError, XPathNameError
+from arborel.errors import UnsupportedError, XPathArithmeticError, XPathError, XPathNameError
+from arborel.plans.parser import StaticContext
 from arborel.plans.trees import select as select_nodes
 from arborel.sources import files
 from arborel.sources.shred import xml_nodes
@@ -82,3 +83,54 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r["value"] for r in spark.table("lengths").collect()) == [8, 23]
+
+
+def test_parsed_documents_in_expressions(spark):
+    df = spark.createDataFrame([(1, "<a><b>1</b><b>2</b></a>"), (2, None), (3, "<a><b>1</b><b>2</b></a>"), (4, "<a/>")], "k long, _0found string")
+    got = select(df, "sum(parse-xml(_0found)//b) + count(parse-xml(_0found)/a)")
+    assert got.columns == ["k", "_0found", "value"]
+    assert {r["k"]: r["value"] for r in got.collect()} == {1: 4.0, 2: 0.0, 3: 4.0, 4: 1.0}
+    with pytest.raises(Exception, match="FODC0006"):
+        list(iter_select(spark.createDataFrame([("<a>",)], "x string"), "count(parse-xml(x)//*)"))
+
+
+def test_resources_in_expressions(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("one\r\ntwo\n")
+    (tmp_path / "j.json").write_text('{"k": [1, 2]}')
+    df = spark.createDataFrame([(1,), (2,)], "n long")
+    static = StaticContext(base_uri=f"file://{tmp_path}/")
+    value = lambda text: [r["value"] for r in select(df, text, static).collect()]
+    assert value("string-length(unparsed-text('t.txt')) + n") == [10, 11]
+    assert value("unparsed-text-lines('t.txt')[2]") == [["two"]] * 2
+    assert value("unparsed-text-available('t.txt') and not(unparsed-text-available('z'))") == [True, True]
+    assert value("xs:integer(json-doc('j.json')?k?2) * n") == [2, 4]
+    assert value("count(uri-collection('.'))") == [2, 2]
+    with pytest.raises(XPathError, match="FOUT1170"):
+        value("unparsed-text('none.txt')")
+
+
+def test_set_operators_with_positions(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c"), (3, "c")], "n long, s string").repartition(3)
+    value = lambda text: sorted(r["value"] for r in select({"t": rows}, text).collect())
+    assert value("/t/row[position() le 2]/s | /t/row[n = 3]/s") == ["a", "a", "c", "c"]
+    assert value("/t/row/n except /t/row[last()]/n") == [1, 1, 2, 3]
+    assert value("/t/row[n = 1]/s intersect /t/row[s = 'a']/s") == ["a", "a"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_without_nested_loops_or_row_loops(spark):
+    orders = spark.createDataFrame([(1, 2.0)], "k long, v double")
+    items = spark.createDataFrame([(1, 2.0)], "k long, x double")
+    tables = {"orders": orders, "items": items}
+    assert "NestedLoop" not in plan_of(select(tables, "/orders/row[some $i in /items/row satisfies $i/x gt v]/k"))
+    assert [r["value"] for r in select(tables, "/orders/row[every $i in /items/row satisfies $i/x ge v]/k").collect()] == [1]
+    assert select(tables, "/orders/row[some $i in /items/row[x gt 5] satisfies $i/x lt v]/k").count() == 0
+    assert select(tables, "/orders/row[every $i in /items/row[x gt 5] satisfies $i/x lt v]/k").count() == 1
+    with pytest.raises(UnsupportedError):
+        select(tables, "/orders/row[some $i in /items/row satisfies $i/x != v]/k")
+    with pytest.raises(UnsupportedError):
+        select(tables, "for $o in /orders/row return if (exists(/items/row[x gt $o/v])) then 1 else ()")
+    assert "Python" not in plan_of(select(orders, "format-integer(k, '000')")) and "Arrow" not in plan_of(select(orders, "format-integer(k, '000')"))

@@ -157,6 +157,21 @@ CASES = [
     ('apply(concat#2, ["a", "b"])', 'ab'),
     ('array:join(([1], [2, 3]))', [1, 2, 3]),
     ('map:merge((map{"a": 1}, map{"a": 2}), map{"duplicates": "use-last"})?a', 2),
+    (r"matches('b', '[a\D]')", True),
+    (r"matches('5', '[a\D]')", False),
+    (r"matches('a', '[^a\D]')", False),
+    (r"matches('5', '[^a\D]')", True),
+    (r"replace('a1-b2', '[\D-[b]]', '')", '1b2'),
+    (r"replace('x y', '[\S]', '_')", '_ _'),
+    ("string(namespace-uri-from-QName(xs:QName('xs:a')))", 'http://www.w3.org/2001/XMLSchema'),
+    ("'nope:a' castable as xs:QName", False),
+    ("xs:QName('nope:a')", '!FONS0004'),
+    ("string(xs:dateTime(string(xs:dateTime(string(xs:dateTime('2020-01-02T03:04:05.25'))))))", '2020-01-02T03:04:05.25'),
+    ("format-integer(-42, '0001')", '-0042'),
+    ("format-integer(123456, '001')", '123456'),
+    ("format-integer((), '001')", ''),
+    ("format-dateTime(xs:dateTime('2002-12-31T01:02:03'), \"[D01]'s [H01]h\")", "31's 01h"),
+    ("format-date(xs:date('2002-12-31'), '[[[D01]]]')", '[31]'),
 ]
 
 

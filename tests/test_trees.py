@@ -72,7 +72,8 @@ def test_entities_are_refused():
 
 def test_fragment():
     rows = shred("a<b/>c", fragment=True)
-    assert [r["kind"] for r in rows] == ["document", "element", "text"] or [r["kind"] for r in rows][0] == "document"
+    assert [(r["kind"], r["local"], r["value"]) for r in rows] == [("document", "", None), ("text", "", "a"), ("element", "b", None), ("text", "", "c")]
+    assert rows[0]["string_value"] == "ac" and rows[0]["last_desc"] == 3
 
 
 def test_json_and_xml():
