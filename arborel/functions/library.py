@@ -421,7 +421,7 @@ def _(c, n, picture, lang=None):
     if digits and set(digits) <= {"0", "1"} and "1" not in digits[:-1]:  # so many digits at least
         i = one(n).col.cast("bigint")
         size = F.abs(i).cast("string")
-        return string(F.concat(F.when(i < 0, "-").otherwise(""), F.repeat(F.lit("0"), F.greatest(F.lit(len(digits)) - F.length(size), F.lit(0))), size))
+        return string(F.coalesce(F.concat(F.when(i < 0, "-").otherwise(""), F.repeat(F.lit("0"), F.greatest(F.lit(len(digits)) - F.length(size), F.lit(0))), size), F.lit("")))
     return string(udfs.call(udfs.format_integer, "string", one(n).col.cast("bigint"), text(picture), to_string(one(lang)) if lang else F.lit(c.static.language)))
 
 
