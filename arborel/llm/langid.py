@@ -38,6 +38,10 @@ def letter_table() -> np.ndarray:
     return _classes[0]
 
 
+#: The symbol of a gap inside an n-gram, so that no shorter n-gram has the same code.
+GAP = np.uint64(1)
+
+
 def symbols(text: str) -> np.ndarray:
     """Letters in lower case as 16-bit symbols, and one 0 for each run of other characters."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -68,7 +72,7 @@ def ranked(texts: list[str | None], most: int = PROFILE) -> tuple[np.ndarray, np
     for size in range(1, LONGEST + 1):
         code = np.zeros(n, dtype=np.uint64)
         for j in range(size):
-            code = code << np.uint64(16) | flatted[j : j + n]
+            code = code << np.uint64(16) | np.maximum(flatted[j : j + n], GAP)
         inside = flatted[size - 1 : size - 1 + n] if size <= 2 else flatted[1 : 1 + n]
         good = inside != 0
         if size == 2:
@@ -146,7 +150,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = PROFILE) -> Profile
                             continue
                         code = np.zeros(n, dtype=np.uint64)
                         for j in range(size):
-                            code = code << np.uint64(16) | flat_[j : j + n]
+                            code = code << np.uint64(16) | np.maximum(flat_[j : j + n], GAP)
                         good = flat_[:n] != 0 if size == 1 else (flat_[:n] != 0) | (flat_[1 : 1 + n] != 0) if size == 2 else flat_[1 : 1 + n] != 0
                         for g, c in zip(*(x.tolist() for x in np.unique(code[good], return_counts=True))):
                             sums[g] = sums.get(g, 0) + c
