@@ -1,6 +1,6 @@
 """URL filtering by rules, and by trust and distrust spread over the graph of hosts.
 
-Hosts are linked by the absolute links of their pages, and to the domains above them. Trust is a
+Hosts are linked by the absolute links of their pages, with or without a scheme, and to the domains above them. Trust is a
 personalised PageRank that starts at hosts with pages that a rule allows and follows the edges;
 distrust starts at hosts with pages that a rule blocks and follows them backwards, as a link
 vouches for its target. Where no rule fits, a page is blocked if its host's distrust exceeds its
@@ -17,7 +17,8 @@ from .common import broadcast_if_small, cut
 #: (host, path, verdict)
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 DAMPING = 0.85
-STEPS = 12
+#: Steps end once a round of ROUND of them moves less than TOLERANCE of all trust and distrust; after STEPS in any case, when 0.85 ** 60 is left to move.
+STEPS, ROUND, TOLERANCE = 60, 3, 0.01
 THRESHOLD = 1.0
 #: A link to a domain above weighs as this many page links.
 DOMAIN_WEIGHT = 0.5
@@ -44,8 +45,9 @@ def ruled(host: Column, path: Column, rules) -> Column:
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, w): links between hosts, added up, and from each host to the domains above it of two labels at least."""
-    links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)\shref\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]*)"""), F.lit(1))
-    linked = pages.where("host <> ''").select("host", F.explode(links).alias("to")).select(F.col("host").alias("src"), host_of(F.col("to")).alias("dst"))
+    links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)\shref\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""), F.lit(1))
+    to = F.when(F.col("to").startswith("//"), F.concat(F.lit("x:"), "to")).otherwise(F.col("to"))  # a link without a scheme has that of its page
+    linked = pages.where("host <> ''").select("host", F.explode(links).alias("to")).select(F.col("host").alias("src"), host_of(to).alias("dst"))
     linked = linked.where("dst <> '' and dst <> src").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
     hosts = linked.select(F.explode(F.array("src", "dst")).alias("src")).union(pages.select(F.col("host").alias("src"))).where("src <> ''").distinct()
     labels = F.split("src", r"\.")
@@ -56,7 +58,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def spread(spark: SparkSession, edges: DataFrame, seeds: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(host, trust, distrust) after so many steps. seeds: (host, allowed, blocked), both weights."""
+    """(host, trust, distrust) once they have settled. seeds: (host, allowed, blocked), both weights."""
     ends = F.array(F.struct(F.lit("trust").alias("kind"), "src", "dst"), F.struct(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = edges.select(F.explode(ends).alias("e"), "w").select("e.*", "w")
     out = both.groupBy("kind", "src").agg(F.sum("w").alias("out"))
@@ -65,11 +67,15 @@ def spread(spark: SparkSession, edges: DataFrame, seeds: DataFrame, steps: int =
     total = start.groupBy("kind").agg(F.sum("n").alias("all"))
     start = cut(spark, start.join(F.broadcast(total), "kind").select("kind", "host", (F.col("n") / F.col("all") * (1.0 - DAMPING)).alias("r")))
     ranks = start
-    for step in range(steps):
-        moved = ranks.join(shares, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("r") * F.col("p") * DAMPING).alias("r"))
-        ranks = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("r").alias("r"))
-        if step % 3 == 2:
-            ranks = cut(spark, ranks)
+    for _ in range(0, steps, ROUND):
+        before = ranks
+        for _ in range(ROUND):
+            moved = ranks.join(shares, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("r") * F.col("p") * DAMPING).alias("r"))
+            ranks = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("r").alias("r"))
+        ranks = cut(spark, ranks)
+        change = ranks.join(before.withColumnRenamed("r", "was"), ["kind", "host"], "left").agg(F.sum(F.abs(F.col("r") - F.coalesce("was", F.lit(0.0))))).first()[0]
+        if (change or 0.0) < TOLERANCE:
+            break
     side = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("r"))), F.lit(0.0))
     return ranks.groupBy("host").agg(side("trust").alias("trust"), side("distrust").alias("distrust"))
 
