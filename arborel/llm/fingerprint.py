@@ -220,12 +220,12 @@ def _record(kinds: list[int], parts: list[int], ids: list, results: list[list] |
 def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Fingerprints of each text, of its text edited with the next document's, and how near both are.
 
-    Documents follow each other by doc_id, nulls first, rows of one doc_id by a hash of the text;
+    Documents follow each other by doc_id, nulls first, rows of one doc_id by a hash of the text, then the text;
     the last is followed by the first, a single one by itself. Null text is empty: its fingerprint
     is '' and its likeness to another empty one 1. Equal rows come out as often as they come in.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    ordered = docs.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text", F.spark_partition_id().alias("part"))
+    ordered = docs.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 0: a result; 1: the first and 2 the last row of a partition, with their texts."""

@@ -272,11 +272,11 @@ def store(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
 def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 0) -> DataFrame:
     """Writes the shards of a corpus; gives (part, name, docs, ids) of each, one row for a partition.
 
-    Rows go by doc_id, nulls first, and those of one doc_id by a hash of their text. A task writes
+    Rows go by doc_id, nulls first, and those of one doc_id by a hash of their text, then the text. A task writes
     under a name of its own and then renames, so a repeated task leaves one whole shard in use.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    ordered = docs.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text", F.spark_partition_id().alias("part"))
+    ordered = docs.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, own, part, name, last, row = coder(tokenizer), None, 0, "", None, 0
