@@ -67,5 +67,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: All windows of the items, and all places of documents that hold one, by the words themselves.
+DECONTAMINATION_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS s, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+),
+places AS (SELECT r, s, i, array_to_string(w[i:i + s - 1], ' ') AS g FROM (SELECT r, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM d, (SELECT DISTINCT s FROM windows) WHERE len(w) >= s)),
+hits AS (SELECT r, item, i, p.s FROM places p JOIN windows x ON p.g = x.g AND p.s = x.s),
+covered AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(range(i, i + s)) AS place FROM hits) GROUP BY r),
+named AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(m.n, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, c.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered c ON c.r = d.r LEFT JOIN named m ON m.r = d.r
+"""
+
+#: All pairs that share a shingle, and the closure of those that are similar.
+JACCARD_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^ \\t-\\r]+') AS w FROM documents),
+sets AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM sets GROUP BY r),
+shared AS (SELECT x.r AS a, y.r AS b, count(*) AS common FROM sets x JOIN sets y ON x.g = y.g WHERE x.r <> y.r GROUP BY x.r, y.r),
+links AS (SELECT a, b FROM shared JOIN sizes p ON p.r = a JOIN sizes q ON q.r = b WHERE 100 * common >= 75 * (p.n + q.n - common)),
+reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT reach.a AS r, min(e.doc_id) AS doc_id FROM reach JOIN d e ON e.r = reach.b GROUP BY reach.a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, CASE WHEN n IS NULL THEN d.doc_id ELSE least.doc_id END AS component_id
+FROM d JOIN least ON least.r = d.r LEFT JOIN sizes ON sizes.r = d.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}  # none of these operators has an equal in SQL that is feasible on whole tables
+    """SQL where it can say the whole result. The others are tested against brute force, round trips and held-out accuracy."""
+    return {"op3_decontamination": DECONTAMINATION_SQL, "op6_jaccard_join": JACCARD_SQL}
