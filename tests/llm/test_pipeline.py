@@ -3,8 +3,10 @@
 import base64
 import hashlib
 import re
+import shutil
 import subprocess
 import sys
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -65,7 +67,7 @@ def test_same_as_plain_stages(spark, folder):
         w = FOUND.findall(lower(r["text"]))
         windows |= {tuple(w[k : k + 10]) for k in range(max(len(w) - 9, min(len(w), 1)))}
     rows = [(d, without(t, windows) if t else t) for d, t in rows]
-    assert dict(rows)[904] == "Cat sat. " + re.search(r"\W*$", dict(rows)[904][9:].split("Last")[0])[0].lstrip() + "Last words here." or "Last words here." in dict(rows)[904]
+    assert dict(rows)[904].startswith("Cat sat. ") and dict(rows)[904].endswith(" Last words here.") and len(dict(rows)[904]) < 60
     terms = {r["doc_id"]: [(int(a), 4, int(b)) for a, b in re.findall(r"term:(\d+):(\d+)", r["spans"])] for r in pii.find_pii(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -82,12 +84,39 @@ def test_same_as_plain_stages(spark, folder):
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(want)
 
 
+def test_empty_and_extra_columns(spark, folder, tmp_path):
+    """No documents give no rows; columns named as inner ones, and null ids and texts, go through all stages."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        for at in ("none", "more"):
+            spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{tmp_path}/{at}/{name}.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    names = ("key", "terms", "__id", "__sig", "__key", "held_out", "score", "n_tokens", "component", "sig", "spans", "root")
+    few = docs.where("doc_id < 40 or doc_id >= 900").unionByName(spark.createDataFrame([(None, "a text without an id", "en", "s", 20), (None, None, "en", "s", None)], docs.schema))
+    few.selectExpr("*", *[f"doc_id AS `{n}`" for n in names]).write.parquet(f"{tmp_path}/more/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/more")
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    few.write.parquet(f"{tmp_path}/plain/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{tmp_path}/plain/{name}.parquet")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, corpus_pipeline.run(spark, f"{tmp_path}/plain").collect()))
+
+
 def test_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard join", "decontamination", "pii", "byte bpe"]
 
 
 def test_entry_without_the_subpackage(tmp_path):
-    """The driver entry imports, and has its other queries, where the corpus folders are gone."""
-    code = "import sys, importlib.abc\nclass No(importlib.abc.MetaPathFinder):\n    def find_spec(self, name, path=None, target=None):\n        if name.startswith(('arborel.llm', 'corpus_pipeline')): raise ModuleNotFoundError(name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nprint(len(e.queries()), any(n.startswith('op') for n in e.queries()))"
-    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=corpus_pipeline.__file__.rsplit("/", 1)[0])
-    assert got.stdout.split()[-1] == "False" and int(got.stdout.split()[-2]) > 50
+    """The driver entry imports, and has its other queries, where the corpus folders are gone; a broken import in them is not hidden."""
+    home = Path(corpus_pipeline.__file__).parent
+    shutil.copytree(home / "arborel", tmp_path / "arborel", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(home / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith(('op', 'pipeline')) for n in e.queries()), len(e.oracle_sql()))"
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=tmp_path)
+    n, corpus, sql = got.stdout.split()[-3:]
+    assert int(n) > 150 and corpus == "False" and int(sql) > 150
+    (tmp_path / "arborel/llm").mkdir()
+    (tmp_path / "arborel/llm/__init__.py").write_text("")
+    (tmp_path / "arborel/llm/queries.py").write_text("import not_there")
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, cwd=tmp_path, check=False).returncode != 0

@@ -1,12 +1,15 @@
 """Classifiers by held-out accuracy; fingerprints, personal data and URLs against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from arborel.llm import fingerprint, langid, pii, toxicity, urls
+from arborel.llm.common import flat
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.1"
@@ -55,12 +58,96 @@ def test_rank_profiles_by_plain_counting():
             if inner.strip():
                 code = 0
                 for ch in g:
-                    code = code << 16 | (0 if ch == " " else ord(ch))
+                    code = code << 16 | (1 if ch == " " else ord(ch))
                 plain[code] = plain.get(code, 0) + 1
     want = sorted(plain, key=lambda g: (-plain[g], g))
     assert [g for g, _ in sorted(zip(gram.tolist(), rank.tolist()), key=lambda x: x[1])] == want
 
 
+def plain_subwords(text):
+    """(subword, its weight) by the docstring: words of letters and digits, their 3- and 5-grams with boundaries, and the words themselves."""
+    found = re.findall(r"[0-9a-z\x80-\U0010FFFF]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    out = []
+    for w in found:
+        grams = [("", w)] + [(size, f" {w} "[i : i + size]) for size in (3, 5) for i in range(len(w) + 3 - size)]
+        out += [(g, 1 / len(grams) / (len(found) + toxicity.PAD)) for g in grams]
+    return out
+
+
+def test_subwords_by_plain_counting():
+    """Each text has as many subwords, of the same weights, as plain slicing gives; equal ones fall into one bucket, and a misspelling shares some."""
+    texts = ["An idiot, aN Idiot!", "é日本 x 42", "", None, "supercalifragilistic", "a-b_c", "id1ot idiot"]
+    doc, bucket, weight = toxicity.bag(*flat(pa.array(texts, pa.string())))
+    names = {}
+    for k, t in enumerate(texts):
+        plain = plain_subwords(t)
+        mine = sorted(zip(weight[doc == k].round(12).tolist(), bucket[doc == k].tolist()))
+        assert [w for w, _ in mine] == sorted(round(w, 12) for _, w in plain)
+        by_gram, by_bucket = {}, {}
+        for g, w in plain:
+            by_gram[g] = by_gram.get(g, 0) + w
+        for w, b in mine:
+            by_bucket[b] = by_bucket.get(b, 0) + w
+        assert sorted(by_gram.values()) == pytest.approx(sorted(by_bucket.values()))
+        names[k] = set(by_bucket)
+    assert names[0] & names[6]
+
+
+def test_scores_by_a_plain_forward_pass():
+    """The score is the softmax of the mean of the subwords' vectors; folding these into one number changes nothing."""
+    own = random.Random(12)
+    texts = [" ".join(own.choice(("bad", "worse", "nice", "good", "day", "night")) for _ in range(own.randint(3, 30))) for _ in range(80)]
+    labels = [int("bad" in t.split()) for t in texts]
+    model = toxicity.train(texts, labels)
+    for t, score in zip(texts, model.scores(pa.array(texts, pa.string()))):
+        doc, bucket, weight = toxicity.bag(*flat(pa.array([t], pa.string())))
+        z = sum(float(model.fold[b]) * w for b, w in zip(bucket.tolist(), weight.tolist())) + model.bias
+        assert score == pytest.approx(1 / (1 + math.exp(-z)))
+    assert model.scores(pa.array([None, ""], pa.string())) == pytest.approx([1 / (1 + math.exp(-model.bias))] * 2)
+
+
+def plain_grams(text):
+    """1- to 3-grams of letters and of single gaps, those that hold a letter, or for 3 one in the middle."""
+    line = " " + re.sub(r"[^\w]|[\d_]", " ", (text or "").lower())
+    line = re.sub(" +", " ", line + " ")
+    counts = {}
+    for n in (1, 2, 3):
+        for i in range(len(line) - n + 1):
+            g = line[i : i + n]
+            if (g[1] if n == 3 else g).strip():
+                counts[g] = counts.get(g, 0) + 1
+    code = lambda g: sum((1 if c == " " else ord(c)) << 16 * k for k, c in enumerate(reversed(g)))
+    return sorted(counts, key=lambda g: (-counts[g], code(g))), counts
+
+
+def test_language_by_plain_profiles(spark):
+    """Profiles, distances, predictions and scores by dictionaries."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 260 and n_chars < 6000").collect()]
+    rows += [(9001, "", "en"), (9002, None, "en"), (9003, "12 ... 3", "en"), (9004, rows[0][1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    most, totals = 400, {}
+    for d, t, lang in rows:
+        if lang is not None and zlib.crc32(str(d).encode()) % 3 != 1:
+            totals.setdefault(lang, []).append(t or "")
+    profiles = {}
+    for lang, texts in totals.items():
+        counts = {}
+        for t in texts:
+            for g, c in plain_grams(t)[1].items():
+                counts[g] = counts.get(g, 0) + c
+        code = lambda g: sum((1 if c == " " else ord(c)) << 16 * k for k, c in enumerate(reversed(g)))
+        profiles[lang] = {g: k for k, g in enumerate(sorted(counts, key=lambda g: (-counts[g], code(g)))[:most])}
+    got = {r["doc_id"]: r for r in langid.language_id(spark, docs).collect()}
+    for d, t, _ in rows:
+        own = plain_grams(t)[0][:most]
+        if not own:
+            assert (got[d]["lang_pred"], got[d]["score"]) == ("und", 0.0)
+            continue
+        far = sorted((sum(abs(k - p[g]) if g in p else most for k, g in enumerate(own)), lang) for lang, p in profiles.items())
+        assert got[d]["lang_pred"] == far[0][1], d
+        assert got[d]["score"] == pytest.approx((far[1][0] - far[0][0]) / max(far[1][0], 1e-9))
+
+
 def test_toxicity(spark, table):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     some = table.select("doc_id", "text").withColumn("lang", F.lit(None).cast("string")).withColumn("score", F.lit("x")).unionByName(odd(spark))
@@ -171,7 +258,7 @@ def test_urls(spark):
     link = '<a href="http://{}/x">y</a>'
     rows += [
         (900, None, None), (901, "nothing", ""), (902, "HTTP://EXAMPLE.com/en/7#a", link.format("good.test")), (903, "x://good.test/a", None), (904, "x://com/en/", link.format("com")),
-        (905, "x://bad.test/", link.format("spam.example.net")), (906, "x://spam.example.net/de/8/", ""), (907, "x://", ""), (908, "a://b://c/d?e", ""),
+        (905, "x://bad.test/", link.format("spam.example.net")), (906, "x://spam.example.net/de/8/", ""), (907, "x://", ""), (909, "http://a.test/", '<a href="//b.test/x"><A HREF=https://C.test>'), (910, "http://m.sub.a.test", ""), (908, "a://b://c/d?e", ""),
     ]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, host string")
     got = {r["page_id"]: r for r in urls.filter_urls(spark, pages).collect()}
@@ -181,6 +268,8 @@ def test_urls(spark):
         r = got[page]
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] in ("allow", "block")
         assert verdict is None or r["verdict"] == verdict
+    links = {(r["src"], r["dst"]) for r in urls.host_edges(pages.drop("host").withColumn("host", urls.host_of(F.col("url")))).collect()}
+    assert {("a.test", "b.test"), ("a.test", "c.test"), ("m.sub.a.test", "sub.a.test"), ("a.test", "m.sub.a.test")} <= links
     assert got[903]["verdict"] == "allow" and got[905]["verdict"] == "block" and got[900]["verdict"] == "allow"
     assert urls.filter_urls(spark, pages.limit(0)).count() == 0
 
@@ -203,4 +292,4 @@ def test_spread_by_matrix(spark):
 
     trust, distrust = plain(edges, {"a": 3.0, "c": 1.0}), plain([(b, a, w) for a, b, w in edges], {"c": 2.0})
     for host in "abcd":
-        assert got.get(host, (0, 0)) == pytest.approx((trust.get(host, 0), distrust.get(host, 0)))
+        assert got.get(host, (0, 0)) == pytest.approx((trust.get(host, 0), distrust.get(host, 0)), abs=urls.TOLERANCE)
