@@ -13,7 +13,7 @@ from pyspark.sql.types import Row
 from .errors import error, from_spark
 from .functions.library import literal
 from .functions.values import SPARK, Val, cast_to, full_type, items, of_type, single, to_string
-from .plans.ast import Ex
+from .plans.ast import Ex, to_xpath
 from .plans.documents import resolved
 from .plans.parser import StaticContext, parse
 from .plans.row import RowCompiler, output
@@ -34,6 +34,10 @@ class Functions:
         """A function whose body makes a column expression from its arguments."""
         self.known[name, arity if arity is not None else len(inspect.signature(build).parameters)] = build
 
+    def schema(self, schema, prefix: str) -> None:
+        """The constructors of the simple types of a schema, as functions under a prefix."""
+        self.known.update(schema.constructors(prefix))
+
     def external(self, name: str, call: Callable, arguments: tuple[str, ...], result: str) -> None:
         """A Python callable as a vectorised UDF; types are names such as xs:integer, with ? where () is allowed."""
         kinds = [a.removeprefix("xs:").rstrip("?") for a in arguments]
@@ -84,8 +88,22 @@ class Selector:
     def over_tables(self, frames: dict[str, DataFrame], keys: dict[str, list[str]] | None = None) -> DataFrame:
         return Tables(frames, keys or {}, self.static).compile(self.tree)
 
-    def over_trees(self, nodes: DataFrame, **variables: Val) -> DataFrame:
-        return Trees(nodes, self.static, variables).select(self.text)
+    def over_trees(self, nodes: DataFrame, schema=None, **variables: Val) -> DataFrame:
+        return Trees(nodes, self.static, variables, schema).select(self.text)
+
+    @property
+    def source(self) -> str:
+        """The expression written again from its tree."""
+        return to_xpath(self.tree)
+
+    def leaf_elements(self) -> set[str]:
+        """The names of elements and attributes at which paths of the expression end."""
+        out = set()
+        inner = {id(a) for e in self.tree.walk() if e.op == "path" for a in e.args[:-1]}
+        for e in self.tree.walk():
+            if e.op == "step" and id(e) not in inner and e.val[1].local is not None:
+                out.add(("@" if e.val[0] == "attribute" else "") + e.val[1].local)
+        return out
 
 
 def select(source: DataFrame | dict[str, DataFrame], text: str, static: StaticContext | None = None) -> DataFrame:

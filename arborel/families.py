@@ -230,3 +230,9 @@ TREE_FAMILIES: dict[str, tuple[str, str]] = {
     "xp_tree_head": ("head(//*[. = ''])", _nodes("ref")),
     "xp_tree_tail": ("tail(//*[. = ''])", _nodes("empty")),
 }
+
+#: A schema of these documents.
+XSD = (
+    "<xs:schema xmlns:xs=\"http://www.w3.org/2001/XMLSchema\" xmlns:c=\"http://c\" targetNamespace=\"http://c\"><xs:simpleType name=\"code\"><xs:restriction base=\"xs:int\"><xs:minInclusive value=\"0\"/><xs:maxInclusive value=\"49\"/></xs:restriction></xs:simpleType>"
+    "<xs:element name=\"code\" type=\"c:code\"/><xs:element name=\"customer\"/></xs:schema>"
+)

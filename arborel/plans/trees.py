@@ -9,6 +9,7 @@ are filters, and positions are ranks in a window over the step's own context.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from .ast import Ex, Test
 from .parser import StaticContext, parse
 from .row import RowCompiler, output
 
+XSI = "http://www.w3.org/2001/XMLSchema-instance"
 #: Functions of nodes, and the column of the node relation that answers each.
 NODE_COLUMNS = {
     "name": None, "local-name": None, "namespace-uri": None, "node-name": None, "path": None, "generate-id": None, "has-children": None,
@@ -54,6 +56,7 @@ class Trees:
     nodes: DataFrame
     static: StaticContext = field(default_factory=StaticContext)
     variables: dict[str, Val] = field(default_factory=dict)
+    schema: Any = None
     _count: int = 0
     _start: DataFrame | None = None
 
@@ -143,6 +146,15 @@ class Trees:
         axis, test = e.val
         if axis == "child" and test.kind == "document-node":
             axis = "self"
+        if self.schema is not None and test.kind in ("schema-element", "schema-attribute"):
+            # the names that the declaration stands for, as separate steps
+            kind = test.kind.removeprefix("schema-")
+            names = sorted(self.schema.substitutes(kind, test.ns or "", test.local))
+            steps = [Ex("step", (axis, Test(kind, ns, local)), e.args) for ns, local in names]
+            out = self._step(steps[0], context)
+            for s in steps[1:]:
+                out = out.unionByName(self._step(s, context))
+            return out
         if axis in axes.BOUNDS and not e.args:
             return axes.bounded_step(context, self.nodes, axis, test)
         found = axes.step(context, self.nodes, axis, test)
@@ -208,6 +220,16 @@ class Trees:
             return source.withColumn("_r", rank).where(test(F.col("_r"))).select("k", *NODE)
         return source
 
+    def simple_type(self, path: Ex):
+        """The type that the schema gives to the nodes of a path by the name test of its last step, or None."""
+        while path.op in ("path", "filter") and path.args:
+            path = path.args[-1] if path.op == "path" else path.args[0]
+        if self.schema is None or path.op != "step" or path.val[1].kind not in ("name", "element", "attribute"):
+            return None
+        axis, test = path.val
+        kind = "attribute" if axis == "attribute" else "element"
+        return self.schema.type_of(kind, test.ns, test.local) if test.ns is not None and test.local is not None else None
+
     def _forms(self, source: DataFrame) -> DataFrame:
         """Adds `form`: what deep-equal compares of each node, its kind, name and value and those of all below it, without comments and instructions.
 
@@ -260,12 +282,16 @@ class Trees:
             else:
                 v = Val(F.col(name), kind, True)
                 known[key] = v.with_col(items(v))
+                simple = self.simple_type(path) if f in (None, "data") else None
+                if simple is not None:
+                    kind = simple.cast(Val(F.lit(None).cast("string"), "untypedAtomic")).type
+                    known[key] = Val(F.transform(known[key].col, lambda x: simple.cast(Val(x, "untypedAtomic")).col), kind, True)
             return known[key]
 
         def resolve(x: Ex, c: RowCompiler) -> Val | None:
             if c.focus is not None:
                 return None
-            if x.op == "call" and x.val in NODE_FUNCTIONS and x.val != "has-children" and (not x.args or self.is_nodes(x.args[0])):
+            if x.op == "call" and x.val in NODE_FUNCTIONS and x.val != "has-children" and (x.val != "nilled" or self.schema is None) and (not x.args or self.is_nodes(x.args[0])):
                 v = column(x.args[0] if x.args else Ex("ctx"), x.val)
                 return Val(F.try_element_at(v.col, F.lit(1)), v.type) if v.many and x.val not in ("data", "in-scope-prefixes") else v
             if x.op == "call" and x.val == "lang" and len(x.args) == 1:
@@ -288,6 +314,9 @@ class Trees:
             if x.op == "call" and x.val in ("exists", "empty", "not", "boolean") and len(x.args) == 1 and self.is_nodes(x.args[0]):
                 n = column(x.args[0], None, "count").col
                 return Val(n > 0 if x.val in ("exists", "boolean") else n == 0, "boolean")
+            if x.op == "call" and x.val == "nilled" and self.schema is not None:
+                nil = Ex("step", ("attribute", Test("name", XSI, "nil")), (Ex("gcmp", "=", (Ex("ctx"), Ex("seq", None, (Ex("lit", ("string", "true")), Ex("lit", ("string", "1")))))),))
+                return c(Ex("call", "exists", (Ex("path", "", (*x.args, nil)) if x.args and x.args[0].op != "ctx" else nil,)))
             if x.op == "call" and x.val == "has-children" and (not x.args or self.is_nodes(x.args[0])):
                 child = Ex("step", ("child", Test("node")))
                 return c(Ex("call", "exists", (Ex("path", "", (*x.args, child)) if x.args and x.args[0].op != "ctx" else child,)))
@@ -340,6 +369,6 @@ def _unbind(e: Ex, name: str) -> Ex:
     return replace(e, args=tuple(_unbind(a, name) for a in e.args))
 
 
-def select(nodes: DataFrame, text: str, static: StaticContext | None = None, **variables: Val) -> DataFrame:
-    """Runs an expression on each document of a node relation."""
-    return Trees(nodes, static or StaticContext(), variables).select(text)
+def select(nodes: DataFrame, text: str, static: StaticContext | None = None, schema=None, **variables: Val) -> DataFrame:
+    """Runs an expression on each document of a node relation; with a schema, values have the types that it gives."""
+    return Trees(nodes, static or StaticContext(), variables, schema).select(text)

@@ -14,6 +14,7 @@ from .plans import trees
 from .plans.parser import StaticContext
 from .plans.tables import query
 from .sources import files, shred
+from .sources.schema import Schema
 
 KEYS = {
     "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"],
@@ -278,6 +279,23 @@ def environment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Selector(text, static).over_rows(spark.read.parquet(f"{sf_dir}/region.parquet")).select("r_regionkey", "value")
 
 
+def schema_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    """An expression over the documents of customers under a schema."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = trees.select(customer_documents(spark, sf_dir), text, StaticContext(namespaces=families.NAMESPACES), Schema(families.XSD))
+        return out.select("doc_id", "pre") if "pre" in out.columns else out
+
+    return run
+
+
+def schema_constructor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A constructor that a schema defines, over all parts."""
+    own = Functions()
+    own.schema(Schema(families.XSD), "c")
+    return Selector("c:code(p_size mod 50) + 1", StaticContext(namespaces=families.NAMESPACES)).over_rows(spark.read.parquet(f"{sf_dir}/part.parquet"), own).select("p_partkey", "value")
+
+
 #: Queries of the programming interface: name -> (builder, SQL)
 INTERFACE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "xp_parse_xml": (parsed_query("count(parse-xml(xml)//*) + sum(parse-xml(xml)//c:code)"), "SELECT c_custkey AS doc_id, 5 + c_nationkey::DOUBLE AS value FROM customer"),
@@ -287,6 +305,10 @@ INTERFACE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "xp_version_1": (version_query("1.0", "concat(p_name, '-', p_size * 2) = concat(p_name, '-', '20') or p_brand = 12"), "SELECT p_partkey, p_size = 10 AS value FROM part"),
     "xp_version_2": (version_query("2.0", "for $x in (1 to 3) return $x * p_size"), "SELECT p_partkey, [p_size::BIGINT, p_size::BIGINT * 2, p_size::BIGINT * 3] AS value FROM part"),
     "xp_version_30": (version_query("3.0", "let $x := p_size return ($x ! (. + 1)) || '!'"), "SELECT p_partkey, (p_size + 1) || '!' AS value FROM part"),
+    "xp_schema_typed": (schema_query("sum(//c:code) + 1"), "SELECT c_custkey AS doc_id, c_nationkey::BIGINT + 1 AS value FROM customer"),
+    "xp_schema_instance": (schema_query("//c:code instance of xs:integer"), "SELECT c_custkey AS doc_id, true AS value FROM customer"),
+    "xp_schema_element": (schema_query("//schema-element(c:code)"), "SELECT c_custkey AS doc_id, 10::BIGINT AS pre FROM customer"),
+    "xp_schema_constructor": (schema_constructor, "SELECT p_partkey, p_size::BIGINT % 50 + 1 AS value FROM part"),
     "xp_environment": (environment, "SELECT r_regionkey, '1/A,B/' || r_name || '/http://base/x/true' AS value FROM region"),
 }
 
