@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,9 +168,17 @@ def points(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
+#: Bytes of the Arrow batches that workers get, as texts and sets of any size come in them; a single larger row makes a larger batch.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def mapped(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow, once the workers can import this package."""
-    ship(df.sparkSession)
+    """mapInArrow, once the workers can import this package, in batches bound by bytes. A smaller bound of the session stays."""
+    spark = df.sparkSession
+    ship(spark)
+    told = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(BATCH).lower())
+    if told is None or not 0 < int(told[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[told[2]] <= BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 
@@ -188,6 +197,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def store(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a shared folder and its path there."""
+    if "://" not in folder and not folder.startswith("file:"):
+        folder = f"file://{folder}"
+    return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else folder.replace("file:", "file://", 1))
+
+
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Cuts the lineage through reliable files in the shared folder; Spark removes them once unreferenced."""
     shared_dir(spark)

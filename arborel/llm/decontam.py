@@ -1,23 +1,26 @@
 """Benchmark decontamination by an FM-index over each shard of the training documents.
 
 A task gathers its documents into shards of word symbols, sorts their suffixes, and keeps the
-Burrows-Wheeler transform in a wavelet matrix with sampled suffix positions. All windows of the
-benchmark items are searched backwards at once; the rows found are walked to sampled positions,
-and the spans of words found are merged. Words that no item has are breakers: no phrase crosses
-them, so suffixes need no order beyond them. Nothing is shuffled.
+Burrows-Wheeler transform in a wavelet matrix with sampled suffix positions. A shard is indexed
+once, over its own vocabulary. The windows of the benchmark items lie in blocks of bounded size in
+the shared folder; a task holds one block at a time and searches all its windows backwards at once;
+the rows found are walked to sampled positions, and the spans of words found are merged. Words that
+a bitmap of fixed size tells to be in no item are breakers: no phrase crosses them, so suffixes need
+no order beyond them. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..runtime import ship
-from .common import LOWER, RollingHash, byte_table, chunks, flat, mapped, mix, words
+from .common import LOWER, RollingHash, byte_table, chunks, cut, flat, mapped, mix, shared_dir, store, words
 
 WORD = byte_table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 WINDOW = 10
@@ -25,6 +28,8 @@ SAMPLE = 16
 #: Text bytes of a shard, unless one document alone is longer; and of benchmark text in one block.
 SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 8 << 20
+#: Bits of the bitmap of the items' words.
+BITMAP_BITS = 22
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -57,12 +62,45 @@ class Phrases:
         self.item_starts = np.concatenate(([0], np.cumsum(self.item_counts)))
         self.items = np.array([i for v in rows.values() for i in sorted(v)], dtype=np.int64)
 
-    def symbols_of(self, hashes: np.ndarray) -> np.ndarray:
-        """1 and up for words of the vocabulary, 0 for all others."""
-        if len(self.vocabulary) == 0:
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at + 1, 0)
+    def in_symbols_of(self, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The phrases whose words all are in another vocabulary, and their symbols there, from 1."""
+        if len(vocabulary) == 0 or len(self.lengths) == 0:
+            return np.zeros(0, np.int64), np.zeros((0, self.symbols.shape[1]), np.int64)
+        at = np.minimum(np.searchsorted(vocabulary, self.vocabulary), len(vocabulary) - 1)
+        there = np.concatenate(([0], np.where(vocabulary[at] == self.vocabulary, at + 1, 0)))
+        symbols = there[self.symbols]
+        which = np.flatnonzero(((symbols > 0) == (self.symbols > 0)).all(1))
+        return which, symbols[which]
+
+    def cells(self) -> np.ndarray:
+        """The bitmap of the words."""
+        bits = np.zeros(1 << BITMAP_BITS, dtype=bool)
+        bits[(self.vocabulary >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] = True
+        return np.packbits(bits)
+
+
+class Blocks:
+    """The names of the blocks of phrases in a shared folder, and the bitmap of all their words. A worker holds one block."""
+
+    _held: dict[str, Phrases] = {}
+
+    def __init__(self, folder: str, names: list[str], cells: np.ndarray) -> None:
+        self.folder, self.names, self.cells = folder, names, cells
+
+    def possible(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether words may be in an item."""
+        at = (hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+        return (self.cells[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+    def __iter__(self) -> Iterator[Phrases]:
+        for name in self.names:
+            if name not in Blocks._held:
+                fs, path = store(self.folder)
+                with fs.open_input_file(f"{path}/{name}") as file:
+                    found = pickle.loads(file.read())
+                Blocks._held.clear()
+                Blocks._held[name] = found
+            yield Blocks._held[name]
 
 
 def suffix_order(sym: np.ndarray) -> np.ndarray:
@@ -180,53 +218,77 @@ class FMIndex:
         return self.sample[self.sample_rank[rows]] + steps
 
 
-def shard_hits(buf: np.ndarray, offsets: np.ndarray, blocks: list[Phrases]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, str]]]:
+def shard_hits(buf: np.ndarray, offsets: np.ndarray, blocks: Blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, set[tuple[int, str]]]:
     """Word starts, ends, their documents, which are hit, and the (document, item) pairs of one shard."""
     starts, ends, hashes = word_hashes(buf, offsets)
-    doc = np.searchsorted(offsets, starts, side="right") - 1
     # a document may be empty, and then shares its offset with the next
+    doc = np.searchsorted(offsets, starts, side="right") - 1
     n = len(starts)
     hit = np.zeros(n + 1, dtype=np.int64)
-    pairs: list[tuple[int, str]] = []
-    if n == 0:
-        return starts, ends, doc, hit[:0].astype(bool), pairs
+    pairs: set[tuple[int, str]] = set()
+    good = np.flatnonzero(blocks.possible(hashes))
+    if len(good) == 0:
+        return starts, ends, doc, hit[:-1].astype(bool), pairs
+    vocabulary, ids = np.unique(hashes[good], return_inverse=True)
+    # a breaker between documents and after the last
     step = np.concatenate(([0], np.cumsum(1 + (doc[1:] != doc[:-1])))) if n > 1 else np.zeros(1, np.int64)
+    sym = np.zeros(int(step[-1]) + 2, dtype=np.int64)
+    sym[step[good]] = ids + 1
+    word_at = np.zeros(len(sym), dtype=np.int64)
+    word_at[step] = np.arange(n)
+    index = FMIndex(sym, len(vocabulary))
     for phrases in blocks:
-        if len(phrases.lengths) == 0:
+        chosen, symbols = phrases.in_symbols_of(vocabulary)
+        if len(chosen) == 0:
             continue
-        sym = np.zeros(int(step[-1]) + 2, dtype=np.int64)
-        sym[step] = phrases.symbols_of(hashes)
-        word_at = np.zeros(len(sym), dtype=np.int64)
-        word_at[step] = np.arange(n)
-        index = FMIndex(sym, len(phrases.vocabulary))
-        low, high = index.search(phrases.symbols, phrases.lengths)
+        low, high = index.search(symbols, phrases.lengths[chosen])
         count = np.maximum(high - low, 0)
-        which = np.repeat(np.arange(len(count)), count)
-        rows = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + low[which]
+        own = np.repeat(np.arange(len(count)), count)
+        rows = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count) + low[own]
+        which = chosen[own]
         at = word_at[index.locate(rows)]
         np.add.at(hit, at, 1)
         np.subtract.at(hit, at + phrases.lengths[which], 1)
         many = phrases.item_counts[which]
         items = phrases.items[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(phrases.item_starts[which], many)]
         found = np.unique(np.repeat(doc[at], many) * len(phrases.names) + items)
-        pairs += [(int(x) // len(phrases.names), phrases.names[int(x) % len(phrases.names)]) for x in found]
+        pairs |= {(int(x) // len(phrases.names), phrases.names[int(x) % len(phrases.names)]) for x in found}
     return starts, ends, doc, np.cumsum(hit[:-1]) > 0, pairs
 
 
-def phrase_blocks(spark: SparkSession, benchmark: DataFrame, window: int) -> list:
-    """The items as broadcast blocks of bounded size; an item is a query, so all are needed by each shard."""
-    ship(spark)
-    blocks, own, size = [], [], 0
-    rows = benchmark.select(benchmark["item_id"].cast("string").alias("item"), benchmark["text"].alias("text"))
-    for row in rows.where("text is not null").toLocalIterator():
-        own.append((row["item"] if row["item"] is not None else "", row["text"].encode()))
-        size += len(own[-1][1])
-        if size >= BLOCK_BYTES:
-            blocks.append(spark.sparkContext.broadcast(Phrases(own, window)))
-            own, size = [], 0
-    if own:
-        blocks.append(spark.sparkContext.broadcast(Phrases(own, window)))
-    return blocks
+def phrase_blocks(spark: SparkSession, benchmark: DataFrame, window: int):
+    """Writes the items' windows as blocks to the shared folder, and broadcasts their names and the bitmap of their words.
+
+    A block is written under a name of its own by the task that makes it; blocks of failed tasks are not in use.
+    """
+    folder = f"{shared_dir(spark)}/phrases-{uuid.uuid4().hex}"
+
+    def written(items: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        phrases, name = Phrases(items, window), f"block-{uuid.uuid4().hex}"
+        fs, path = store(folder)
+        fs.create_dir(path, recursive=True)
+        with fs.open_output_stream(f"{path}/{name}") as out:
+            out.write(pickle.dumps(phrases))
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([phrases.cells().tobytes()])], names=["name", "cells"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size = [], 0
+        for batch in batches:
+            for item, text in zip(*(c.to_pylist() for c in batch.columns)):
+                own.append((item or "", text.encode()))
+                size += len(own[-1][1])
+                if size >= BLOCK_BYTES:
+                    yield written(own)
+                    own, size = [], 0
+        if own:
+            yield written(own)
+
+    rows = benchmark.select(benchmark["item_id"].cast("string").alias("item"), benchmark["text"].cast("string").alias("text")).where("text is not null")
+    cells, names = np.zeros(1 << BITMAP_BITS - 3, np.uint8), []
+    for row in cut(spark, mapped(rows, run, "name string, cells binary")).toLocalIterator():  # one row for each block
+        names.append(row["name"])
+        cells |= np.frombuffer(bytes(row["cells"]), np.uint8)
+    return spark.sparkContext.broadcast(Blocks(folder, sorted(names), cells))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -239,7 +301,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
     blocks = phrase_blocks(spark, benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [b.value for b in blocks]
+        own = blocks.value
         for batch in batches:
             buf, offsets = flat(batch.column(1))
             for a, b in chunks(offsets, SHARD_BYTES):
@@ -276,7 +338,7 @@ def without_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
     sized = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [b.value for b in blocks]
+        own = blocks.value
         for batch in batches:
             buf, offsets = flat(batch.column(at))
             texts = batch.column(at).to_pylist()

@@ -25,11 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, flat, mapped, shared_dir
+from .common import chunks, cut, flat, mapped, shared_dir, store
 from .pieces import PieceTable
 
 MAGIC = b"ARBSST1\n"
@@ -262,13 +261,6 @@ def coder(path: str) -> PieceTable:
     return _coders[path].table
 
 
-def store(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system of a shared folder and its path there."""
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
-    return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else folder.replace("file:", "file://", 1))
-
-
 def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 0) -> DataFrame:
     """Writes the shards of a corpus; gives (part, name, docs, ids) of each, one row for a partition.
 

@@ -186,9 +186,12 @@ def brute_hits(rows, items):
     return sorted(out, key=repr)
 
 
-def test_decontamination(spark, docs, rows):
+@pytest.mark.parametrize("block", [8 << 20, 40])
+def test_decontamination(spark, docs, rows, block, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
     items = [("1", rows[0][1]), ("2", " ".join(rows[3][1].split()[:12]).upper()), ("3", "w1 w2"), ("4", ""), ("5", None), ("1", rows[0][1]), ("6", "é w3!")]
-    bench = spark.createDataFrame(items, "item_id string, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string").coalesce(1)
+    assert (len(decontam.phrase_blocks(spark, bench, 10).value.names) > 3) == (block == 40)
     got = sorted((tuple(r) for r in decontam.decontaminate(spark, docs, bench).collect()), key=repr)
     assert got == brute_hits(rows, [(n, t or "") for n, t in items])
     cleaned = decontam.without_spans(spark, docs, bench)
