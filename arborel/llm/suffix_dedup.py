@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RollingHash, chunks, cut, flat, mapped, mix
+from .common import RollingHash, chunks, cut, flat, mapped, mix, release
 
 LENGTH = 400
 GRAM = 100
@@ -33,6 +33,8 @@ GRAM = 100
 GROUP = 8192
 FLUSH_BYTES = 4 << 20
 U64 = np.uint64
+#: Bits of a place in a text; the others of a word are of the name that chooses it.
+PLACE = U64(32)
 
 
 def sampled(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -43,14 +45,14 @@ def sampled(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
         return empty
     roll = RollingHash(buf)
     names = mix(roll.windows(gram))
-    bits = U64(n.bit_length())
-    least = (names >> bits << bits) | np.arange(len(names), dtype=U64)
+    # the rule must not depend on the chunk: by the upper half of the name, then the place
+    least = (names >> PLACE << PLACE) | np.arange(len(names), dtype=U64)
     want, have = length - gram + 1, 1
     while have < want:
         step = min(have, want - have)
         least = np.minimum(least[:-step], least[step:])
         have += step
-    at = (least & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    at = (least & ((U64(1) << PLACE) - U64(1))).astype(np.int64)
     sizes = np.diff(offsets)
     starts_in = np.maximum(sizes - length + 1, 0)
     doc = np.repeat(np.arange(len(sizes)), starts_in)
@@ -84,23 +86,24 @@ def _samples(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of each wanted run, from the texts."""
-    listed = wanted.groupBy("key").agg(F.collect_list(F.struct("name", "pos", "low", "high", "met")).alias("at"))
+    """The bytes of each wanted run, from the texts, and how many runs its group has."""
+    listed = wanted.groupBy("key").agg(F.collect_list(F.struct("name", "pos", "low", "high", "met", "runs")).alias("at"))
     joined = docs.join(listed, "key").select("key", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = flat(batch.column(1))
-            rows = [[], [], [], [], []]
+            rows = [[], [], [], [], [], []]
             for k, (key, found) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
                 for x in found:
                     start = x["pos"] - x["high"]
                     i = int(offsets[k]) + start
-                    for col, v in zip(rows, (x["name"], key, start, x["met"], buf[i : i + x["high"] - x["low"] + length].tobytes())):
+                    for col, v in zip(rows, (x["name"], key, start, x["met"], buf[i : i + x["high"] - x["low"] + length].tobytes(), x["runs"])):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.binary())], names=["name", "key", "start", "met", "bytes"])
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names=["name", "key", "start", "met", "bytes", "runs"])
 
-    return mapped(joined, run, "name long, key long, start int, met long, bytes binary")
+    return mapped(joined, run, "name long, key long, start int, met long, bytes binary, runs long")
 
 
 def _names(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,16 +175,20 @@ def _merge_wide(contexts: DataFrame, length: int) -> DataFrame:
 def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(key, start, end): spans of bytes under strings of this length that also start elsewhere. docs: (key, text)."""
     samples = _samples(docs, length, gram)
-    again = samples.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
+    # what is joined with samples is cut first: then both sides are plain shuffles, and a name that many samples have is split
+    again = cut(spark, samples.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name"))
     suspects = cut(spark, samples.join(again, "name"))
     runs = cut(spark, suspects.groupBy("name", "run").agg(F.count("*").alias("met"), F.min(F.struct("key", "pos", "low", "high")).alias("one")))
-    groups = runs.groupBy("name").agg(F.count("*").alias("runs"), F.min("met").alias("least")).where("runs > 1 and least = 1").select("name", "runs")
+    groups = cut(spark, runs.groupBy("name").agg(F.count("*").alias("runs"), F.min("met").alias("least")).where("runs > 1 and least = 1").select("name", "runs"))
     whole = suspects.join(runs.where("met > 1").select("name", "run"), ["name", "run"]).select("key", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("end"))
     wanted = cut(spark, runs.join(groups, "name").select("name", "runs", "met", "one.*"))
-    spans = whole.union(_merge_local(_contexts(docs, wanted.where(F.col("runs") <= group), length), length))
-    wide = wanted.where(F.col("runs") > group)
+    # the texts move once for all groups
+    contexts = cut(spark, _contexts(docs, wanted, length))
+    release(spark)
+    spans = whole.union(_merge_local(contexts.where(F.col("runs") <= group).drop("runs"), length))
+    wide = contexts.where(F.col("runs") > group).drop("runs")
     if not wide.isEmpty():
-        spans = spans.union(_merge_wide(cut(spark, _contexts(docs, wide, length)), length))
+        spans = spans.union(_merge_wide(wide, length))
     return spans
 
 
