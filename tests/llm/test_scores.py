@@ -204,6 +204,68 @@ def test_fingerprints_of_short_and_even_texts(spark):
     assert any(got[d]["near_edited"] < 1.0 for d in range(27, 42))
 
 
+def plain_features(raw):
+    """Places of the features of a text of many windows, by counting each window and each stretch."""
+    rank = {}
+    for i in range(len(raw) - 63):
+        counts = {}
+        for b in raw[i : i + 64]:
+            counts[b] = counts.get(b, 0) + 1
+        e = int((6 - sum(c * math.log2(c) for c in counts.values()) / 64) * 1000 + 0.5) / 1000
+        rank[i] = 1 << 20 if e < 1 else round(1000 * math.exp(-(((e - 4.2) / 0.35) ** 2) / 2))
+    votes = {}
+    for s in range(len(raw) - 126):
+        best = min(range(s, s + 64), key=lambda i: (rank[i], i))
+        if rank[best] < 1 << 20:
+            votes[best] = votes.get(best, 0) + 1
+    return sorted(i for i, n in votes.items() if n >= 16)
+
+
+def plain_likeness(a, b):
+    """Shared bits of each filter of the shorter chain with its best counterpart, less those of chance."""
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    if len(a) > len(b):
+        a, b = b, a
+    score = {}
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            chance, most = x.bit_count() * y.bit_count() / 2048, min(x.bit_count(), y.bit_count())
+            score[i, j] = min(max(((x & y).bit_count() - chance) / max(most - chance, 1e-9), 0.0), 1.0)
+    best = sum(max(score[i, j] for j in range(len(b))) for i in range(len(a))) / len(a)
+    back = sum(max(score[i, j] for i in range(len(a))) for j in range(len(b))) / len(b)
+    return best if len(a) < len(b) else (best + back) / 2
+
+
+def test_fingerprints_by_plain_counting():
+    own = random.Random(9)
+    words = ["".join(own.choice("etaoinshrdluñé") for _ in range(own.randint(1, 9))) for _ in range(300)]
+    texts = [" ".join(own.choice(words) for _ in range(n)) + tail for n, tail in ((60, ""), (90, " 12345-6789 @@ {x: [1, 2]}"), (150, " AAAA BBBB"), (40, "\n\n---\n"))]
+    texts.append(texts[1][:300] + texts[2][:200])
+    chains = []
+    for t in texts:
+        raw = t.encode()
+        doc, place, value = fingerprint.features(*flat(pa.array([raw], pa.binary())))
+        assert place.tolist() == plain_features(raw)
+        ints = []
+        seen = list(dict.fromkeys(value.tolist()))
+        for at in range(0, len(seen), fingerprint.FEATURES):
+            bits = 0
+            for h in seen[at : at + fingerprint.FEATURES]:
+                for k in range(5):
+                    bits |= 1 << 2047 - (h >> 11 * k & 2047)
+            ints.append(bits)
+        chain = fingerprint.chained(value)
+        assert [int(x, 16) for x in fingerprint.text_of(chain).split(".")] == ints
+        chains.append((chain, ints))
+    for a, x in chains:
+        for b, y in chains:
+            assert fingerprint.likeness(a, b) == pytest.approx(plain_likeness(x, y))
+    assert fingerprint.likeness(chains[1][0], chains[4][0]) > 0.3 > fingerprint.likeness(chains[0][0], chains[3][0])
+
+
 def plain_spans(t):
     digits = lambda x: re.sub("[^0-9]", "", x)
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
@@ -242,6 +304,51 @@ def test_revealing_terms(spark):
     assert pii.find_pii(spark, docs.limit(0)).count() == 0
 
 
+def test_terms_by_plain_counting(spark):
+    """Spans of terms by dictionaries of texts: PMI against the information of the entity, and the support."""
+    own = random.Random(21)
+    filler = [f"word{k}" for k in range(60)]
+    people = [(f"p{k}@x.example", f"Village{k}", f"job{k % 3}") for k in range(8)]
+    rows = []
+    for k in range(400):
+        words = [own.choice(filler) for _ in range(own.randint(4, 25))]
+        if k % 3 == 0:
+            mail, home, job = people[own.randrange(8)]
+            at = own.randrange(len(words))
+            words[at:at] = [own.choice((home, "Town")), mail, own.choice((job, "x"))]
+        rows.append((k, " ".join(words)))
+    rows += [(5, rows[6][1]), (900, None), (901, "")]
+    found = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
+    lower = lambda w: re.sub("[A-Z]", lambda m: m[0].lower(), w)
+    near, n_t = [], {}
+    for d, t in rows:
+        t = t or ""
+        words, base = list(found.finditer(t)), plain_spans(t)
+        for w in {lower(m[0]) for m in words}:
+            n_t[w] = n_t.get(w, 0) + 1
+        free = [m for m in words if not any(m.end() > a and m.start() < b for a, _, b in base)]
+        for a, k, b in base:
+            before, after = [m for m in words if m.end() <= a][-pii.NEAR :], [m for m in words if m.start() >= b][: pii.NEAR]
+            near += [((d, t), (k, t[a:b].lower()), m) for m in (*before, *after) if m in free and len(m[0]) >= pii.LEAST_LETTERS]
+    n_te, n_e = {}, {}
+    for key, e, m in near:
+        n_te.setdefault((e, lower(m[0])), set()).add(key)
+        n_e.setdefault(e, set()).add(key)
+    strong = set()
+    for (e, w), texts in n_te.items():
+        information = math.log2(len(rows) / len(n_e[e]))
+        pmi = math.log2(len(rows) * len(texts) / (max(n_t[w], len(texts)) * len(n_e[e])))
+        if len(texts) >= pii.SUPPORT and information > 0 and pmi >= pii.ALPHA * information:
+            strong.add((e, w))
+    want = {}
+    for key, e, m in near:
+        if (e, lower(m[0])) in strong:
+            want.setdefault(key, set()).add((m.start(), 4, m.end()))
+    got = pii.find_pii(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["spans"]) for r in got) == sorted((d, pii.joined(sorted([*plain_spans(t or ""), *want.get((d, t or ""), ())]))) for d, t in rows)
+    assert len(want) > 20 and any(w.startswith("village") for _, w in strong) and not any(w == "town" for _, w in strong)
+
+
 def plain_rule(url):
     host, path = "", ""
     if url and "://" in url:
