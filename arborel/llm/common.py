@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -179,7 +180,20 @@ def mapped(df: DataFrame, run, schema: str) -> DataFrame:
     told = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(BATCH).lower())
     if told is None or not 0 < int(told[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[told[2]] <= BATCH_BYTES:
         spark.conf.set(BATCH, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: its worker goes on for other tasks, and other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -26,7 +26,7 @@ WORD = byte_table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 WINDOW = 10
 SAMPLE = 16
 #: Text bytes of a shard, unless one document alone is longer; and of benchmark text in one block.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
 #: Bits of the bitmap of the items' words.
 BITMAP_BITS = 22
@@ -35,8 +35,12 @@ SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 stri
 
 def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words of texts laid end to end, A-Z lower-cased."""
-    starts, ends = words(buf, offsets, WORD)
-    return starts, ends, mix(RollingHash(LOWER[buf]).slices(starts, ends))
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for a, b in chunks(offsets):
+        base, part = int(offsets[a]), buf[offsets[a] : offsets[b]]
+        starts, ends = words(part, offsets[a : b + 1] - base, WORD)
+        found.append((starts + base, ends + base, mix(RollingHash(LOWER[part]).slices(starts, ends))))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 class Phrases:
