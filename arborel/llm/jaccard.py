@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LOWER, RollingHash, broadcast_if_small, byte_table, chunks, cut, flat, mapped, mix, release, words
+from .common import LOWER, RollingHash, broadcast_if_small, byte_table, chunks, cut, flat, mapped, mix, release, unlike, words
 
 WORD = byte_table((0x00, 0x08), (0x0E, 0x1F), (0x21, 0xFF))
 SHINGLE = 5
@@ -42,8 +42,10 @@ PIVOTS, DIRECT, LEVELS = 4, 1 << 16, 4
 #: Bits of the least mark of a set; a larger set has a bit for each element.
 MARK_BITS = 512
 CELL_BITS = 21
+#: Bits of the bitmap of documents whose sets are wanted, and the tasks that make it.
+REP_BITS, REP_TASKS = 24, 16
 #: Classes that a task remembers having told, before it forgets them all.
-SEEN = 500_000
+SEEN = 200_000
 #: Sets of more elements are compared by whole hashes, others by 40 bits of them.
 WIDE = 4096
 U64 = np.uint64
@@ -318,20 +320,45 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return mapped(joined, run, "a long, b long, n long, m long, both long")
 
 
-def _sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """The sorted sets of the documents named by reps (doc_id, sig)."""
+def _cell(doc_ids: np.ndarray) -> np.ndarray:
+    return (mix(doc_ids.view(U64) ^ U64(0x2545F4914F6CDD1D)) >> U64(64 - REP_BITS)).astype(np.int64)
+
+
+def _marked(spark: SparkSession, reps: DataFrame):
+    """Broadcasts a bitmap of fixed size of the doc_ids of reps; null is the first cell of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros((1 << REP_BITS) + 8, dtype=bool)
         for batch in batches:
-            buf, offsets = flat(batch.column(1))
+            ids = batch.column(0)
+            bits[1 << REP_BITS] |= ids.null_count > 0
+            bits[_cell(ids.drop_null().to_numpy().astype(np.int64))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros((1 << REP_BITS) // 8 + 1, dtype=np.uint8)
+    for row in mapped(reps.select("doc_id").coalesce(REP_TASKS), run, "bits binary").toLocalIterator():  # one row for each task
+        out |= np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
+    return spark.sparkContext.broadcast(out.tobytes())
+
+
+def _sets(docs: DataFrame, wanted, size: int) -> DataFrame:
+    """The sorted sets of the documents that a bitmap of doc_ids names: few others come along, and no text is moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(wanted.value, dtype=np.uint8)).astype(bool)
+        for batch in batches:
+            ids = batch.column(0)
+            there = bits[_cell(ids.fill_null(0).to_numpy().astype(np.int64))]
+            if ids.null_count:
+                there = np.where(ids.is_null().to_numpy(zero_copy_only=False), bits[1 << REP_BITS], there)
+            buf, offsets = flat(batch.column(1).filter(pa.array(there)))
             for a, b in chunks(offsets):
                 values, bounds = shingles(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
                 data = [pack(values[i:j]) for i, j in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(signatures(values, bounds)), pa.array(data, pa.binary())], names=["sig", "set"])
 
-    # a doc_id may be repeated: sets of classes that no pair names, or told twice, do no harm to the links
-    ids = reps.select(F.col("doc_id").alias("rep"))
-    return mapped(docs.join(ids, docs["doc_id"].eqNullSafe(ids["rep"]), "left_semi").select("doc_id", "text"), run, "sig long, set binary")
+    # sets of classes that no pair names, or told twice, do no harm to the links
+    return mapped(docs.select("doc_id", "text"), run, "sig long, set binary")
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -395,10 +422,10 @@ class Links:
     def measured(self, pairs: DataFrame) -> DataFrame:
         """(a, b, n, m, both) of each pair, by the whole sets."""
         named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        reps = cut(self.spark, self.reps.select("sig", "doc_id").join(named, "sig"))
+        wanted = _marked(self.spark, self.reps.select("sig", "doc_id").join(named, "sig"))
         # the sets are made where they are sent: files of them would be as large as the shuffle
-        out = cut(self.spark, _measure(pairs, _sets(self.docs, broadcast_if_small(reps, reps.count()), self.size)).distinct())
-        del named, reps
+        out = cut(self.spark, _measure(pairs, _sets(self.docs, wanted, self.size)).distinct())
+        del named, wanted
         release(self.spark)
         return out
 
@@ -597,29 +624,29 @@ def one_of_each(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, simil
 
     Of rows of one component that share the naming doc_id the one whose text hashes least stays.
     """
-    found = linked_classes(spark, docs, size, similar).select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"), F.col("root").alias("__root"), (F.col("n") > 0).alias("__full"), "component")
-    keep = cut(spark, found.where("not __full or __id <=> component").drop("component").distinct())
-    ids = keep.select("__id").distinct()
-    kept = docs.join(broadcast_if_small(ids, ids.count()), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    at, names = docs.columns.index("text"), [*docs.columns, "__sig"]
+    rep, sig, root, full, least, again, place = (unlike(docs.columns, f"its_{x}") for x in ("doc", "sig", "root", "full", "least", "again", "place"))
+    found = linked_classes(spark, docs, size, similar).select(F.col("doc_id").alias(rep), F.col("sig").alias(sig), F.col("root").alias(root), (F.col("n") > 0).alias(full), F.col("component").alias(least))
+    keep = cut(spark, found.where(~F.col(full) | F.col(rep).eqNullSafe(F.col(least))).drop(least).distinct())
+    at, names, own = docs.columns.index("text"), [*docs.columns, again], unlike([*docs.columns, again], "own_sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = flat(batch.column(at))
-            sig = [np.zeros(0, np.int64)]
+            found = [np.zeros(0, np.int64)]
             for a, b in chunks(offsets):
-                sig.append(signatures(*shingles(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(sig))], names=names)
-
-    signed = mapped(kept, run, StructType([*docs.schema.fields, StructField("__sig", LongType())]))
-    keep = keep.withColumnRenamed("__sig", "__s")
-    rows = signed.join(broadcast_if_small(keep, keep.count()), signed["doc_id"].eqNullSafe(keep["__id"]) & (signed["__sig"] == keep["__s"]))
-    doubled = keep.where("__full").groupBy("__id", "__root").agg(F.count("*").alias("__n"))
-    times = docs.groupBy("doc_id").agg(F.count("*").alias("__m")).where("__m > 1").select(F.col("doc_id").alias("__d"))
-    again = cut(spark, doubled.join(times, doubled["__id"].eqNullSafe(times["__d"]), "left_semi").select(F.col("__id").alias("__a"), F.col("__root").alias("__b")).distinct())
-    if again.isEmpty():
+                found.append(signatures(*shingles(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found))], names=names)
+
+    # texts move once, at every size
+    signed = mapped(docs, run, StructType([*docs.schema.fields, StructField(again, LongType())])).withColumnRenamed(again, own)
+    rows = signed.join(keep.hint("shuffle_hash"), signed["doc_id"].eqNullSafe(keep[rep]) & (signed[own] == keep[sig]))
+    # rows of one component that share the naming doc_id: all but one go
+    doubled = keep.where(full).groupBy(rep, root).agg(F.count("*")).select(rep, root)
+    times = docs.groupBy("doc_id").agg(F.count("*").alias(place)).where(F.col(place) > 1).select(F.col("doc_id").alias(least))
+    more = cut(spark, doubled.join(times, doubled[rep].eqNullSafe(times[least]), "left_semi").select(F.col(rep).alias(least), F.col(root).alias(again)).distinct())
+    if more.isEmpty():
         return rows.select(*docs.columns)
-    marked = rows.join(broadcast_if_small(again, again.count()), rows["__id"].eqNullSafe(F.col("__a")) & (rows["__root"] == F.col("__b")), "left")
-    by = Window.partitionBy("__id", "__root").orderBy(F.xxhash64("text"))
-    once = marked.where("__b is not null").withColumn("__r", F.row_number().over(by)).where("__r = 1")
-    return marked.where("__b is null").select(*docs.columns).unionByName(once.select(*docs.columns))
+    marked = rows.join(broadcast_if_small(more, more.count()), rows[rep].eqNullSafe(more[least]) & (rows[root] == more[again]), "left")
+    by = Window.partitionBy(rep, root).orderBy(F.xxhash64("text"), "text")
+    once = marked.where(F.col(again).isNotNull()).withColumn(place, F.row_number().over(by)).where(F.col(place) == 1)
+    return marked.where(F.col(again).isNull()).select(*docs.columns).unionByName(once.select(*docs.columns))
