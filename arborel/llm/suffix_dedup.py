@@ -203,6 +203,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gra
     docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(spark, docs, length, gram, group)
     listed = cut(spark, spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    del spans
+    release(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
