@@ -407,7 +407,8 @@ class RowCompiler:
             part, cols = self._uniform(values)
         except UnsupportedError:
             part = Val(None, "string")
-            cols = [to_string(one(v)) if v.type not in ("map", "array") else F.to_json(v.col) for v in values]
+            # a function item has no column: it is found by its key alone
+            cols = [F.lit(None).cast("string") if v.type == "function" else to_string(one(v)) if v.type not in ("map", "array") else F.to_json(v.col) for v in values]
         flat = [x for k, c in zip(keys, cols) for x in (convert(k, key).col, c)]
         return Val(F.create_map(*flat), "map", part=part, key=key, call=known)
 
@@ -415,6 +416,8 @@ class RowCompiler:
         full = [v for v in values if v.type != "empty"]
         if not full:
             return Val(None, "string"), [F.lit(None).cast("string")] * len(values)
+        if any(v.type == "function" for v in full):
+            raise UnsupportedError("XPTY0004", "function items have no native column")
         if full[0].type in ("map", "array", "json"):
             if any(spark_type(v) != spark_type(full[0]) for v in full):
                 raise UnsupportedError("XPTY0004", "members of different types")

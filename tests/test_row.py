@@ -157,6 +157,7 @@ CASES = [
     ('apply(concat#2, ["a", "b"])', 'ab'),
     ('array:join(([1], [2, 3]))', [1, 2, 3]),
     ('map:merge((map{"a": 1}, map{"a": 2}), map{"duplicates": "use-last"})?a', 2),
+    ("map{'a': [1, 2], 'b': function($x) { $x + n }}?b(3)", 8),
     (r"matches('b', '[a\D]')", True),
     (r"matches('5', '[a\D]')", False),
     (r"matches('a', '[^a\D]')", False),
