@@ -12,13 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
+from .common import broadcast_if_small, cut, release
 
 #: (host, path, verdict)
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 DAMPING = 0.85
 #: Steps end once a round of ROUND of them moves less than TOLERANCE of all trust and distrust; after STEPS in any case, when 0.85 ** 60 is left to move.
-STEPS, ROUND, TOLERANCE = 60, 3, 0.01
+STEPS, ROUND, TOLERANCE = 60, 3, 0.02
 THRESHOLD = 1.0
 #: A link to a domain above weighs as this many page links.
 DOMAIN_WEIGHT = 0.5
@@ -73,6 +73,8 @@ def spread(spark: SparkSession, edges: DataFrame, seeds: DataFrame, steps: int =
             moved = ranks.join(shares, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("r") * F.col("p") * DAMPING).alias("r"))
             ranks = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("r").alias("r"))
         ranks = cut(spark, ranks)
+        del moved
+        release(spark)
         change = ranks.join(before.withColumnRenamed("r", "was"), ["kind", "host"], "left").agg(F.sum(F.abs(F.col("r") - F.coalesce("was", F.lit(0.0))))).first()[0]
         if (change or 0.0) < TOLERANCE:
             break
