@@ -546,6 +546,10 @@ def _(c, v, collation=None):
     if v.type in ("dateTime", "date", "time", "map"):
         keyed = F.transform(v.col, lambda x: moment(Val(x, v.type), c.static.timezone))
         return v.with_col(F.filter(v.col, lambda x, i: F.array_position(keyed, moment(Val(x, v.type), c.static.timezone)) == i + 1))
+    if v.type == "json":  # by the kind of each item and its string value
+        name = lambda x: F.concat(F.when(F.schema_of_variant(x) == "STRING", "s").otherwise("n"), x.cast("string"))
+        names = F.transform(v.col, name)
+        return v.with_col(F.filter(v.col, lambda x, i: F.array_position(names, name(x)) == i + 1))
     if collation is not None:
         how = literal(collation, "a collation")
         low = F.transform(v.col, lambda x: F.lower(x) if COLLATIONS.get(how.split("?")[0]) != "UTF8_BINARY" else x)

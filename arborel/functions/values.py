@@ -366,6 +366,8 @@ def cast_to(v: Val, kind: str, strict: bool = True) -> Val:
         v, t = Val(v.col.cast("string"), "untypedAtomic"), "untypedAtomic"
     if kind == t or kind == base == t:
         return v
+    if kind == "json" and t in (*NUMERIC, *STRINGS, "boolean"):
+        return Val(v.col.cast("variant"), "json")
     if kind in PARTIAL_DATES and t in ("date", "dateTime"):
         form = {"gYear": "yyyy", "gYearMonth": "yyyy-MM", "gMonth": "'--'MM", "gMonthDay": "'--'MM-dd", "gDay": "'---'dd"}[kind]
         return Val(once(v.col, lambda c: F.concat(F.date_format(c["v"], form), zone(c["tz"]))), "string")

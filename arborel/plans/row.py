@@ -79,7 +79,14 @@ class RowCompiler:
             return vals[0]
         if vals[0].type in ("map", "array"):
             return replace(vals[0], col=F.concat(*(items(v) for v in vals)), many=True, name=None, call=None)
-        kind = common(vals)
+        # items of several plain types are held as VARIANT, which keeps the type of each
+        plain = {v.type for v in vals} <= {*NUMERIC, *STRINGS, "boolean", "json"}
+        try:
+            kind = common(vals)
+        except UnsupportedError:
+            if not plain:
+                raise
+            kind = "json"
         return Val(F.concat(*(items(convert(v, kind)) for v in vals)), kind, True)
 
     def _step(self, e: Ex) -> Val:

@@ -308,7 +308,8 @@ class Trees:
                 ns = F.when((prefix != "") & ns.isNull(), bad).otherwise(F.coalesce(ns, F.lit("")))
                 return Val(F.when(name.isNotNull(), F.struct(ns.alias("ns"), prefix.alias("prefix"), F.regexp_replace(name, "^.*:", "").alias("local"))), "QName")
             if x.op == "call" and x.val == "doc-available":
-                return Val(F.lit(not self.nodes.where((F.col("kind") == "document") & (F.col("base_uri") == x.args[0].val[1])).isEmpty()), "boolean")
+                there = self.nodes.where((F.col("kind") == "document") & (F.col("base_uri") == x.args[0].val[1]))
+                return Val(there.agg((F.count(F.lit(1)) > 0).alias("v")).scalar(), "boolean")
             if x.op == "call" and x.val == "count" and self.is_nodes(x.args[0]):
                 return column(x.args[0], None, "count")
             if x.op == "call" and x.val in ("exists", "empty", "not", "boolean") and len(x.args) == 1 and self.is_nodes(x.args[0]):

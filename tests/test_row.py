@@ -158,6 +158,13 @@ CASES = [
     ('array:join(([1], [2, 3]))', [1, 2, 3]),
     ('map:merge((map{"a": 1}, map{"a": 2}), map{"duplicates": "use-last"})?a', 2),
     ("map{'a': [1, 2], 'b': function($x) { $x + n }}?b(3)", 8),
+    ("string-join((n, 'a', true()), '-')", '5-a-true'),
+    ("count((1, 'a', 2.5))", 3),
+    ("string((1, 'a')[2])", 'a'),
+    ("(n, s) = 'hello world'", True),
+    ("index-of((1, 'a', s), 'a')", [2]),
+    ("string-join(for $x in (1, 'b') return concat($x, '!'), ' ')", '1! b!'),
+    ("string-join(distinct-values((1, 'a', 1, 'b', 'a')), ',')", '1,a,b'),
     (r"matches('b', '[a\D]')", True),
     (r"matches('5', '[a\D]')", False),
     (r"matches('a', '[^a\D]')", False),
