@@ -27,6 +27,8 @@ SUPPORT = 3
 NEAR = 5
 LEAST_LETTERS = 3
 BITMAP_BITS = 20
+#: Counts of terms that a task holds before it adds them up.
+HELD_TERMS = 500_000
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 #: A match can only begin where a run of digits begins and takes whole runs, so no run is tried more than once.
@@ -140,6 +142,16 @@ def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(np.frombuffer(bitmap.value, dtype=np.uint8)).astype(bool)
+        terms, counts, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            """What the task has counted so far, each term once."""
+            term, back = np.unique(np.concatenate(terms), return_inverse=True)
+            return term, np.bincount(back, weights=np.concatenate(counts), minlength=len(term)).astype(np.int64)
+
+        def told(term: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], names=["term", "n"])
+
         for batch in batches:
             buf, offsets = flat(batch.column(0))
             for a, b in chunks(offsets):
@@ -154,7 +166,16 @@ def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 first = np.ones(len(hashes), dtype=bool)
                 first[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
                 term, n = np.unique(hashes[first], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], names=["term", "n"])
+                terms.append(term)
+                counts.append(n)
+                held += len(term)
+                if held > HELD_TERMS:
+                    term, n = summed()
+                    if len(term) > HELD_TERMS // 2:
+                        yield told(term, n)
+                        term, n = term[:0], n[:0]
+                    terms, counts, held = [term], [n], len(term)
+        yield told(*summed())
 
     return mapped(docs.select("text"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
