@@ -227,6 +227,7 @@ def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of plans that nothing refers to any more, before the next large step."""
     gc.collect()
+    give_back()
     spark.sparkContext._jvm.System.gc()
 
 

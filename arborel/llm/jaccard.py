@@ -43,7 +43,7 @@ PIVOTS, DIRECT, LEVELS = 4, 1 << 16, 4
 MARK_BITS = 512
 CELL_BITS = 21
 #: Bits of the bitmap of documents whose sets are wanted, and the tasks that make it.
-REP_BITS, REP_TASKS = 24, 16
+REP_BITS, REP_TASKS = 24, 8
 #: Classes that a task remembers having told, before it forgets them all.
 SEEN = 200_000
 #: Sets of more elements are compared by whole hashes, others by 40 bits of them.

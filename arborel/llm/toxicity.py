@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, byte_table, chunks, flat, held_out, mapped, mix, points
+from .common import bounded_sample, byte_table, chunks, flat, give_back, held_out, mapped, mix, points
 
 WORD = byte_table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 #: Subword lengths in characters, the boundaries of the word among them; 0 stands for the whole word.
@@ -171,7 +171,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     picked = bounded_sample(known, ["toxic"], "doc_id", rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
     got = sorted(texts.toLocalIterator(), key=lambda r: (r["doc_id"], r["text"] or "", r["toxic"]))
-    return train([r["text"] for r in got], [r["toxic"] for r in got])
+    model = train([r["text"] for r in got], [r["toxic"] for r in got])
+    del got
+    give_back()
+    return model
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, threshold: float = CUT) -> DataFrame:
