@@ -7,7 +7,8 @@ says which documents a region must also hold:
   apart. So the first pivots are the single shingles {s}: the regions of x are those of the shingles
   that it has, taken in one global order, rarer first. If d(x, y) <= t, then |y - x| <= t |y|, so y
   goes to the first floor(t |y|) + 1 of its regions and still meets every x within t. That window is
-  exact for any global order; shingles that tasks find often go to the end of it. Where two sets meet
+  exact for any global order; shingles that one task or all together find often go to the end of it,
+  so that the regions left do not grow with the number of tasks. Where two sets meet
   first they share nothing that comes earlier, so what follows there must be enough for both.
 * Regions of at most LEAF classes are joined directly. In a larger one each document is measured
   against a document pivot, and links to it join components; a region of one component is done.
@@ -22,7 +23,9 @@ operations over whole texts.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +45,14 @@ PIVOTS, DIRECT, LEVELS = 4, 1 << 16, 4
 #: Bits of the least mark of a set; a larger set has a bit for each element.
 MARK_BITS = 512
 CELL_BITS = 21
+#: Parts of the table of cells that are added up over all tasks.
+BLOCKS = 16
 #: Bits of the bitmap of documents whose sets are wanted, and the tasks that make it.
 REP_BITS, REP_TASKS = 24, 8
 #: Classes that a task remembers having told, before it forgets them all.
 SEEN = 200_000
+#: Pairs whose sets may be sent at once in any case; of more, at most one for two classes, so that a round sends no more than all sets.
+AT_ONCE = 100_000
 #: Sets of more elements are compared by whole hashes, others by 40 bits of them.
 WIDE = 4096
 U64 = np.uint64
@@ -121,7 +128,7 @@ def apart(p: bytes, q: bytes) -> int:
 
 
 def _scan(docs: DataFrame, size: int) -> DataFrame:
-    """kind 0: a document's size, class and mark; kind 1: a cell of shingles that its task met often."""
+    """kind 0: a document's size, class and mark; kind 1: a cell of shingles that its task met often; kind 2: a block of all cells' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, dtype=np.int32)
@@ -149,6 +156,14 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
             [pa.array(np.ones(len(often), np.int8)), pa.array(often, pa.int64()), pa.array(cells[often], pa.int64()), pa.array(np.zeros(len(often), np.int64)), pa.array([b""] * len(often), pa.binary())],
             names=["kind", "doc_id", "n", "sig", "mark"],
         )
+        if total:
+            # a count that does not fit is of a cell that is told above, unless the task is so large that most are
+            parts = np.minimum(cells, 65535).astype("<u2").reshape(BLOCKS, -1)
+            none = pa.array(np.zeros(BLOCKS, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(BLOCKS, 2, np.int8)), pa.array(np.arange(BLOCKS)), none, none, pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())],
+                names=["kind", "doc_id", "n", "sig", "mark"],
+            )
 
     return mapped(docs, run, "kind byte, doc_id long, n long, sig long, mark binary")
 
@@ -385,10 +400,29 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         edges = cut(spark, small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
 
 
-def _levels(spark: SparkSession, cells: DataFrame):
+def _often(blocks: DataFrame) -> DataFrame:
+    """(doc_id, n): the cells that all tasks together met often, beyond what cells are met on the average."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(zlib.decompress(data.as_py()), dtype="<u2")
+                sums[block] = sums[block] + own if block in sums else own.astype(np.int64)
+        for block, counts in sums.items():
+            # the median, as a few very frequent shingles would lift the mean
+            usual = float(np.median(counts))
+            often = np.flatnonzero(counts > 3 + usual + 5 * usual**0.5)
+            yield pa.RecordBatch.from_arrays([pa.array(often + block * len(counts), pa.int64()), pa.array((counts[often] - usual).astype(np.int64))], names=["doc_id", "n"])
+
+    return mapped(blocks.select("doc_id", "mark").repartition(BLOCKS, "doc_id"), run, "doc_id long, n long")
+
+
+def _levels(spark: SparkSession, scanned: DataFrame):
     """Broadcasts a table of fixed size: how often the shingles of each cell are met, as a logarithm."""
     table = np.zeros(1 << CELL_BITS, dtype=np.uint8)
-    counted = cells.groupBy("doc_id").agg(F.sum("n").alias("n")).select("doc_id", F.least(F.lit(63), F.ceil(F.log2("n"))).cast("int").alias("level"))
+    told = scanned.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).union(_often(scanned.where("kind = 2")))
+    counted = told.groupBy("doc_id").agg(F.max("n").alias("n")).select("doc_id", F.least(F.lit(63), F.ceil(F.log2("n"))).cast("int").alias("level"))
     for row in counted.toLocalIterator():
         table[row["doc_id"]] = row["level"]
     return spark.sparkContext.broadcast(table.tobytes())
@@ -403,6 +437,7 @@ class Links:
     def __init__(self, spark: SparkSession, docs: DataFrame, reps: DataFrame, size: int, similar: tuple[int, int]) -> None:
         self.spark, self.docs, self.reps, self.size, self.similar = spark, docs, reps, size, similar
         self.roots = spark.createDataFrame([], "v long, root long")
+        self.most = max(AT_ONCE, reps.count() // 2)
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that the marks do not rule out."""
@@ -420,14 +455,20 @@ class Links:
         return mapped(joined, run, "a long, b long")
 
     def measured(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, n, m, both) of each pair, by the whole sets."""
-        named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        wanted = _marked(self.spark, self.reps.select("sig", "doc_id").join(named, "sig"))
-        # the sets are made where they are sent: files of them would be as large as the shuffle
-        out = cut(self.spark, _measure(pairs, _sets(self.docs, wanted, self.size)).distinct())
-        del named, wanted
+        """(a, b, n, m, both) of each pair, by the whole sets, in rounds of a bounded number of pairs. The pairs are cut."""
+        rounds = max(1, -(-pairs.count() // self.most))
+        out = []
+        for k in range(rounds):
+            # what came before goes first, as a set is sent for each pair
+            release(self.spark)
+            part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k)
+            named = part.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+            wanted = _marked(self.spark, self.reps.select("sig", "doc_id").join(named, "sig"))
+            # the sets are made where they are sent: files of them would be as large as the shuffle
+            out.append(cut(self.spark, _measure(part, _sets(self.docs, wanted, self.size)).distinct()))
+            del part, named, wanted
         release(self.spark)
-        return out
+        return reduce(DataFrame.union, out)
 
     def rooted(self, df: DataFrame, sig: str, as_: str) -> DataFrame:
         """Adds the component of a class."""
@@ -560,7 +601,7 @@ def _cells(members: DataFrame, links: Links, level: int) -> tuple[DataFrame, Dat
     chosen = F.array(*[f"p{k}.sig" for k in range(PIVOTS)])
     pivots = cut(links.spark, least.select("key", "total", F.explode(chosen).alias("pivot")).where("pivot is not null"))
     met = members.join(pivots, "key").where("sig <> pivot")
-    measured = links.measured(met.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct())
+    measured = links.measured(cut(links.spark, met.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct()))
     links.add(measured)
     far = measured.select("a", "b", (F.lit(1.0) - F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("d"))
     far = far.union(far.select("b", "a", "d")).toDF("sig", "pivot", "d")
@@ -594,7 +635,7 @@ def linked_classes(spark: SparkSession, docs: DataFrame, size: int, similar: tup
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = cut(spark, _scan(docs, size))
     rows = scanned.where("kind = 0").select("doc_id", "n", "sig")
-    met = cut(spark, _pairs_of_regions(_regions(docs, _levels(spark, scanned.where("kind = 1")), size, similar), similar))
+    met = cut(spark, _pairs_of_regions(_regions(docs, _levels(spark, scanned), size, similar), similar))
     release(spark)
     classes = scanned.where("kind = 0 and n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("size"), F.max("mark").alias("mark"))
     links = Links(spark, docs, cut(spark, classes), size, similar)

@@ -258,3 +258,30 @@ def test_suffix_dedup_does_not_depend_on_the_chunk(spark):
 
 def test_suffix_dedup_empty(spark, docs):
     assert suffix_dedup.suffix_dedup(spark, docs.limit(0)).count() == 0
+
+
+def test_often_over_many_tasks(spark):
+    """A passage that each task meets a few times, and all together often, goes to the end of the order: no region holds all its documents."""
+    own = random.Random(47)
+    passage = " ".join(f"p{k}" for k in range(12))
+    rows = [(k, " ".join(f"d{k}x{i}" for i in range(80)) + " " + passage) for k in range(120)]
+    own.shuffle(rows)
+    rows.append((120, rows[0][1] + " more"))
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 100), "doc_id long, text string")
+    scanned = jaccard.cut(spark, jaccard._scan(docs, 5))
+    assert scanned.where("kind = 1").isEmpty()  # no task alone tells it
+    regions = jaccard._regions(docs, jaccard._levels(spark, scanned), 5, jaccard.SIMILAR)
+    assert regions.groupBy("key").count().agg({"count": "max"}).first()[0] <= 3
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark, docs).collect()}
+    least = min(120, rows[0][0])
+    assert got == {d: least if d in (120, rows[0][0]) else d for d, _ in rows}
+
+
+def test_pairs_in_rounds(spark, docs, rows, monkeypatch):
+    """Sets are sent for a bounded number of pairs at a time, and no link is lost."""
+    sent, measure = [], jaccard._measure
+    monkeypatch.setattr(jaccard, "AT_ONCE", 1)
+    monkeypatch.setattr(jaccard, "_measure", lambda pairs, sets: sent.append(pairs.count()) or measure(pairs, sets))
+    got = sorted((tuple(r) for r in jaccard.jaccard_components(spark, docs).collect()), key=repr)
+    assert got == brute_components(rows)
+    assert len(sent) > 1 and max(sent) <= len(rows)
