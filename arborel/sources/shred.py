@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -25,54 +26,51 @@ SCHEMA = (
 COLUMNS = [c.strip().split(" ")[0] for c in SCHEMA.split(", ")]
 
 
+#: Places of the columns in a row.
+LAST_DESC, STRING_VALUE, PATH, NS_MAP, BASE_URI, LANG, ID_VALUE = (COLUMNS.index(c) for c in ("last_desc", "string_value", "path", "ns_map", "base_uri", "lang", "id_value"))
+#: Names of elements and attributes that are kept split.
+NAMES = 10_000
+
+
+@lru_cache(NAMES)
+def _split(name: str) -> tuple[str, str, str, str, str]:
+    """Namespace, prefix and local part of a name of the parser, and its step in the path of an element (without its position) and of an attribute."""
+    parts = name.split("\n")
+    ns, local, prefix = ("", parts[0], "") if len(parts) == 1 else (parts[0], parts[1], parts[2] if len(parts) > 2 else "")
+    return ns, prefix, local, f"/Q{{{ns}}}{local}[", f"/@{'Q{' + ns + '}' if ns else ''}{local}"
+
+
 class Shredder:
-    """Builds the rows of one document from parser events."""
+    """Adds the rows of one document to a list, from parser events; each is a list of values in the order of COLUMNS."""
 
-    def __init__(self, doc_id: int | None, uri: str | None = None, fragment: bool = False) -> None:
-        self.doc_id, self.rows, self.stack, self.fragment = doc_id, [], [], fragment
+    def __init__(self, rows: list[list], doc_id: int | None, uri: str | None = None, fragment: bool = False) -> None:
+        self.rows, self.first, self.doc_id, self.fragment = rows, len(rows), doc_id, fragment
         self.scopes: list[dict[str, str]] = [{"xml": XML}]
         self.pending: dict[str, str] = {}
         self.text: list[str] = []
-        self.uri = uri
-        self._open("document", "", "", "", None)
-
-    def _row(self, kind, ns, prefix, local, value, parent) -> dict:
-        row = dict.fromkeys(COLUMNS)
-        pre = len(self.rows)
-        row |= {"doc_id": self.doc_id, "pre": pre, "last_desc": pre, "level": len(self.stack), "kind": kind, "ns_uri": ns, "prefix": prefix, "local": local, "value": value}
-        row |= {"base_uri": self.uri, "path": ""}
-        if parent is not None:
-            row |= {"parent_pre": parent["pre"], "base_uri": parent["base_uri"], "lang": parent["lang"]}
-            if kind != "attribute":
-                parent["_n"] += 1
-                row["sib_ord"] = parent["_n"]
-            key = (kind, ns, local) if kind in ("element", "processing-instruction") else (kind,)
-            if kind != "attribute":
-                parent["_names"][key] = row["name_ord"] = parent["_names"].get(key, 0) + 1
-            base = parent["path"]
-            row["path"] = {
-                "element": f"{base}/Q{{{ns}}}{local}[{row['name_ord']}]",
-                "attribute": f"{base}/@{'Q{' + ns + '}' if ns else ''}{local}",
-                "processing-instruction": f"{base}/processing-instruction({local})[{row['name_ord']}]",
-            }.get(kind, f"{base}/{kind}()[{row['name_ord']}]")
+        #: All texts so far; for each open node its row, children, children by step and the number of texts before it.
+        self.texts: list[str] = []
+        document = [doc_id, 0, 0, None, 0, "document", "", "", "", None, None, None, None, "", None, uri, None, None]
+        rows.append(document)
+        self.stack: list[tuple[list, list[int], dict[str, int], int]] = [(document, [0], {}, 0)]
+
+    def _child(self, kind: str, ns: str, prefix: str, local: str, value: str | None, step: str) -> list:
+        parent, children, steps, _ = self.stack[-1]
+        children[0] = at = children[0] + 1
+        steps[step] = of = steps.get(step, 0) + 1
+        pre = len(self.rows) - self.first
+        row = [self.doc_id, pre, pre, parent[1], len(self.stack), kind, ns, prefix, local, value, value, at, of, f"{parent[PATH]}{step}{of}]", None, parent[BASE_URI], parent[LANG], None]
         self.rows.append(row)
         return row
 
-    def _open(self, kind, ns, prefix, local, parent) -> dict:
-        row = self._row(kind, ns, prefix, local, None, parent)
-        row |= {"_n": 0, "_names": {}, "_text": []}
-        self.stack.append(row)
-        return row
-
     def flush(self) -> None:
         if self.text:
             value = "".join(self.text)
             self.text = []
-            if self.stack[-1]["kind"] == "document" and not self.fragment:
+            if len(self.stack) == 1 and not self.fragment:
                 return
-            self._row("text", "", "", "", value, self.stack[-1])
-            for row in self.stack:
-                row["_text"].append(value)
+            self._child("text", "", "", "", value, "/text()[")
+            self.texts.append(value)
 
     def characters(self, value: str) -> None:
         self.text.append(value)
@@ -80,102 +78,112 @@ class Shredder:
     def namespace(self, prefix: str | None, uri: str | None) -> None:
         self.pending[prefix or ""] = uri or ""
 
-    @staticmethod
-    def _split(name: str) -> tuple[str, str, str]:
-        parts = name.split("\n")
-        return ("", parts[0], "") if len(parts) == 1 else (parts[0], parts[1], parts[2] if len(parts) > 2 else "")
-
     def start(self, name: str, attributes: list[str]) -> None:
-        self.flush()
+        if self.text:
+            self.flush()
         scope = self.scopes[-1]
         if self.pending:
             scope = {k: v for k, v in (scope | self.pending).items() if v}
             self.pending = {}
         self.scopes.append(scope)
-        ns, local, prefix = self._split(name)
-        row = self._open("element", ns, prefix, local, self.stack[-1])
-        row["ns_map"] = scope
-        for raw, value in zip(attributes[::2], attributes[1::2]):
-            ans, alocal, aprefix = self._split(raw)
-            self._row("attribute", ans, aprefix, alocal, value, row)
-            if ans == XML and alocal == "lang":
-                row["lang"] = value
-            if ans == XML and alocal == "base":
-                from urllib.parse import urljoin
-
-                row["base_uri"] = urljoin(row["base_uri"] or "", value)
-            if ans == XML and alocal == "id":
-                row["id_value"] = value
+        ns, prefix, local, step, _ = _split(name)
+        row = self._child("element", ns, prefix, local, None, step)
+        row[NS_MAP] = scope
+        self.stack.append((row, [0], {}, len(self.texts)))
+        rows, first, doc_id, parent, level = self.rows, self.first, self.doc_id, row[1], len(self.stack)
+        for k in range(0, len(attributes), 2):
+            value = attributes[k + 1]
+            ns, prefix, local, _, step = _split(attributes[k])
+            pre = len(rows) - first
+            rows.append([doc_id, pre, pre, parent, level, "attribute", ns, prefix, local, value, value, None, None, row[PATH] + step, None, row[BASE_URI], row[LANG], None])
+            if ns == XML:
+                if local == "lang":
+                    row[LANG] = value
+                elif local == "base":
+                    from urllib.parse import urljoin
+
+                    row[BASE_URI] = urljoin(row[BASE_URI] or "", value)
+                elif local == "id":
+                    row[ID_VALUE] = value
 
     def end(self, name: str) -> None:
-        self.flush()
+        if self.text:
+            self.flush()
         self.scopes.pop()
         self._close()
 
     def _close(self) -> None:
-        row = self.stack.pop()
-        row["last_desc"] = len(self.rows) - 1
-        row["string_value"] = "".join(row.pop("_text"))
-        row.pop("_n"), row.pop("_names")
+        row, _, _, before = self.stack.pop()
+        row[LAST_DESC] = len(self.rows) - 1 - self.first
+        row[STRING_VALUE] = "".join(self.texts[before:])
 
     def comment(self, value: str) -> None:
         self.flush()
-        self._row("comment", "", "", "", value, self.stack[-1])
+        self._child("comment", "", "", "", value, "/comment()[")
 
     def instruction(self, target: str, value: str) -> None:
         self.flush()
-        self._row("processing-instruction", "", "", target, value, self.stack[-1])
+        self._child("processing-instruction", "", "", target, value, f"/processing-instruction({target})[")
 
-    def finish(self) -> list[dict]:
+    def finish(self) -> None:
         self._close()
-        for row in self.rows:
-            if row["string_value"] is None:
-                row["string_value"] = row["value"] or ""
-        return self.rows
 
 
 def shred(xml: str, doc_id: int | None = None, uri: str | None = None, fragment: bool = False) -> list[dict]:
     """The node rows of one text; FODC0006 where it is not well-formed. fragment: any content, under a document node."""
-    out = Shredder(doc_id, uri, fragment)
+    rows: list[list] = []
+    _shred(rows, xml, doc_id, uri, fragment)
+    return [dict(zip(COLUMNS, row)) for row in rows]
+
+
+def _forbid(*_):
+    raise error("FODC0006", "entities are not allowed")
+
+
+def _shred(rows: list[list], xml: str, doc_id: int | None, uri: str | None, fragment: bool) -> None:
+    """Adds the rows of one text to a list."""
+    out = Shredder(rows, doc_id, uri, fragment)
     parser = expat.ParserCreate(namespace_separator="\n")
     parser.namespace_prefixes = True
     parser.ordered_attributes = True
     parser.buffer_text = True
     depth = 0
 
-    def forbid(*_):
-        raise error("FODC0006", "entities are not allowed")
-
     def start(name, attributes):
         nonlocal depth
         depth += 1
-        if not (fragment and depth == 1):
+        if depth > 1:
             out.start(name, attributes)
 
     def end(name):
         nonlocal depth
         depth -= 1
-        if not (fragment and depth == 0):
+        if depth:
             out.end(name)
 
-    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.StartElementHandler, parser.EndElementHandler = (start, end) if fragment else (out.start, out.end)
     parser.CharacterDataHandler = out.characters
     parser.CommentHandler, parser.ProcessingInstructionHandler = out.comment, out.instruction
     parser.StartNamespaceDeclHandler = out.namespace
-    parser.EntityDeclHandler = parser.UnparsedEntityDeclHandler = forbid
-    parser.ExternalEntityRefHandler = forbid
+    parser.EntityDeclHandler = parser.UnparsedEntityDeclHandler = _forbid
+    parser.ExternalEntityRefHandler = _forbid
     try:
         parser.Parse(f"<fragment>{xml}</fragment>" if fragment else xml, True)
     except expat.ExpatError as problem:
         raise error("FODC0006", str(problem)) from None
     if fragment:
         out.flush()
-    return out.finish()
+    out.finish()
 
 
 def xml_nodes(docs: DataFrame, column: str = "xml", key: str = "doc_id", uri: str | None = None, invalid: str = "raise", fragment: bool = False) -> DataFrame:
-    """The node relation of a column of XML texts. invalid: 'raise' FODC0006 or 'skip' what is not well-formed; nulls have no nodes."""
+    """The node relation of a column of XML texts. invalid: 'raise' FODC0006 or 'skip' what is not well-formed; nulls have no nodes.
+
+    The texts are dealt out before they are parsed, as a small file of many documents would be parsed by one task.
+    """
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(column).alias("xml"), (F.col(uri) if uri else F.lit(None).cast("string")).alias("uri"))
+    if not docs.isStreaming:
+        chosen = chosen.repartition(F.xxhash64("doc_id", "xml"))
     ship(docs.sparkSession)
     arrow = pa.schema(
         [("doc_id", pa.int64()), ("pre", pa.int64()), ("last_desc", pa.int64()), ("parent_pre", pa.int64()), ("level", pa.int32()), *((c, pa.string()) for c in COLUMNS[5:11])]
@@ -184,15 +192,17 @@ def xml_nodes(docs: DataFrame, column: str = "xml", key: str = "doc_id", uri: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[dict] = []
+            rows: list[list] = []
             for doc_id, xml, name in zip(*(c.to_pylist() for c in batch.columns)):
                 if xml is None:
                     continue
+                before = len(rows)
                 try:
-                    rows += shred(xml, doc_id, name, fragment)
+                    _shred(rows, xml, doc_id, name, fragment)
                 except Exception:
                     if invalid == "raise":
                         raise
+                    del rows[before:]
                 while len(rows) >= 20_000:
                     yield _batch(rows[:20_000], arrow)
                     rows = rows[20_000:]
@@ -202,11 +212,19 @@ def xml_nodes(docs: DataFrame, column: str = "xml", key: str = "doc_id", uri: st
     return chosen.mapInArrow(run, SCHEMA)
 
 
-def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    columns = [pa.array([list(r[f.name].items()) if f.name == "ns_map" and r[f.name] is not None else r[f.name] for r in rows], f.type) for f in schema]
+def _batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
+    values = list(zip(*rows))
+    columns = [_maps(v, f.type) if k == NS_MAP else pa.array(v, f.type) for k, (v, f) in enumerate(zip(values, schema))]
     return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
+def _maps(values: tuple[dict | None, ...], kind: pa.DataType) -> pa.Array:
+    """An array of maps, of which few are different."""
+    places: dict[tuple | None, int] = {}
+    at = [places.setdefault(None if v is None else tuple(v.items()), len(places)) for v in values]
+    return pa.array([None if v is None else list(v) for v in places], kind).take(pa.array(at, pa.int32()))
+
+
 def json_to_xml(text: str | None) -> str | None:
     """fn:json-to-xml, as the text of the document."""
     if text is None:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from arborel import queries
 from arborel.errors import XPathError
 from arborel.plans.trees import select
 from arborel.sources.shred import json_to_xml, shred, xml_nodes, xml_to_json
@@ -117,3 +118,15 @@ def test_axes_against_tree_walking(spark):
                         want[axis].add((k, n))
     for axis, expected in want.items():
         assert {(r["doc_id"], r["pre"]) for r in select(nodes, f"//a/{axis}::*").collect()} == expected, axis
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_texts_of_one_file_are_parsed_by_many_tasks(spark):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        assert queries.customer_documents(spark, SF).selectExpr("spark_partition_id() as p").distinct().count() == 4
+    finally:
+        spark.conf.unset(key)
