@@ -14,16 +14,18 @@ from ..errors import UnsupportedError
 from ..plans.ast import Test
 
 NODE = ["doc_id", "pre", "last_desc", "parent_pre", "level", "kind", "ns_uri", "prefix", "local", "value", "string_value", "sib_ord", "path", "ns_map", "base_uri", "lang", "id_value"]
+#: No axis of XPath: the attributes of a node and of its descendants, which descendant-or-self::node()/attribute::* reaches.
+WITHIN = "attribute-within"
 REVERSE = ("parent", "ancestor", "ancestor-or-self", "preceding", "preceding-sibling")
 #: Axes on which different context nodes can reach the same node.
-OVERLAPPING = ("descendant", "descendant-or-self", "parent", "ancestor", "ancestor-or-self", "following", "following-sibling", "preceding", "preceding-sibling")
+OVERLAPPING = ("descendant", "descendant-or-self", "parent", "ancestor", "ancestor-or-self", "following", "following-sibling", "preceding", "preceding-sibling", WITHIN)
 
 
 def test_of(test: Test, axis: str) -> Column:
     """The node test as a filter on the node columns."""
     kind = F.col("kind")
     if test.kind == "name":
-        out = kind == ("attribute" if axis == "attribute" else "element")
+        out = kind == ("attribute" if axis in ("attribute", WITHIN) else "element")
     elif test.kind in ("node", "item"):
         out = F.lit(True)
     elif test.kind == "document-node":
@@ -68,9 +70,28 @@ def condition(axis: str) -> Column:
         "preceding": (n("last_desc") < c("pre")) & plain,
         "self": itself,
         "attribute": (n("parent_pre") == c("pre")) & (n("kind") == "attribute"),
+        WITHIN: inside & (n("kind") == "attribute"),
     }[axis]
 
 
+def joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join with nodes that is never a broadcast: from the size of the texts Spark takes their nodes for few."""
+    return left.join(right.hint("merge"), on, how)
+
+
+#: What each of these axes reaches from the document node, whose pre is 0: that needs no join.
+FROM_ROOT = {
+    "child": "parent_pre = 0 and kind <> 'attribute'", "descendant": "kind not in ('attribute', 'document')", "descendant-or-self": "kind <> 'attribute'",
+    "attribute": "false", WITHIN: "kind = 'attribute'", "self": "kind = 'document'",
+}
+
+
+def root_step(nodes: DataFrame, axis: str, test: Test) -> DataFrame:
+    """Rows (k, c_pre, node columns) of a step along one of FROM_ROOT from the document nodes of all documents; k is the doc_id."""
+    found = nodes.where(F.col("doc_id").isNotNull() & F.expr(FROM_ROOT[axis]) & test_of(test, axis))
+    return found.select(F.col("doc_id").alias("k"), F.lit(0).cast("long").alias("c_pre"), *NODE)
+
+
 #: The context nodes of these axes that alone matter where no predicate asks for the others: columns besides k and doc_id, and their bounds.
 BOUNDS = {
     "following": ([], {"last_desc": F.min}), "preceding": ([], {"pre": F.max}),
@@ -85,7 +106,7 @@ def bounded_step(context: DataFrame, nodes: DataFrame, axis: str, test: Test) ->
         context = context.where("kind <> 'attribute'").withColumn("kind", F.lit("element"))
     least = context.groupBy("k", "doc_id", *by).agg(*[f(c).alias(f"c_{c}") for c, f in bounds.items()])
     left = least.select("k", *[F.col(c).alias(f"c_{c}") for c in ("doc_id", *by)], *[f"c_{c}" for c in bounds])
-    return left.join(nodes.where(test_of(test, axis)).select(*NODE), condition(axis)).select("k", *NODE)
+    return joined(left, nodes.where(test_of(test, axis)).select(*NODE), condition(axis)).select("k", *NODE)
 
 
 def step(context: DataFrame, nodes: DataFrame, axis: str, test: Test) -> DataFrame:
@@ -100,4 +121,4 @@ def step(context: DataFrame, nodes: DataFrame, axis: str, test: Test) -> DataFra
         return context.where(test_of(test, axis)).withColumn("c_pre", F.col("pre")).select("k", "c_pre", *NODE)
     needed = ["doc_id", "pre", "last_desc", "parent_pre", "kind", "sib_ord"]
     left = context.select("k", *[F.col(c).alias(f"c_{c}") for c in needed])
-    return left.join(nodes.where(test_of(test, axis)).select(*NODE), condition(axis)).select("k", "c_pre", *NODE)
+    return joined(left, nodes.where(test_of(test, axis)).select(*NODE), condition(axis)).select("k", "c_pre", *NODE)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import Val, of_type, to_string
+from ..operators.axes import joined
 from ..sources.shred import xml_nodes
 from .ast import Ex
 from .parser import StaticContext
@@ -53,7 +54,7 @@ def resolved(df: DataFrame, e: Ex, static: StaticContext, compiler: RowCompiler)
         kind = of_type(out.schema["value"].dataType, F.col("value")).type
         values = F.transform(F.array_sort(F.collect_list(F.struct(order, F.col("value").alias("v")))), lambda s: s["v"])
         grouped = out.groupBy("doc_id").agg(values.alias(name)).withColumnRenamed("doc_id", f"{key}_")
-        df = df.join(grouped, F.col(key) == F.col(f"{key}_"), "left").drop(f"{key}_", xml, key)
+        df = joined(df, grouped, F.col(key) == F.col(f"{key}_"), "left").drop(f"{key}_", xml, key)
         found[name] = Val(F.coalesce(F.col(name), F.array()), "untypedAtomic" if kind == "string" else kind, True)
         return Ex("var", name)
 

@@ -121,6 +121,16 @@ def test_axes_against_tree_walking(spark):
 
 
 SF = "/root/testdata/sf0.001"
+TREES = [q for q in queries.queries() if q.startswith(("xp_tree_", "xp_schema_", "xp_parse_xml")) and q not in ("xp_tree_count", "xp_schema_constructor")]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", TREES)
+def test_nodes_are_not_sent_to_the_driver(spark, name):
+    assert "Broadcast" not in plan(queries.queries()[name](spark, SF))
 
 
 def test_texts_of_one_file_are_parsed_by_many_tasks(spark):
@@ -130,3 +140,17 @@ def test_texts_of_one_file_are_parsed_by_many_tasks(spark):
         assert queries.customer_documents(spark, SF).selectExpr("spark_partition_id() as p").distinct().count() == 4
     finally:
         spark.conf.unset(key)
+
+
+@pytest.mark.parametrize(
+    "name,shredded",
+    [("xp_tree_local_name", 1), ("xp_schema_element", 1), ("xp_tree_attributes", 1), ("xp_tree_name", 1), ("xp_tree_text", 1), ("xp_tree_braced", 2), ("xp_tree_base_uri", 2), ("xp_tree_before", 2), ("xp_tree_sum", 3), ("xp_tree_quantified", 3), ("xp_tree_is", 3)],
+)
+def test_steps_from_the_root_are_filters(spark, name, shredded):
+    """How often the texts are parsed, where no exchange is reused: once for each path from the root, and for each further step of it."""
+    assert plan(queries.queries()[name](spark, SF)).count("MapInArrow") == shredded
+
+
+@pytest.mark.parametrize("text,want", [("//B2//@*", [(1, 8)]), ("//*//@*", [(1, 4), (1, 8), (2, 2)]), ("//B1//@a", [(1, 4)]), ("//@*[. = 'x']", [(1, 8)]), ("//@a//@*", []), ("/*//@*[1]", [(1, 4), (1, 8), (2, 2)]), ("/descendant::C1[2]", [(1, 9)]), ("/*[2] | /r", [(2, 1)]), ("//C1[count(//C1) = 2]", [(1, 3), (1, 9)])])
+def test_paths_from_the_root(nodes, text, want):
+    assert sorted((r["doc_id"], r["pre"]) for r in select(nodes, text).collect()) == want
