@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from functools import lru_cache
+from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,21 +66,22 @@ def serialize(nodes: DataFrame, method: str = "xml") -> DataFrame:
     if method == "text":
         return nodes.where("kind = 'document'").select("doc_id", F.col("string_value").alias("text"))
     ship(nodes.sparkSession)
-    needed = nodes.select("doc_id", "pre", "last_desc", "kind", "prefix", "local", "value", "parent_pre", "ns_map")
+    # few scopes are different: as texts, they are read once
+    needed = nodes.select("doc_id", "pre", "last_desc", "kind", "prefix", "local", "value", F.to_json("ns_map").alias("ns_map"))
     ordered = needed.repartition("doc_id").sortWithinPartitions("doc_id", "pre")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[tuple] = []
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                if held and row["doc_id"] != held[0]["doc_id"]:
-                    out.append((held[0]["doc_id"], write(held, method)))
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[0] != held[0][0]:
+                    out.append((held[0][0], _write(held, method)))
                     held = []
                 held.append(row)
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([t for _, t in out], pa.string())], names=["doc_id", "text"])
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]["doc_id"]], pa.int64()), pa.array([write(held, method)], pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.int64()), pa.array([_write(held, method)], pa.string())], names=["doc_id", "text"])
 
     return ordered.mapInArrow(run, "doc_id long, text string")
 
@@ -86,18 +90,20 @@ def serialize(nodes: DataFrame, method: str = "xml") -> DataFrame:
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-def write(rows: list[dict], method: str = "xml") -> str:
-    """The text of one document from its node rows in order."""
-    from xml.sax.saxutils import escape, quoteattr
+@lru_cache(10_000)
+def _declared(own: str, outer: str) -> str:
+    """The declarations of the namespaces that a scope does not share with the outer one; both as JSON."""
+    outer_, new = json.loads(outer), json.loads(own)
+    return "".join(f" xmlns{':' + k if k else ''}={quoteattr(v)}" for k, v in sorted(new.items()) if k != "xml" and outer_.get(k) != v)
 
+
+def _write(rows: list[tuple], method: str) -> str:
+    """The text of one document from its nodes in order: doc_id, pre, last_desc, kind, prefix, local, value, ns_map as JSON."""
     out: list[str] = []
     open_: list[tuple[int, str]] = []
-    scopes: list[dict[str, str]] = [{"xml": "http://www.w3.org/XML/1998/namespace"}]
+    scopes = ["{}"]
     pending = ""
 
-    def name(row) -> str:
-        return f"{row['prefix']}:{row['local']}" if row["prefix"] else row["local"]
-
     def close(before: int) -> None:
         nonlocal pending
         while open_ and open_[-1][0] < before:
@@ -109,27 +115,27 @@ def write(rows: list[dict], method: str = "xml") -> str:
             elif not (method == "html" and tag.lower() in VOID):
                 out.append(f"</{tag}>")
 
-    for row in rows:
-        close(row["pre"])
-        kind = row["kind"]
+    for _, pre, last_desc, kind, prefix, local, value, ns_map in rows:
+        if open_ and open_[-1][0] < pre:
+            close(pre)
         if kind == "attribute":
-            out.append(f" {name(row)}={quoteattr(row['value'])}")
+            out.append(f" {prefix + ':' if prefix else ''}{local}={quoteattr(value)}")
             continue
         if pending and kind != "document":
             out.append(pending)
             pending = ""
         if kind == "element":
-            own = dict(row["ns_map"] or {})
-            new = {k: v for k, v in own.items() if scopes[-1].get(k) != v}
-            out.append(f"<{name(row)}" + "".join(f" xmlns{':' + k if k else ''}={quoteattr(v)}" for k, v in sorted(new.items()) if k != "xml"))
+            tag = f"{prefix}:{local}" if prefix else local
+            own = ns_map or "{}"
+            out.append(f"<{tag}" if own == scopes[-1] else f"<{tag}{_declared(own, scopes[-1])}")
             pending = ">"
-            open_.append((row["last_desc"], name(row)))
+            open_.append((last_desc, tag))
             scopes.append(own)
         elif kind == "text":
-            out.append(escape(row["value"]))
+            out.append(escape(value))
         elif kind == "comment":
-            out.append(f"<!--{row['value']}-->")
+            out.append(f"<!--{value}-->")
         elif kind == "processing-instruction":
-            out.append(f"<?{row['local']} {row['value']}?>")
+            out.append(f"<?{local} {value}?>")
     close(1 << 62)
     return "".join(out)

@@ -62,6 +62,13 @@ def test_files(spark, tmp_path):
     assert select({"dir": files.folder_rows(spark, str(tmp_path))}, "count(/dir/row[ends-with(name, '.xml')])").first()["value"] == 1
 
 
+def test_scopes_reach_the_writer_as_text(spark):
+    nodes = xml_nodes(spark.createDataFrame([(1, "<a xmlns='u&quot;v' xmlns:p='w'><b/><p:c xmlns:q='x'/></a>")], "doc_id long, xml string"))
+    written = files.serialize(nodes)
+    assert "to_json(ns_map" in written._jdf.queryExecution().analyzed().toString()
+    assert written.first()["text"] == "<a xmlns='u\"v' xmlns:p=\"w\"><b/><p:c xmlns:q=\"x\"/></a>"
+
+
 def test_serialized_trees_parse_to_equal_nodes(spark):
     docs = [(1, "<a><b>x<c/>y</b><b k='2'/></a>"), (2, "<z/>")]
     nodes = xml_nodes(spark.createDataFrame(docs, "doc_id long, xml string")).cache()
